@@ -126,14 +126,16 @@ def widen(rows: DataFrame, lo: str, hi: str, tolerance: float, integer: Column,
         "_step": F.pow(F.lit(10.0), F.floor(F.log10(pad)).cast("double")),
         "_a": F.when(a >= 0, F.greatest(F.lit(0.0), a - pad)).otherwise(a - pad),
         "_b": F.when(b <= 0, F.least(F.lit(0.0), b + pad)).otherwise(b + pad), "_int": integer})
-    step = F.col("_step")
-    out = out.withColumns({
-        "_a": F.when(F.col("_int"), F.floor("_a").cast("double")).otherwise(F.floor(F.col("_a") / step + 1e-9).cast("double") * step),
-        "_b": F.when(F.col("_int"), F.ceil("_b").cast("double")).otherwise(F.ceil(F.col("_b") / step - 1e-9).cast("double") * step)})
+    step, a, b = F.col("_step"), F.col("_a"), F.col("_b")
+    # a one-element generator keeps the optimizer from folding all steps into one oversized expression
+    out = out.select("*", F.inline(F.array(F.struct(
+        F.when(F.col("_int"), F.floor(a).cast("double")).otherwise(F.floor(a / step + 1e-9).cast("double") * step).alias("_c"),
+        F.when(F.col("_int"), F.ceil(b).cast("double")).otherwise(F.ceil(b / step - 1e-9).cast("double") * step).alias("_d")))))
+    c, d = F.col("_c"), F.col("_d")
     return out.withColumns({
-        "relaxed_min": F.round(F.when(proportion, F.greatest(F.lit(0.0), F.col("_a"))).otherwise(F.col("_a")), 10),
-        "relaxed_max": F.round(F.when(proportion, F.least(F.lit(1.0), F.col("_b"))).otherwise(F.col("_b")), 10),
-    }).drop("_pad", "_step", "_a", "_b", "_int")
+        "relaxed_min": F.round(F.when(proportion, F.greatest(F.lit(0.0), c)).otherwise(c), 10),
+        "relaxed_max": F.round(F.when(proportion, F.least(F.lit(1.0), d)).otherwise(d), 10),
+    }).drop("_pad", "_step", "_a", "_b", "_c", "_d", "_int")
 
 
 def relax(rows: DataFrame, tolerance: float = 0.1) -> DataFrame:
@@ -227,6 +229,12 @@ CONTRACT_SCHEMA = """struct<id:string, schema:array<struct<name:string, quality:
     classification:string, tags:array<string>, quality:array<string>>>>>>"""
 
 
+CONTRACT_RULE = """struct<rule:string, unit:string, severity:string, owner:string, query:string, pattern:string,
+    mustBe:double, mustBeLessThan:double, mustBeGreaterOrEqualTo:double, mustBeBetween:array<double>,
+    arguments:struct<validValues:array<string>, pattern:string>,
+    implementation:struct<expectation_type:string, kwargs:string>>"""
+
+
 def contract_columns(docs: DataFrame) -> DataFrame:
     """One row per (table, column) of contract documents held as JSON text in ``doc``."""
     c = docs.select(F.from_json("doc", CONTRACT_SCHEMA).alias("c"))
@@ -245,37 +253,35 @@ def from_contract(docs: DataFrame) -> DataFrame:
                           F.explode("t.quality").alias("q"))
     props = tables.select(F.col("t.name").alias("table_name"), F.explode("t.properties").alias("p")) \
         .select("table_name", F.col("p.name").alias("column_name"), F.explode("p.quality").alias("q"))
-    q = level.unionByName(props)
+    q = level.unionByName(props).withColumn("p", F.from_json("q", CONTRACT_RULE))
 
     def g(path: str) -> Column:
-        return F.get_json_object("q", f"$.{path}")
-    rule, percent = g("rule"), g("unit") == "percent"
-    below = g("mustBeLessThan").try_cast("double")
-    at_least = g("mustBeGreaterOrEqualTo").try_cast("double")
-    bounds = F.from_json(g("mustBeBetween"), "array<double>")
-    mostly_left = F.when(percent & below.isNotNull(), F.round(1 - below / 100, 4))
-    mostly_share = F.when(percent & at_least.isNotNull(), F.round(at_least / 100, 4))
+        return F.col(f"p.{path}")
+    rule, percent = g("rule"), F.coalesce(g("unit") == "percent", F.lit(False))
+    below, at_least, be = g("mustBeLessThan"), g("mustBeGreaterOrEqualTo"), g("mustBe")
+    engine = g("implementation.expectation_type").isNotNull()
+    mostly_left = F.when(percent, F.round(1 - below / 100, 4))
+    mostly_share = F.when(percent, F.round(at_least / 100, 4))
     expectation = (
-        F.when(g("implementation").isNotNull(), F.regexp_replace(g("implementation.expectation_type"), "^expect_", ""))
-        .when((rule == "missingCount") & percent & (g("mustBe").try_cast("double") == 100), "column_values_to_be_null")
+        F.when(engine, F.regexp_replace(g("implementation.expectation_type"), "^expect_", ""))
+        .when((rule == "missingCount") & percent & (be == 100), "column_values_to_be_null")
         .when(rule == "missingCount", "column_values_to_not_be_null")
         .when(rule == "duplicateCount", "column_values_to_be_unique")
-        .when((rule == "rowCount") & g("mustBe").isNotNull(), "table_row_count_to_equal")
+        .when((rule == "rowCount") & be.isNotNull(), "table_row_count_to_equal")
         .when(rule == "rowCount", "table_row_count_to_be_between")
         .when(rule == "uniqueCount", "column_unique_value_count_to_be_between")
         .when(rule == "validValues", "column_values_to_be_in_set")
         .when(rule == "regex", "column_values_to_match_regex")
         .when(g("query").isNotNull(), "sql"))
     kwargs = (
-        F.when(g("implementation").isNotNull(), F.coalesce(g("implementation.kwargs"), F.lit("{}")))
+        F.when(engine, F.coalesce(g("implementation.kwargs"), F.lit("{}")))
         .when(rule.isin("missingCount", "duplicateCount"), F.to_json(F.struct(mostly_left.alias("mostly"))))
-        .when((rule == "rowCount") & g("mustBe").isNotNull(),
-              F.to_json(F.struct(g("mustBe").try_cast("bigint").alias("value"))))
-        .when(rule.isin("rowCount", "uniqueCount"),
-              F.to_json(F.struct(F.coalesce(bounds[0], at_least).alias("min_value"), F.get(bounds, 1).alias("max_value"))))
-        .when(rule == "validValues",
-              F.to_json(F.struct(F.from_json(g("arguments.validValues"), "array<string>").alias("value_set"),
-                                 mostly_share.alias("mostly"))))
+        .when((rule == "rowCount") & be.isNotNull(), F.to_json(F.struct(be.cast("bigint").alias("value"))))
+        .when(rule.isin("rowCount", "uniqueCount"), F.to_json(F.struct(
+            F.coalesce(F.get("p.mustBeBetween", 0), at_least).alias("min_value"),
+            F.get("p.mustBeBetween", 1).alias("max_value"))))
+        .when(rule == "validValues", F.to_json(F.struct(
+            g("arguments.validValues").alias("value_set"), mostly_share.alias("mostly"))))
         .when(rule == "regex", F.to_json(F.struct(
             F.coalesce(g("arguments.pattern"), g("pattern")).alias("regex"), mostly_share.alias("mostly"))))
         .otherwise(F.col("q")))
