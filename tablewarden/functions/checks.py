@@ -9,8 +9,9 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewarden.functions.columns import lit_map
+from tablewarden.functions.columns import let, lit_map
 from tablewarden.functions.text import fold_digits
 
 # fixed values
@@ -81,7 +82,7 @@ def eth(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike("^0x[0-9a-fA-F]{40}$"), F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _base58_checksum(values: pd.Series) -> pd.Series:
     def ok(s: str) -> bool:
         number = 0
@@ -185,39 +186,46 @@ def imsi(c: Column, home_mcc: str = "602", known_mccs: Sequence[str] | None = No
 def egypt_nid(c: Column, as_of: str = AS_OF, max_age: int = 110, min_year: int = 1900,
               verify_check_digit: bool = False) -> Column:
     """Normalize, format, calendar, governorate, plausibility, check digit; with what the number carries."""
-    t = F.regexp_replace(fold_digits(c), "[ \\t\\-_/ ‎‏؜]", "")
-    d = F.when(t.rlike("^[0-9]+$"), t).otherwise("")
-    ok = d.rlike("^[23][0-9]{13}$")
-    birth = F.try_to_date(F.when(ok, F.concat(
-        F.when(F.substring(d, 1, 1) == "2", "19").otherwise("20"), F.substring(d, 2, 6))), "yyyyMMdd")
-    gov = F.substring(d, 8, 2)
-    name = F.try_element_at(lit_map(GOVERNORATES), gov)
+    t = F.regexp_replace(fold_digits(c), "[ \\t\\-_/\u00a0\u200e\u200f\u061c]", "")
     today = F.lit(as_of).cast("date")
-    plausible = (F.year(birth) >= min_year) & (birth <= today) & (F.datediff(today, birth) <= max_age * 366)
-    total = F.lit(0)
-    for i, w in enumerate(CHECK_WEIGHTS):
-        total = total + F.substring(d, i + 1, 1).try_cast("int") * w
-    rest = (11 - total % 11) % 11
-    check_ok = F.substring(d, 14, 1).try_cast("int") == F.when(rest == 10, 0).otherwise(rest)
-    reason = F.when(d.isNull() | (d == ""), "normalize").when(~ok, "format").when(birth.isNull(), "calendar") \
-        .when(name.isNull(), "governorate").when(~plausible, "plausibility")
-    if verify_check_digit:
-        reason = reason.when(~check_ok, "checkdigit")
-    reason = reason.otherwise("")
-    gender = F.when(F.substring(d, 13, 1).try_cast("int") % 2 == 1, "male").otherwise("female")
-    return F.struct((reason == "").alias("valid"), reason.alias("reason"), birth.alias("birth_date"), gov.alias("gov_code"),
-                    name.alias("governorate"), F.when(ok, gender).alias("gender"), F.when(ok, check_ok).alias("check_digit_ok"), d.alias("digits"))
+
+    def parsed(d: Column) -> Column:
+        ok = d.rlike("^[23][0-9]{13}$")
+        numbers = F.transform(F.sequence(F.lit(1), F.lit(13)), lambda i: F.substr(d, i, F.lit(1)).try_cast("int"))
+        total = F.aggregate(F.zip_with(numbers, F.array(*[F.lit(w) for w in CHECK_WEIGHTS]), lambda a, w: a * w),
+                            F.lit(0), lambda acc, x: acc + x)
+        return F.struct(
+            d.alias("digits"), ok.alias("ok"), F.substring(d, 8, 2).alias("gov_code"),
+            F.try_to_date(F.when(ok, F.concat(F.when(F.substring(d, 1, 1) == "2", "19").otherwise("20"), F.substring(d, 2, 6))),
+                          "yyyyMMdd").alias("birth"),
+            F.when(ok, (F.substring(d, 13, 1).try_cast("int") % 2) == 1).alias("male"),
+            F.when(ok, F.substring(d, 14, 1).try_cast("int") == (11 - total % 11) % 11 % 10).alias("check_ok"))
+
+    def judged(p: Column) -> Column:
+        birth, name = p["birth"], F.try_element_at(lit_map(GOVERNORATES), p["gov_code"])
+        plausible = (F.year(birth) >= min_year) & (birth <= today) & (F.datediff(today, birth) <= max_age * 366)
+        reason = F.when(p["digits"].isNull() | (p["digits"] == ""), "normalize").when(~p["ok"], "format") \
+            .when(birth.isNull(), "calendar").when(name.isNull(), "governorate").when(~plausible, "plausibility")
+        if verify_check_digit:
+            reason = reason.when(~p["check_ok"], "checkdigit")
+        return let(reason.otherwise(""), lambda r: F.struct(
+            (r == "").alias("valid"), r.alias("reason"), birth.alias("birth_date"), p["gov_code"].alias("gov_code"),
+            name.alias("governorate"), F.when(p["male"], "male").when(~p["male"], "female").alias("gender"),
+            p["check_ok"].alias("check_digit_ok"), p["digits"].alias("digits")))
+    return let(let(F.when(t.rlike("^[0-9]+$"), t).otherwise(""), parsed), judged)
 
 
 def msisdn_egypt(c: Column) -> Column:
     """Canonical +20… form of a typed mobile number, else null."""
-    s = F.trim(c)
-    s = F.regexp_replace(F.regexp_replace(s, "^'", ""), r"\.0$", "")
-    d = digits_of(s)
-    n = (F.when(s.startswith("+") & d.startswith("20"), F.substring(d, 3, 20)).when(d.startswith("0020"), F.substring(d, 5, 20))
-         .when(d.startswith("20") & (F.length(d) == 12), F.substring(d, 3, 20))
-         .when(d.startswith("0") & (F.length(d) == 11), F.substring(d, 2, 20)).otherwise(d))
-    return F.when(n.rlike("^1[0125][0-9]{8}$"), F.concat(F.lit("+20"), n))
+    s = F.regexp_replace(F.trim(c), r"^'|\.0$", "")
+
+    def national(x: Column) -> Column:
+        d = x["d"]
+        return (F.when(x["plus"] & d.startswith("20"), F.substring(d, 3, 20)).when(d.startswith("0020"), F.substring(d, 5, 20))
+                .when(d.startswith("20") & (F.length(d) == 12), F.substring(d, 3, 20))
+                .when(d.startswith("0") & (F.length(d) == 11), F.substring(d, 2, 20)).otherwise(d))
+    n = let(F.struct(digits_of(s).alias("d"), s.startswith("+").alias("plus")), national)
+    return let(n, lambda x: F.when(x.rlike("^1[0125][0-9]{8}$"), F.concat(F.lit("+20"), x)))
 
 
 def operator(c: Column) -> Column:
@@ -225,11 +233,11 @@ def operator(c: Column) -> Column:
     return F.try_element_at(lit_map(OPERATORS), F.substring(msisdn_egypt(c), 4, 2))
 
 
-# fixed values: numbering plans as (region, country code, national length range, mobile prefix)
+# fixed values: numbering plans as (region, country code, national length range, mobile prefixes)
 PHONE_PLANS = [
-    ("EG", "20", 8, 10, "1[0125]"), ("SA", "966", 8, 9, "5"), ("AE", "971", 8, 9, "5[024568]"), ("JO", "962", 8, 9, "7[789]"),
-    ("KW", "965", 8, 8, "[569]"), ("QA", "974", 8, 8, "[3567]"), ("BH", "973", 8, 8, "3"), ("OM", "968", 8, 8, "[79]"),
-    ("GB", "44", 9, 10, "7"), ("DE", "49", 7, 11, "1[567]"), ("FR", "33", 9, 9, "[67]"), ("US", "1", 10, 10, "[2-9]"),
+    ("EG", "20", 8, 10, "10 11 12 15"), ("SA", "966", 8, 9, "5"), ("AE", "971", 8, 9, "50 52 54 55 56 58"), ("JO", "962", 8, 9, "77 78 79"),
+    ("KW", "965", 8, 8, "5 6 9"), ("QA", "974", 8, 8, "3 5 6 7"), ("BH", "973", 8, 8, "3"), ("OM", "968", 8, 8, "7 9"),
+    ("GB", "44", 9, 10, "7"), ("DE", "49", 7, 11, "15 16 17"), ("FR", "33", 9, 9, "6 7"), ("US", "1", 10, 10, "2 3 4 5 6 7 8 9"),
 ]
 
 
@@ -239,22 +247,26 @@ def phone(c: Column, region: str = "EG") -> Column:
     This is plan arithmetic (country code, length, mobile prefix), not a full numbering library: a number
     inside an unassigned range of a valid length counts as valid.
     """
-    s = F.trim(c)
-    d = digits_of(s)
-    is_date = s.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$|^\d{1,2}[-/]\d{1,2}[-/]\d{4}$")
-    shaped = s.rlike(r"^[+]?[0-9][0-9 ().\-]{5,22}$") & ~is_date
-    e164 = F.when(s.startswith("+"), d).when(d.startswith("00"), F.substring(d, 3, 20))
-    found = F.lit(None).cast("struct<valid:boolean,mobile:boolean,region:string>")
+    plans = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(cc).alias("cc"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
+                               F.array(*[F.lit(m) for m in mob.split()]).alias("mob")) for r, cc, lo, hi, mob in PHONE_PLANS])
+    is_date = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$|^\d{1,2}[-/]\d{1,2}[-/]\d{4}$"
     none = F.struct(F.lit(False).alias("valid"), F.lit(False).alias("mobile"), F.lit(None).cast("string").alias("region"))
 
-    def plan(national: Column, r: str, lo: int, hi: int, mob: str) -> Column:
-        valid = F.length(national).between(lo, hi) & national.rlike("^[1-9]")
-        return F.struct(valid.alias("valid"), (valid & national.rlike(f"^{mob}")).alias("mobile"), F.when(valid, r).alias("region"))
-    for r, cc, lo, hi, mob in PHONE_PLANS:
-        found = F.when(e164.startswith(cc), plan(F.substring(e164, len(cc) + 1, 20), r, lo, hi, mob)).otherwise(found)
-    home = next(p for p in PHONE_PLANS if p[0] == region)
-    local = plan(F.regexp_replace(d, "^0", ""), *[home[i] for i in (0, 2, 3, 4)])
-    return F.coalesce(F.when(shaped & e164.isNotNull(), found), F.when(shaped & e164.isNull(), local), none)
+    def split(s: Column) -> Column:
+        d = digits_of(s)
+        return F.struct(
+            (s.rlike(r"^[+]?[0-9][0-9 ().\-]{5,22}$") & ~s.rlike(is_date)).alias("shaped"),
+            F.when(s.startswith("+"), d).when(d.startswith("00"), F.substring(d, 3, 20)).alias("e164"),
+            F.regexp_replace(d, "^0", "").alias("local"))
+
+    def planned(x: Column) -> Column:
+        abroad = F.get(F.filter(plans, lambda p: F.startswith(x["e164"], p["cc"])), F.lit(0))
+        home = F.get(F.filter(plans, lambda p: p["r"] == region), F.lit(0))
+        return let(F.when(x["e164"].isNotNull(), abroad).otherwise(home), lambda p: let(
+            F.when(x["e164"].isNotNull(), F.substr(x["e164"], F.length(p["cc"]) + 1)).otherwise(x["local"]),
+            lambda n: F.when(x["shaped"] & p.isNotNull() & F.length(n).between(p["lo"], p["hi"]) & n.rlike("^[1-9]"), F.struct(
+                F.lit(True).alias("valid"), F.exists(p["mob"], lambda m: F.startswith(n, m)).alias("mobile"), p["r"].alias("region")))))
+    return F.coalesce(let(let(F.trim(c), split), planned), none)
 
 
 def as_boolean(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:

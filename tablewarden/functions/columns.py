@@ -62,6 +62,11 @@ def ratio(num: Column, den: Column, default: float | None = 0.0) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(default).cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row instead of once per mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def chunked(items: Sequence[Any], size: int) -> list[list[Any]]:
     return [list(items[i:i + size]) for i in range(0, len(items), size)]
 

@@ -55,48 +55,58 @@ def column_shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def regex_rates(df: DataFrame, columns: Sequence[str] | None = None, patterns: Sequence[dict[str, Any]] | None = None) -> DataFrame:
-    """(column, pattern, matches, valid, rate, score): all patterns of all columns in one pass.
+    """(column, pattern, matches, rate, score): all patterns of all columns in one pass over the table.
 
     A first narrow pass reads one row per column on the driver to choose the pattern group of each column.
-    A cell matches by its raw text or its canonical phone forms; a validator keeps or drops the match.
+    A cell matches by its raw text or its canonical phone forms; a validator keeps or drops the match.  Each cell
+    yields only the numbers of the patterns it matched, and those are counted before the shuffle.
     """
     names = list(columns or string_columns(df))
-    chosen = []
-    for s in column_shape(df, names).collect():
-        group = "structured" if s["mean_length"] < STRUCTURED_LIMIT else "free_text"
-        arabic = s["arabic_share"] >= ARABIC_LIMIT
-        for p in patterns or catalog():
-            if p["group"] == group and (p["script"] != "arabic" or arabic):
-                chosen.append((s["column"], p))
-    aggs: list[Column] = []
-    usable: dict[str, Column] = {}
-    for c in names:
-        usable[c] = F.when(~F.upper(col(c)).isin("NONE", "NAN", "N/A", ""), col(c))
-        aggs.append(F.count(col(c)).alias(f"total_{len(aggs)}"))
-    totals = {c: f"total_{i}" for i, c in enumerate(names)}
-    for i, (c, p) in enumerate(chosen):
-        v = usable[c]
-        regex = java_regex(p)
-        hit = v.rlike(regex)
-        if p["entity_type"] == "PHONE_NUMBER" and p["group"] == "structured":
-            canon = C.msisdn_egypt(v)
-            hit = hit | F.coalesce(canon.rlike(regex) | F.concat(F.lit("0"), F.substring(canon, 4, 10)).rlike(regex), F.lit(False))
-        aggs.append(count_if(hit).alias(f"h{i}"))
-        if p["validator"]:
-            subject = v if p["group"] == "structured" else F.regexp_extract(v, regex, 0)
-            aggs.append(count_if(hit & C.VALIDATORS[p["validator"]](subject)).alias(f"v{i}"))
-    row = one_row(df, aggs, 60)
-    out = [F.struct(
-        F.lit(c).alias("column"), F.lit(p["pattern_name"]).alias("pattern_name"), F.lit(p["entity_type"]).alias("entity_type"),
-        F.lit(p["collision_group"]).cast("string").alias("collision_group"), F.lit(p["validator"]).cast("string").alias("validator"),
-        F.col(f"h{i}").alias("regex_matches"), (F.col(f"v{i}") if p["validator"] else F.col(f"h{i}")).alias("matches"),
-        F.col(totals[c]).alias("total"),
-        F.lit(float(p["validated_score"] or p["score"]) if p["validator"] else float(p["score"])).alias("score"))
-        for i, (c, p) in enumerate(chosen)]
-    rates = row.select(F.inline(F.array(*out))) if out else df.sparkSession.createDataFrame(
-        [], "column string, pattern_name string, entity_type string, collision_group string, validator string, "
-            "regex_matches bigint, matches bigint, total bigint, score double")
-    return rates.where("matches > 0").withColumn("match_rate", F.round(ratio(F.col("matches"), F.col("total")), 4))
+    shape = {s["column"]: s for s in column_shape(df, names).collect()}
+    chosen = list(patterns or catalog())
+    arabic = [c for c, s in shape.items() if s["arabic_share"] >= ARABIC_LIMIT]
+    found = []
+    for group in ("structured", "free_text"):
+        cols = [c for c, s in shape.items() if (s["mean_length"] < STRUCTURED_LIMIT) == (group == "structured")]
+        picked = [(i, p) for i, p in enumerate(chosen) if p["group"] == group and (p["script"] != "arabic" or arabic)]
+        if not cols or not picked:
+            continue
+        long = unpivot(df, cols).where("value is not null").where(~F.upper("value").isin("NONE", "NAN", "N/A", ""))
+        canon = C.msisdn_egypt(F.col("value")) if group == "structured" else F.lit(None).cast("string")
+        cells = long.select("column", "value", F.inline(F.array(F.struct(canon.alias("canon")))))
+        codes = []
+        for i, p in picked:
+            v, regex = F.col("value"), java_regex(p)
+            hit = v.rlike(regex)
+            if p["script"] == "arabic":
+                hit = F.col("column").isin(arabic) & hit
+            if p["entity_type"] == "PHONE_NUMBER" and group == "structured":
+                national = F.concat(F.lit("0"), F.substring("canon", 4, 10))
+                hit = hit | F.coalesce(F.col("canon").rlike(regex) | national.rlike(regex), F.lit(False))
+            code = F.lit(2 * i + 1)
+            if p["validator"]:
+                validator = C.VALIDATORS[p["validator"]]
+                # inside text every match is validated, and one valid match is enough
+                ok = validator(v) if group == "structured" else F.exists(F.regexp_extract_all(v, F.lit(regex), F.lit(0)), validator)
+                code = F.when(ok, 2 * i + 1).otherwise(2 * i)
+            codes.append(F.when(hit, code))
+        found.append(cells.select("column", F.explode(F.array_compact(F.array(*codes))).alias("code")))
+    counted = "column string, code int"
+    hits = found[0] if found else df.sparkSession.createDataFrame([], counted)
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    sums = hits.groupBy("column", F.floor(F.col("code") / 2).cast("int").alias("i")).agg(
+        F.count(F.lit(1)).alias("regex_matches"), F.count_if(F.col("code") % 2 == 1).alias("matches"))
+    rows = [(i, p["pattern_name"], p["entity_type"], p["collision_group"], p["validator"],
+             float(p["validated_score"] or p["score"]) if p["validator"] else float(p["score"])) for i, p in enumerate(chosen)]
+    meta = df.sparkSession.createDataFrame(rows, "i int, pattern_name string, entity_type string, collision_group string, validator string, score double")
+    total = F.lit(0)
+    for c, s in shape.items():
+        total = F.when(F.col("column") == c, int(s["n"])).otherwise(total)
+    # the pattern table has as many rows as the catalogue
+    return sums.join(F.broadcast(meta), "i").withColumn("total", total.cast("bigint")).where("matches > 0").select(
+        "column", "pattern_name", "entity_type", "collision_group", "validator", "regex_matches", "matches", "total", "score",
+        F.round(ratio(F.col("matches"), F.col("total")), 4).alias("match_rate"))
 
 
 def check(df: DataFrame, column: str, kind: str, name: str | None = None) -> DataFrame:
@@ -699,20 +709,25 @@ def tags(candidates: DataFrame, policy: dict[str, Any]) -> DataFrame:
     longest = F.array_max(F.array_compact(F.transform("t", lambda k: F.try_element_at(days_of, name(k)))))
     step = step.withColumn("_r", longest).withColumn("t", F.when(F.col("_r").isNotNull(), F.array_union(
         "t", F.array(F.concat(F.lit("RetentionPolicy:"), F.col("_r.tag"))))).otherwise(F.col("t")))
+    def has_domain(d: str) -> Column:
+        return F.exists("t", lambda k: domain(k) == d)
+
+    def count_domain(d: str) -> Column:
+        return F.size(F.filter("t", lambda k: domain(k) == d))
     checks = []
     level = F.array_max(F.transform(F.filter("t", lambda k: domain(k) == "DataSecurity"),
                                     lambda k: F.array_position(lit_list(order), name(k)).cast("int")))
     for r in policy.get("golden_rules", []):
         rid = F.lit(r["id"])
         if r["rule"] == "exactly_one":
-            bad = F.size(F.filter("t", lambda k, r=r: domain(k) == r["domain"])) != 1
+            bad = count_domain(r["domain"]) != 1
         elif r["rule"] == "min_security_for_domain":
-            bad = F.exists("t", lambda k, r=r: domain(k) == r["trigger_domain"]) & \
+            bad = has_domain(r["trigger_domain"]) & \
                 (F.coalesce(level, F.lit(0)) < order.index(r["min_security"]) + 1)
         elif r["rule"] == "mutually_exclusive":
             bad = F.size(F.array_intersect("t", lit_list(r["tags"]))) > 1
         else:
-            bad = F.array_contains("t", r["when_tag"]) & ~F.exists("t", lambda k, r=r: domain(k) == r["requires_domain"])
+            bad = F.array_contains("t", r["when_tag"]) & ~has_domain(r["requires_domain"])
         checks.append(F.when(bad, rid))
     needed = [(k, a) for k, attrs in policy.get("required_attributes", {}).items() for a in attrs]
     for k, a in needed:
@@ -722,7 +737,7 @@ def tags(candidates: DataFrame, policy: dict[str, Any]) -> DataFrame:
         pats = policy.get("role_routing", {}).get(r, [])
         hit = F.lit(False)
         for p in pats:
-            hit = hit | (F.exists("t", lambda k, p=p: domain(k) == p[:-2]) if p.endswith(".*") else F.array_contains("t", p.replace(".", ":")))
+            hit = hit | (has_domain(p[:-2]) if p.endswith(".*") else F.array_contains("t", p.replace(".", ":")))
         role = F.when(hit, r).otherwise(role)
     return step.select("table_name", "column", F.array_sort("t").alias("tags"), "suggestions", "escalations",
                        F.col("_r.days").alias("retention_days"),

@@ -457,7 +457,10 @@ def corr(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None =
             r = ranks.where(F.col("column") == c).select(F.col("x").alias(c), F.col("rank").alias(f"_r_{c}"))
             work = work.join(r, c, "left")       # one row per distinct value on the right; a hot value is split by AQE
         work = work.select(*[F.col(f"_r_{c}").alias(c) for c in names])
-    aggs = [F.corr(col(a), col(b)).alias(f"c{i}") for i, (a, b) in enumerate(combinations(names, 2))]
+    def pair(a: str, b: str) -> Column:
+        x, y = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))     # rows where both are known
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    aggs = [pair(a, b).alias(f"c{i}") for i, (a, b) in enumerate(combinations(names, 2))]
     return _pairs_long(one_row(work, aggs), names)
 
 

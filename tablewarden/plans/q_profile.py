@@ -96,7 +96,7 @@ NUM_SQL = """
          round(avg(power((v - m) / s, 3)), 4) AS skewness, round(avg(power((v - m) / s, 4)) - 3, 4) AS kurtosis,
          count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers_iqr,
          round(avg((v = floor(v))::INT), 6) AS integer_valued_rate,
-         list_transform(range(20), i -> len(list_filter(list(least(CAST(floor((v - lo) / (hi - lo) * 20) AS INT), 19)), b -> b = i))) AS histogram
+         [count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 0), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 1), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 2), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 3), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 4), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 5), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 6), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 7), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 8), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 9), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 10), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 11), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 12), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 13), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 14), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 15), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 16), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 17), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 18), count(*) FILTER (WHERE least(floor((v - lo) / (hi - lo) * 20), 19) = 19)] AS histogram
   FROM (SELECT {c}::DOUBLE AS v FROM {t}),
        (SELECT avg({c}) AS m, stddev_pop({c}) AS s, quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3,
                min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM {t})"""
@@ -329,16 +329,15 @@ def _q(t):
     return P.fingerprint(t.part, columns=FP_COLS).select(*FP_KEEP)
 
 
-@query("p24_anonymous_masks", _each(["p_name", "p_brand"], """
-  SELECT '{c}' AS "column", CASE WHEN n < 20 THEN 'other' ELSE mask END AS mask, round(sum(n) / max(total), 4) AS share FROM (
-    SELECT mask, n, sum(n) OVER () AS total FROM (
-      SELECT replace(replace(regexp_replace(regexp_replace(regexp_replace({c}, '[0-9]', '\x01', 'g'), '[a-z]', 'A', 'g'), '[B-Z]', 'a', 'g'), '\x01', 'D'), 'x', 'x') AS mask,
-             count(*) AS n FROM {t} GROUP BY 1)) GROUP BY 1, 2""".replace("\x01", "#"), "(SELECT replace(p_name, 'A', 'B') AS p_name, p_brand FROM part)"))
+@query("p24_anonymous_masks", _each(["p_name", "p_type"], """
+  SELECT "column", mask, share FROM (
+    SELECT '{c}' AS "column", CASE WHEN n < 20 THEN 'other' ELSE mask END AS mask, round(sum(n) / max(total), 4) AS share,
+           row_number() OVER (ORDER BY (CASE WHEN n < 20 THEN 1 ELSE 0 END), sum(n) DESC, CASE WHEN n < 20 THEN 'other' ELSE mask END) AS r FROM (
+      SELECT mask, n, sum(n) OVER () AS total FROM (
+        SELECT regexp_replace(regexp_replace(regexp_replace({c}, '[a-z]', '#', 'g'), '[A-Z]', 'a', 'g'), '#', 'A', 'g') AS mask, count(*) AS n FROM {t} GROUP BY 1))
+    GROUP BY CASE WHEN n < 20 THEN 'other' ELSE mask END, CASE WHEN n < 20 THEN 1 ELSE 0 END) WHERE r <= 10""", "part"))
 def _q(t):
-    df = t.part.select(F.translate("p_name", "A", "B").alias("p_name"), "p_brand")
-    df = df.withColumn("p_brand", F.translate("p_brand", "#", "0"))
-    fp = P.fingerprint(df)
-    return fp.select("column", F.inline("pattern_masks"))
+    return P.fingerprint(t.part, columns=["p_name", "p_type"]).select("column", F.inline("pattern_masks"))
 
 
 @query("p25_fingerprint_vector")
