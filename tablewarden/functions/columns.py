@@ -67,6 +67,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed_once(df: DataFrame, **named: Column) -> DataFrame:
+    """Add columns behind a one-element generator, so that the optimizer does not copy a costly expression into
+    every later place (or into a pushed-down filter) that mentions it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in named.items()]))))
+
+
 def chunked(items: Sequence[Any], size: int) -> list[list[Any]]:
     return [list(items[i:i + size]) for i in range(0, len(items), size)]
 
