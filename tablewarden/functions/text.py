@@ -34,8 +34,9 @@ def fingerprint_mask(c: Column) -> Column:
 
 
 def memory_mask(c: Column) -> Column:
-    """Digits to D, letters of any script to L, the rest kept."""
-    return F.regexp_replace(F.regexp_replace(c, r"\p{L}", "L"), r"\p{Nd}", "D")
+    """Digits to D, ASCII letters to L, white space to a blank, the rest kept."""
+    letters = F.translate(c, LOWER + UPPER, "L" * 52)
+    return F.regexp_replace(F.regexp_replace(letters, r"\p{Nd}", "D"), r"\s", " ")
 
 
 def fold_name(c: Column) -> Column:
@@ -54,7 +55,6 @@ def strip_chars(c: Column, extra: str) -> Column:
     return F.regexp_replace(c, extra, "")
 
 
-def shape_token(c: Column) -> Column:
-    """Length and token shape only, nothing of the value."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\p{L}+", "L"), r"\p{Nd}+", "D"), r"\s+", "_")
-    return F.concat(F.lit("len="), F.length(c).cast("string"), F.lit(";shape="), F.substring(shape, 1, 32))
+def safe_shape(c: Column) -> Column:
+    """Length and token shape only: never a character of the value."""
+    return F.concat(F.lit("n"), F.length(c).cast("string"), F.lit(":"), memory_mask(c))
