@@ -203,7 +203,7 @@ def temporal(df: DataFrame, order_by: str, columns: Sequence[str] | None = None,
     names = list(columns or [c for c in scalar_columns(df) if c != order_by])
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"),
-                 (col(c).cast("timestamp") if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType))
+                 (col(c).cast("timestamp") if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
                   else parse_any(col(c).cast("string"))).alias("t")) for c in names])
     long = df.select(col(order_by).alias("_order"), F.inline(pairs)).where("value is not null")
     t = F.col("t")

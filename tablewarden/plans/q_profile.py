@@ -115,13 +115,14 @@ def _q(t):
   WITH e AS (SELECT 'ts' AS c, event_id AS o, ts AS t FROM events
              UNION ALL SELECT 'day', event_id, CAST(strftime(ts, '%Y-%m-%d') AS TIMESTAMP) FROM events),
        l AS (SELECT c, t, lag(t) OVER (PARTITION BY c ORDER BY o, t) AS p FROM e)
-  SELECT c AS "column", min(t) AS min, max(t) AS max, CAST(floor(epoch(max(t))) - floor(epoch(min(t))) AS BIGINT) // 86400 AS range_days,
+  SELECT c AS "column", strftime(min(t), '%Y-%m-%d %H:%M:%S') AS min, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS max, CAST(floor(epoch(max(t))) - floor(epoch(min(t))) AS BIGINT) // 86400 AS range_days,
          round(count(*) FILTER (WHERE t >= p)::DOUBLE / (count(*) - 1), 6) AS monotonic_rate,
          count(*) FILTER (WHERE t > TIMESTAMP '2024-01-15') AS future_count,
          CASE WHEN c = 'ts' THEN 'second' ELSE 'day' END AS granularity FROM l GROUP BY c""")
 def _q(t):
     df = t.events.select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
-    return _r(P.temporal(df, "event_id", now="2024-01-15 00:00:00"), "monotonic_rate").drop("by_year")
+    out = _r(P.temporal(df, "event_id", now="2024-01-15 00:00:00"), "monotonic_rate").drop("by_year")
+    return out.withColumn("min", F.date_format("min", "yyyy-MM-dd HH:mm:ss")).withColumn("max", F.date_format("max", "yyyy-MM-dd HH:mm:ss"))
 
 
 FREQ_SQL = """

@@ -404,14 +404,14 @@ def _q(t):
 @query("g02_partition_spec", """
   SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'dt,hour' WHEN o_orderkey % 3 = 1 THEN 'day' ELSE '' END AS partition_column,
          CAST(o_orderdate AS DATE) AS partition_date,
-         CAST(o_orderdate AS DATE)::TIMESTAMP + CASE WHEN o_orderkey % 3 = 0 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS partition_ts
+         strftime(CAST(o_orderdate AS DATE)::TIMESTAMP + CASE WHEN o_orderkey % 3 = 0 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H') AS partition_ts
   FROM orders""")
 def _q(t):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     p = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("dt="), day, F.lit("/hour=05"))) \
         .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("day="), F.date_format("o_orderdate", "yyyyMMdd"))).otherwise(day)
     return t.orders.select("o_orderkey", S.partition_spec(p).alias("s")) \
-        .select("o_orderkey", "s.partition_column", "s.partition_date", "s.partition_ts")
+        .select("o_orderkey", "s.partition_column", "s.partition_date", F.date_format("s.partition_ts", "yyyy-MM-dd HH").alias("partition_ts"))
 
 
 @query("g03_validate_all_partitions", f"""
@@ -436,9 +436,9 @@ def _q(t):
 
 
 @query("g04_latest_runs", f"""
-  SELECT 'dt=' || dt AS partition, n AS row_count, TIMESTAMP '2024-02-01 18:00:00' AS validated_at FROM {FULL}""")
+  SELECT 'dt=' || dt AS partition, n AS row_count, '2024-02-01 18:00' AS validated_at FROM {FULL}""")
 def _q(t):
-    return S.latest_runs(_store(t)[1]).select("partition", "row_count", "validated_at")
+    return S.latest_runs(_store(t)[1]).select("partition", "row_count", F.date_format("validated_at", "yyyy-MM-dd HH:mm").alias("validated_at"))
 
 
 @query("g05_latest_results", f"""
