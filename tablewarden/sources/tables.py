@@ -89,8 +89,10 @@ def read_jsonl_docs(spark: SparkSession, path: str, text_field: str = "body", id
 
 def read_text_dir(spark: SparkSession, root: str, glob: str = "*.txt", recursive: bool = True) -> DataFrame:
     """One document per file, named by its path below the root."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(root)
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("doc_id"), F.col("_metadata.file_path").alias("source"),
+    df = spark.read.text(root, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
+    path = F.col("_metadata.file_path")
+    below = re.escape(re.sub(r"^\w+:/*", "/", root).rstrip("/"))
+    return df.select(F.regexp_replace(path, f"^.*?{below}/", "").alias("doc_id"), path.alias("source"),
                      F.col("value").alias("text"), F.lit(None).cast("string").alias("load_error"))
 
 
