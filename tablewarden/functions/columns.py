@@ -73,6 +73,33 @@ def computed_once(df: DataFrame, **named: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in named.items()]))))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on key columns whose nulls match each other (a null partition value is a partition too)."""
+    if not keys:
+        return left.crossJoin(right)      # both sides are one row then
+    renamed = right.select(*[col(k).alias(f"_j_{i}") for i, k in enumerate(keys)], *[col(c) for c in right.columns if c not in keys])
+    on = [col(k).eqNullSafe(F.col(f"_j_{i}")) for i, k in enumerate(keys)]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(renamed, cond, how).drop(*[f"_j_{i}" for i in range(len(keys))])
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a costly per-row stage when the input is too small to give every core a split.
+
+    Input that already has a split per core is left alone, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores, *[col(k) for k in keys])
+
+
 def chunked(items: Sequence[Any], size: int) -> list[list[Any]]:
     return [list(items[i:i + size]) for i in range(0, len(items), size)]
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tablewarden.functions.columns import col
+from tablewarden.functions.columns import col, join_null_safe
 from tablewarden.session import ensure_checkpoint_dir
 
 
@@ -33,36 +33,43 @@ def range_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+def _offsets(blocks: DataFrame, groups: Sequence[str], weight: str) -> DataFrame:
+    """(block, group) → ``_offset`` (weight of all earlier blocks of the group), ``_w`` and ``_total``.
+
+    One row per (block, group): at most shuffle partitions x groups rows.
+    """
+    sums = blocks.groupBy("_block", *groups).agg(F.sum(weight).alias("_w"))
+    per_group = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
+    before = F.sum("_w").over(per_group.orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    return sums.select("_block", *groups, "_w", F.coalesce(before, F.lit(0)).alias("_offset"), F.sum("_w").over(per_group).alias("_total"))
+
+
+def _inside(rows: DataFrame, groups: Sequence[str], value: str, weight: str) -> DataFrame:
+    """``_before`` of rows that already carry the ``_offset`` of their block."""
+    w = W.partitionBy("_block", *groups).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("_before", F.coalesce(F.sum(weight).over(w), F.lit(0)) + F.col("_offset"))
+
+
 def running_count(counts: DataFrame, groups: Sequence[str], value: str, weight: str) -> DataFrame:
     """Add ``_before`` (weight of all smaller values of the group) and ``_total`` to one row per value."""
     blocks = range_blocks(counts, [*groups, value])
-    inside = W.partitionBy("_block", *groups).orderBy(value)
-    sums = blocks.groupBy("_block", *groups).agg(F.sum(weight).alias("_w"))
-    # one row per (block, group): at most shuffle partitions x groups rows
-    per_group = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-    offsets = sums.select(
-        "_block", *groups,
-        F.coalesce(F.sum("_w").over(per_group.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        .alias("_offset"),
-        F.sum("_w").over(per_group).alias("_total"),
-    )
-    ranked = blocks.withColumn(
-        "_in", F.coalesce(F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # group columns are never null here: they are column names, rule ids or filtered keys
-    return (
-        ranked.join(offsets, ["_block", *groups])
-        .withColumn("_before", F.col("_in") + F.col("_offset"))
-        .drop("_in", "_offset", "_block")
-    )
+    rows = join_null_safe(blocks, _offsets(blocks, groups, weight), ["_block", *groups])
+    return _inside(rows, groups, value, weight).drop("_block", "_offset", "_w")
 
 
 def order_statistics(df: DataFrame, groups: Sequence[str], value: str, ranks: Column) -> DataFrame:
-    """Values at the 0-based ``ranks`` (an array Column over ``_total``): rows (groups, rank, value, _total)."""
+    """Values at the 0-based ``ranks`` (an array Column over ``_total``): rows (groups, rank, value, _total).
+
+    Only the blocks that hold a wanted rank are sorted; all others are dropped by the join.
+    """
     counts = df.where(col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_count(counts, groups, value, "_n")
-    hits = F.array_distinct(F.filter(
-        ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))))
-    return ranked.select(*groups, value, "_total", F.explode(hits).alias("rank"))
+    blocks = range_blocks(counts, [*groups, value])
+    here = F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("_offset")) & (r < F.col("_offset") + F.col("_w")))
+    wanted = _offsets(blocks, groups, "_n").withColumn("_ranks", here).where(F.size("_ranks") > 0).drop("_w")
+    rows = _inside(join_null_safe(blocks, wanted, ["_block", *groups]), groups, value, "_n")
+    mine = F.col("_before"), F.col("_before") + F.col("_n")
+    near = rows.where((mine[1] > F.array_min("_ranks")) & (mine[0] <= F.array_max("_ranks")))
+    return near.select(*groups, value, "_total", F.explode(F.filter("_ranks", lambda r: (r >= mine[0]) & (r < mine[1]))).alias("rank"))
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
@@ -112,7 +119,7 @@ def adjacent_pairs(df: DataFrame, groups: Sequence[str], order: str, value: str)
     last = blocks.groupBy(*keys).agg(F.max_by(col(value), F.struct(col(order), col(value))).alias("_last"))
     per_group = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     carried = last.select(*keys, F.lag("_last").over(per_group.orderBy("_block")).alias("_carry"))
-    return (inner.join(carried, keys)
+    return (join_null_safe(inner, carried, keys)
             .select(*groups, value, "_copies",
                     F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_lag")).alias("_prev")))
 

@@ -175,3 +175,21 @@ ALIASES = {
     "SCRATCH_CARD": "VOUCHER", "SCRATCH_CARD_PIN": "VOUCHER", "RECHARGE_VOUCHER": "VOUCHER", "TICKET": "SUPPORT_TICKET",
     "INTERNAL_ID": "SUPPORT_TICKET",
 }
+
+# fixed values: what a text must hold for a free-text pattern to match at all, as lower-case pieces or a run of digits
+NEEDS_ANY = {
+    "electricity_account_with_label": ["elec", "كهرباء"], "water_account_with_label": ["water", "wtr", "مياه"], "gas_account_with_label": ["gas", "غاز"],
+    "scan_email": ["@"], "scan_jwt": ["eyj"], "scan_support_ticket": ["sr-"], "scan_transaction_id": ["txn"], "scan_mac_address": [":", "-"],
+    "otp_with_label": ["otp", "one", "code", "كود", "رمز"], "scan_otp_in_sms": ["otp", "code", "verification", "كود", "رمز"],
+    "puk_with_label": ["puk", "unlock"], "cvv_with_label": ["cvv", "cvc", "security"],
+    "gdpr_religion": ["muslim", "christian", "coptic", "catholic", "orthodox", "jewish", "buddhist", "hindu", "atheist", "islam", "الإسلام", "مسلم", "مسيحي", "قبطي", "يهودي"],
+    "gdpr_health_condition": ["hiv", "aids", "cancer", "diabetes", "hepatitis", "psychiatric", "mental", "disability", "الإيدز", "سرطان", "سكري", "إعاقة", "اضطراب"],
+    "gdpr_biometric_data": ["fingerprint", "iris", "facial", "voice", "biometric", "بصمة", "قزحية"],
+    "gdpr_minor_data_flag": ["child", "minor", "underage", "under", "guardian", "طفل", "أطفال", "قاصر", "تحت"],
+    "address_keywords_egypt": ["st", "rd", "road", "building", "floor", "apartment", "apt", "flat", "villa", "governorate", "cairo", "giza", "alexandria", "nasr", "maadi",
+                               "zamalek", "شارع", "طريق", "عمارة", "دور", "شقة", "محافظة", "القاهرة", "الجيزة", "الإسكندرية", "مدينة", "المعادي", "الزمالك"],
+}
+NEEDS_DIGITS = {
+    "msisdn_egypt_scan": 10, "landline_egypt_scan": 9, "national_id_egypt_scan": 14, "passport_egypt_scan": 8, "scan_ipv4": 1, "scan_credit_card": 4, "scan_iban": 2,
+    "scan_national_id_egypt": 14, "scan_imei": 15, "scan_imsi": 15, "scan_iccid": 18, "scan_passport": 8,
+}

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tablewarden.functions import checks as C
 from tablewarden.functions import pattern_values as V
 from tablewarden.functions import text as X
-from tablewarden.functions.columns import col, count_if, lit_list, one_row, ratio, string_columns, unpivot
+from tablewarden.functions.columns import (col, computed_once, count_if, lit_list, one_row, ratio, spread, string_columns,
+                                           unpivot)
 from tablewarden.functions.ordered import adjacent_pairs
 
 FIELDS = ["pattern_name", "entity_type", "group", "script", "validator", "collision_group", "score",
@@ -37,6 +38,17 @@ def java_regex(p: dict[str, Any]) -> str:
     return ("(?U)" if p["group"] == "free_text" or p["script"] in ("both", "arabic") else "") + p["regex"]
 
 
+def may_match(p: dict[str, Any], text: Column, lowered: Column) -> Column:
+    """A cheap necessary condition of a free-text pattern, so that most texts never meet its full expression."""
+    pieces, digits = V.NEEDS_ANY.get(p["pattern_name"]), V.NEEDS_DIGITS.get(p["pattern_name"])
+    if pieces:
+        hit = F.lit(False)
+        for piece in pieces:
+            hit = hit | lowered.contains(piece)
+        return hit
+    return text.rlike(rf"\p{{Nd}}{{{digits}}}") if digits else F.lit(True)
+
+
 def catalog_rows(spark, patterns: Sequence[dict[str, Any]] | None = None) -> DataFrame:
     """The catalogue as rows; its size is the catalogue's (about a hundred rows), so it may be broadcast."""
     rows = [tuple(p[f] for f in FIELDS) for p in patterns or catalog()]
@@ -73,16 +85,22 @@ def regex_rates(df: DataFrame, columns: Sequence[str] | None = None, patterns: S
             continue
         long = unpivot(df, cols).where("value is not null").where(~F.upper("value").isin("NONE", "NAN", "N/A", ""))
         canon = C.msisdn_egypt(F.col("value")) if group == "structured" else F.lit(None).cast("string")
-        cells = long.select("column", "value", F.inline(F.array(F.struct(canon.alias("canon")))))
+        long = spread(long)
+        cells = computed_once(long, canon=canon, lowered=F.lower("value") if group == "free_text" else F.lit(None).cast("string"),
+                              numberish=F.col("value").rlike(r"^\s?[+\-]?\s?\p{Nd}"))
         codes = []
         for i, p in picked:
             v, regex = F.col("value"), java_regex(p)
             hit = v.rlike(regex)
+            if group == "free_text":
+                hit = may_match(p, v, F.col("lowered")) & hit
+            elif p["script"] == "numeric":
+                hit = F.col("numberish") & hit
             if p["script"] == "arabic":
                 hit = F.col("column").isin(arabic) & hit
             if p["entity_type"] == "PHONE_NUMBER" and group == "structured":
                 national = F.concat(F.lit("0"), F.substring("canon", 4, 10))
-                hit = hit | F.coalesce(F.col("canon").rlike(regex) | national.rlike(regex), F.lit(False))
+                hit = hit | (F.col("canon").isNotNull() & (F.col("canon").rlike(regex) | national.rlike(regex)))
             code = F.lit(2 * i + 1)
             if p["validator"]:
                 validator = C.VALIDATORS[p["validator"]]

@@ -149,10 +149,16 @@ def unicode_categories(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def _numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    v = F.col("value")
-    x = F.when(F.lower(F.trim(v)).isin("", "none", "null", "nan", "n/a", "na"), None) \
-        .otherwise(F.trim(X.fold_digits(v)).try_cast("double"))
-    return unpivot(df, names).where("value is not null").select("column", x.alias("x"), v.alias("value"))
+    """(column, x): numeric columns as they are, text columns parsed; x is null where a value does not parse."""
+    numbers = set(numeric_columns(df))
+
+    def as_number(c: str) -> Column:
+        if c in numbers:
+            return col(c).cast("double")
+        t = F.trim(X.fold_digits(col(c).cast("string")))
+        return F.when(~F.lower(t).isin("", "none", "null", "nan", "n/a", "na"), t.try_cast("double"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_number(c).alias("x"), col(c).isNotNull().alias("filled")) for c in names])
+    return df.select(F.inline(pairs)).where("filled")
 
 
 def numeric(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20,
@@ -162,7 +168,7 @@ def numeric(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20,
     long = _numbers(null_if_nan(df), names)
     x = F.col("x")
     stats = long.groupBy("column").agg(
-        F.count("value").alias("non_null"), F.count(x).alias("parsed_count"), F.min(x).alias("min"),
+        F.count(F.lit(1)).alias("non_null"), F.count(x).alias("parsed_count"), F.min(x).alias("min"),
         F.max(x).alias("max"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev"),
         F.var_pop(x).alias("variance"), F.coalesce(F.nanvl(F.skewness(x), F.lit(0.0)), F.lit(0.0)).alias("skewness"),
         F.coalesce(F.nanvl(F.kurtosis(x), F.lit(0.0)), F.lit(0.0)).alias("kurtosis"),

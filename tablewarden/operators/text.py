@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from tablewarden.functions import checks as C
 from tablewarden.functions import text as X
 from tablewarden.functions import text_values as V
-from tablewarden.functions.columns import computed_once, let, lit_list, lit_map, ratio
+from tablewarden.functions.columns import computed_once, let, lit_list, lit_map, ratio, spread
 from tablewarden.functions.spans import SPANS, context, count_matches, find_spans, overlaps, parts
-from tablewarden.operators.detect import canonical_entity, catalog, java_regex
+from tablewarden.operators.detect import canonical_entity, catalog, java_regex, may_match
 
 CONTEXT = 120
 HINT_RADIUS = 40
@@ -59,10 +59,10 @@ def near(labels: Sequence[str], window: str = "_window") -> Column:
 
 # --- candidates ------------------------------------------------------------------------------------------
 
-def regex_candidates(text: Column, patterns: Sequence[dict[str, Any]] | None = None) -> list[Column]:
+def regex_candidates(text: Column, lowered: Column, patterns: Sequence[dict[str, Any]] | None = None) -> list[Column]:
     out = []
     for p in patterns or [p for p in catalog() if p["group"] == "free_text"]:
-        found = find_spans(text, java_regex(p))
+        found = F.when(may_match(p, text, lowered), find_spans(text, java_regex(p)))
         if p["validator"]:
             found = _validated(found, p["validator"])
         out.append(_tagged(found, p["entity_type"], p["validated_score"] or p["score"] if p["validator"] else p["score"],
@@ -78,7 +78,8 @@ def _validated(found: Column, kind: str) -> Column:
 def regex_spans(docs: DataFrame, patterns: Sequence[dict[str, Any]] | None = None) -> DataFrame:
     """Spans of the free-text patterns; a hint near a span raises its score a little."""
     pats = list(patterns or [p for p in catalog() if p["group"] == "free_text"])
-    spans = _explode(docs, regex_candidates(F.col("text"), pats)).withColumn("entity_type", canonical_entity(F.col("entity_type")))
+    texts = computed_once(spread(docs.select("doc_id", "text"), "doc_id"), _lowered=F.lower("text"))
+    spans = _explode(texts, regex_candidates(F.col("text"), F.col("_lowered"), pats)).withColumn("entity_type", canonical_entity(F.col("entity_type")))
     by_entity: dict[str, set[str]] = {}
     for p in catalog():
         by_entity.setdefault(p["entity_type"], set()).update(p["hints"].split())
@@ -93,8 +94,9 @@ def entity_counts(docs: DataFrame, patterns: Sequence[dict[str, Any]] | None = N
     """Matches per (document, pattern) without building spans."""
     pats = list(patterns or [p for p in catalog() if p["group"] == "free_text"])
     entries = [F.struct(F.lit(p["entity_type"]).alias("entity_type"), F.lit(p["pattern_name"]).alias("pattern_name"),
-                        count_matches(F.col("text"), java_regex(p)).alias("n")) for p in pats]
-    return docs.select("doc_id", F.inline(F.filter(F.array(*entries), lambda e: e["n"] > 0)))
+                        F.when(may_match(p, F.col("text"), F.col("_lowered")), count_matches(F.col("text"), java_regex(p))).alias("n")) for p in pats]
+    texts = computed_once(spread(docs.select("doc_id", "text"), "doc_id"), _lowered=F.lower("text"))
+    return texts.select("doc_id", F.inline(F.filter(F.array(*entries), lambda e: e["n"] > 0)))
 
 
 PHONE_SHAPE = r"(?<![\w+])\+?\d[\d\s().\-]{6,18}\d(?!\w)"
@@ -103,7 +105,7 @@ PHONE_SHAPE = r"(?<![\w+])\+?\d[\d\s().\-]{6,18}\d(?!\w)"
 def phone_spans(docs: DataFrame, region: str = "EG") -> DataFrame:
     found = find_spans(F.col("text"), PHONE_SHAPE)
     valid = F.filter(found, lambda s: C.phone(s["surface"], region)["valid"])
-    return _explode(docs, [_tagged(valid, "PHONE_NUMBER", 0.85, "phone", "numbering_plan", "phone", C.digits_of)])
+    return _explode(spread(docs.select("doc_id", "text"), "doc_id"), [_tagged(valid, "PHONE_NUMBER", 0.85, "phone", "numbering_plan", "phone", C.digits_of)])
 
 
 # --- expanders: written forms that plain patterns miss -----------------------------------------------------
@@ -205,7 +207,7 @@ def produced_spans(docs: DataFrame, name: str) -> DataFrame:
 
 
 def expand(docs: DataFrame, *names: str) -> DataFrame:
-    return _explode(docs, [c for n in (names or EXPANDERS) for c in EXPANDERS[n](F.col("text"))])
+    return _explode(spread(docs.select("doc_id", "text"), "doc_id"), [c for n in (names or EXPANDERS) for c in EXPANDERS[n](F.col("text"))])
 
 
 def route(spans: DataFrame, region: str = "EG") -> DataFrame:
@@ -444,7 +446,7 @@ def windows(docs: DataFrame, target: int = 1200, overlap: int = 200) -> DataFram
     zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     steps = F.sequence(F.lit(0), (n / F.lit(least - overlap)).cast("int"))
     out = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    return docs.where(n > 0).select("doc_id", "text", F.posexplode(out).alias("win", "w")).select(
+    return spread(docs.where(n > 0).select("doc_id", "text"), "doc_id").select("doc_id", "text", F.posexplode(out).alias("win", "w")).select(
         "doc_id", "win", "w.start", "w.end", F.substr("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"))
 
 

@@ -128,3 +128,13 @@ def test_value_mode(query, value):
 def test_only_one_select(query):
     with pytest.raises(ValueError):
         Q.check(query)
+
+
+def test_null_partition_value_is_a_partition(spark):
+    df = spark.range(60).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("p"), (F.col("id") % 7).alias("v"), F.col("id").alias("o"))
+    rules = [R.rule("column_values_to_be_unique", "v"), R.rule("column_median_to_be_between", "v", min_value=0), R.rule("column_values_to_be_increasing", "v", order_by="o", mostly=0.1)]
+    got = {(r["p"], r["expectation"]): r for r in R.validate_by(df, ["p"], rules).collect()}
+    assert len(got) == 9
+    assert got[(None, "column_values_to_be_unique")]["element_count"] == 20
+    assert got[(None, "column_median_to_be_between")]["observed_value"] is not None
+    assert got[(None, "column_values_to_be_increasing")]["element_count"] == 20
