@@ -99,7 +99,7 @@ def _q(t):
 
 @query("c04_validated_matches", f"""
   SELECT 'card' AS "column", 'credit_card_visa' AS pattern_name, count(*) FILTER (WHERE regexp_matches(card, '^4[0-9]{{12}}(?:[0-9]{{3}})?(?:[0-9]{{3}})?$')) AS regex_matches,
-         count(*) FILTER (WHERE regexp_matches(card, '^4[0-9]{{12}}(?:[0-9]{{3}})?(?:[0-9]{{3}})?$') AND {luhn_sql('card')}) AS matches, 0.95 AS score FROM {CONTACTS_SQL}""")
+         count(*) FILTER (WHERE regexp_matches(card, '^4[0-9]{{12}}(?:[0-9]{{3}})?(?:[0-9]{{3}})?$') AND {luhn_sql('card')}) AS matches, 0.95::DOUBLE AS score FROM {CONTACTS_SQL}""")
 def _q(t):
     return P.regex_rates(contacts(t), ["card"]).where("pattern_name = 'credit_card_visa'") \
         .select("column", "pattern_name", "regex_matches", "matches", "score")

@@ -81,7 +81,7 @@ def _q(t):
     files = S.read_text_dir(t.spark, path, "*.txt")
     # several documents may share a file here; a document is one JSON line of it
     line = F.explode(F.split(F.rtrim("text"), "\n")).alias("line")
-    docs = files.select(line).select(F.from_json("line", "lang string, text string").alias("d"))
+    docs = files.select(line).where("line <> ''").select(F.from_json("line", "lang string, text string").alias("d"))
     return docs.groupBy(F.col("d.lang").alias("lang")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("d.text")).alias("chars"))
 
 

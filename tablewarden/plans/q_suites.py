@@ -286,7 +286,7 @@ def _q(t):
 
 
 @query("d03_relax_rules", f"""
-  SELECT k, greatest(0.0, floor(p_size - 1.0)) AS relaxed_min, ceil(p_size + 10 + 1.0) AS relaxed_max
+  SELECT k, greatest(0.0, floor(p_size - 1.0))::DOUBLE AS relaxed_min, ceil(p_size + 10 + 1.0)::DOUBLE AS relaxed_max
   FROM {PART_RULES} WHERE expectation LIKE '%between'""")
 def _q(t):
     return D.relax(_part_rules(t), 0.1).where("relaxed_min is not null").select("k", "relaxed_min", "relaxed_max")
