@@ -389,7 +389,6 @@ def name_signals(hits: DataFrame, patterns: DataFrame | None = None) -> DataFram
         negative = negative | ((F.col("entity_type") == entity) & F.arrays_overlap("_tokens", lit_list(tokens.split())))
     named = named.where(~negative)
     # look-alikes: score of each pattern of a group by how many of its tokens the name holds
-    winner = F.create_map().cast("map<string,string>")
     groups: dict[str, list[tuple[str, list[str]]]] = {}
     for g, p, toks in V.COLLISIONS:
         groups.setdefault(g, []).append((p, toks.split()))
@@ -665,10 +664,13 @@ def edge_rules(evidence: DataFrame, rules: Sequence[dict[str, Any]]) -> DataFram
 
 
 def replay(evidence: DataFrame, settings: DataFrame) -> DataFrame:
-    """The same evidence under every (setting, mode, threshold…) row; settings are a handful of rows."""
+    """The same evidence under every (setting, mode, threshold…) row.
+
+    Settings are control data, a handful of rows: they become literals that every evidence row is unfolded with.
+    """
     t = {k: F.col(f"t_{k}") for k in THRESHOLDS if f"t_{k}" in settings.columns}
-    joined = evidence.crossJoin(F.broadcast(settings))
-    return decide(joined, F.col("mode"), t)
+    options = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(settings.schema.fields, row)]) for row in settings.collect()])
+    return decide(evidence.select("*", F.inline(options)), F.col("mode"), t)
 
 
 def verdict_diff(a: DataFrame, b: DataFrame) -> DataFrame:

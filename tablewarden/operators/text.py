@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions import checks as C
 from tablewarden.functions import text as X
 from tablewarden.functions import text_values as V
-from tablewarden.functions.columns import computed_once, let, lit_list, lit_map, ratio, spread
+from tablewarden.functions.columns import computed_once, lit_map, ratio, spread
 from tablewarden.functions.spans import SPANS, context, count_matches, find_spans, overlaps, parts
 from tablewarden.operators.detect import canonical_entity, catalog, java_regex, may_match
 
@@ -542,4 +542,4 @@ def normalize_value(c: Column, entity: Column) -> Column:
 
 __all__ = ["regex_spans", "entity_counts", "phone_spans", "expand", "route", "merge_equivalent", "trim", "exclude", "extend_context",
            "number_policy", "clusters", "islands", "arbitrate", "resolve", "windows", "rebase", "clip", "pending", "report", "coverage",
-           "scan", "injection", "toxicity", "action", "normalize_value", "register_expander", "register_spans", "let", "lit_list"]
+           "scan", "injection", "toxicity", "action", "normalize_value", "register_expander", "register_spans"]

@@ -480,7 +480,8 @@ def _q(t):
 
 @query("c36_postprocess_hits")
 def _q(t):
-    h = _hits(t).withColumn("valid_rate", F.lit(0.9)).withColumn("context_hit", F.col("k") % 3 == 0).dropDuplicates(["table_name", "column", "pattern_name"])
+    h = _hits(t).withColumn("valid_rate", F.lit(0.9)).withColumn("context_hit", F.col("k") % 3 == 0)
+    h = h.groupBy("table_name", "column", "pattern_name", "entity_type", "validator").agg(*[F.max(c).alias(c) for c in ("k", "score", "match_rate", "valid_rate", "context_hit")])
     ev = h.groupBy("table_name", "column").agg(F.min("k").alias("k")).select(
         "table_name", "column", ((F.col("k") % 4) / 4).alias("msisdn_valid_rate"), F.when(F.col("k") % 2 == 0, "IMEI").otherwise("IMSI").alias("dominant"),
         (F.col("k") % 5 == 0).alias("has_602"), (F.col("k") % 7 == 0).alias("any_imsi"), F.when(F.col("k") % 3 == 0, "latitude").otherwise("none").alias("geo_verdict"),

@@ -236,12 +236,12 @@ def _base(t):
 
 
 def _queries(t):
-    return t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("group"))
+    return t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("group"))
 
 
 def _knn_sql(where="true", expr="1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"):
     return f"""SELECT * FROM (SELECT a.vec_id AS qid, b.vec_id AS bid, {expr} AS d, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {expr}, b.vec_id) AS INTEGER) AS rank
-               FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id AND {where}) WHERE rank <= 5"""
+               FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {where}) WHERE rank <= 5"""
 
 
 @query("n01_nearest_cosine", f"SELECT qid, bid, rank, round(d, 5) AS distance FROM ({_knn_sql()})")
@@ -284,7 +284,7 @@ def _q(t):
 @query("n05_memory_search", f"SELECT qid, bid, round(1 - d, 5) AS similarity FROM ({_knn_sql('a.label = b.label')}) WHERE 1 - d >= 0.2")
 def _q(t):
     mem = t.embeddings.select(F.col("vec_id").alias("bid"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("logical_type"))
-    q = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("logical_type"))
+    q = t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("logical_type"))
     group = F.col("logical_type")
     hits = N.knn(q.withColumn("group", group), mem.withColumn("group", group), 5, exclude_self=True)
     return hits.withColumn("similarity", 1 - F.col("distance")).where("similarity >= 0.2").select("qid", "bid", F.round("similarity", 5).alias("similarity"))
@@ -303,7 +303,7 @@ def _q(t):
 @query("n07_memory_search_batch", f"SELECT qid, count(*) AS hits FROM ({_knn_sql()}) GROUP BY qid")
 def _q(t):
     mem = t.embeddings.select(F.col("vec_id").alias("bid"), F.col("embedding").alias("vector"), F.lit("x").alias("logical_type"))
-    q = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.lit("x").alias("logical_type"))
+    q = t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.lit("x").alias("logical_type"))
     return N.memory_search(q, mem, 5, -1.0).groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
 
 

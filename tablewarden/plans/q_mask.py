@@ -244,7 +244,9 @@ def _q(t):
 def _q(t):
     plan = [M.MaskRule("email", "hash", {"truncate": 8}), M.MaskRule("card", "fpe", {"key_ref": "k1"})]
     side = M.compare(contacts(t), plan, MASTER, 20)
-    return side.select("email.original", "email.masked").crossJoin(M.manifest(plan, t.spark).where("reversible").select("column"))
+    shown = side.select(F.lit("sample").alias("part"), F.col("email.original").alias("a"), F.col("email.masked").alias("b"))
+    listed = M.manifest(plan, t.spark).select(F.lit("manifest").alias("part"), F.col("column").alias("a"), F.col("strategy").alias("b"))
+    return shown.unionByName(listed)
 
 
 EMAIL_SPAN = r"(^|[^\pL\pN_])([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})"

@@ -55,9 +55,6 @@ def _value(name: str, table: str, kind: str, column: str | None, expr: str, lo,
 
 
 def _schema(name: str, table: str, kind: str, column: str | None, sql_ok: str, **kw):
-    cols = f"(SELECT column_name, ordinal_position FROM (SELECT unnest(list_value(" \
-           f"*COLUMNS('.*'))) FROM {table}))"
-    del cols
     sql = f"""SELECT '{kind}' AS expectation, '{column or ''}' AS column_name, ({sql_ok}) AS success
               FROM (SELECT list(column_name ORDER BY cid) AS names, list(column_type ORDER BY cid) AS types
                     FROM (SELECT column_name, column_type, row_number() OVER () AS cid
