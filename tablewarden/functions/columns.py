@@ -93,6 +93,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     Input that already has a split per core is left alone, so nothing large is ever shuffled for this.
     """
+    if not hasattr(df, "_jdf"):       # a remote session does not show its size estimate
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * SPLIT_BYTES:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.functions import text as X
-from tablewarden.functions.columns import (col, count_if, lit_list, null_if_nan, numeric_columns, one_row, ratio,
+from tablewarden.functions.columns import (col, count_if, lit_list, null_if_nan, numeric_columns, one_row, ratio, spread,
                                            scalar_columns, string_columns, unpivot)
 from tablewarden.functions.dates import parse_any
 from tablewarden.functions.ordered import adjacent_pairs, average_ranks, exact_quantiles
@@ -165,7 +165,7 @@ def numeric(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20,
             min_parse_rate: float = 0.5) -> DataFrame:
     """Numeric profile of every column whose values mostly parse as numbers."""
     names = list(columns or scalar_columns(df))
-    long = _numbers(null_if_nan(df), names)
+    long = _numbers(spread(null_if_nan(df).select(*[col(c) for c in names])), names)
     x = F.col("x")
     stats = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("non_null"), F.count(x).alias("parsed_count"), F.min(x).alias("min"),
@@ -540,7 +540,7 @@ def fingerprint(df: DataFrame, pii_columns: Sequence[str] = (), columns: Sequenc
         F.min(x).alias("num_min"), F.max(x).alias("num_max"), F.avg(x).alias("num_mean"), F.stddev_samp(x).alias("num_std"))
     lens = long.where("value is not null").groupBy("column", n_len.alias("len")).agg(F.count(F.lit(1)).alias("c"))
     cd = F.col("c").cast("double")
-    spread = lens.groupBy("column").agg(
+    length_stats = lens.groupBy("column").agg(
         F.expr("percentile(len, array(0.5D, 0.9D), c)").alias("lq"),
         F.round(F.log2(F.sum(cd)) - F.sum(cd * F.log2(cd)) / F.sum(cd), 6).alias("len_entropy"))
     mask_counts = long.where("value is not null").groupBy(
@@ -555,7 +555,7 @@ def fingerprint(df: DataFrame, pii_columns: Sequence[str] = (), columns: Sequenc
     shown = F.col("column").isin(numeric_columns(df)) & ~pii
     distinct = F.coalesce("distinct", F.lit(0))
     ratio_ = F.least(distinct / F.greatest(F.col("rows"), F.lit(1)), F.lit(1.0))
-    out = base.join(spread, "column", "left").join(top, "column", "left") \
+    out = base.join(length_stats, "column", "left").join(top, "column", "left") \
         .join(distinct_counts(df, names).select("column", "distinct"), "column", "left")
     punct = F.col("chars") - F.col("digit") - F.col("alpha") - F.col("space") - F.col("arabic")
 
