@@ -87,10 +87,11 @@ def word_hashes(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray,
 def slices(batches, limit: int = 4 << 20, text: str = "text"):
     """Record batches cut into tables of about ``limit`` bytes of text, one row at least."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(table[text].cast(pa.large_binary())), 0).to_numpy().astype(np.int64)) if table.num_rows else np.zeros(0)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(table[text]), 0).to_numpy().astype(np.int64))
         start = 0
         while start < table.num_rows:
             base = sizes[start - 1] if start else 0
