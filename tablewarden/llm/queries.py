@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import chat, lang_id, line_rules, near_dup, quality_model, sharding, url_rules
+from tablewarden.llm import chat, decontaminate, lang_id, line_rules, near_dup, quality_model, sharding, url_rules
 from tablewarden.llm.common import held_out
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return lang_id.predict(docs, lang_id.train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
