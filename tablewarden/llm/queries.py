@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import chat, decontaminate, lang_id, line_rules, near_dup, quality_model, sharding, url_rules
+from tablewarden.llm import bpe, chat, decontaminate, lang_id, line_rules, near_dup, quality_model, sharding, token_files, url_rules
 from tablewarden.llm.common import held_out
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +118,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return bpe.round_trip(docs, bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    token_files.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_files.digests(spark, path)
