@@ -12,6 +12,8 @@ is in the tests.  Items are searched in blocks of ``BLOCK``, so what goes to the
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,6 +176,15 @@ def _leaks(items: Items, percent: int):
     return run
 
 
+def _blocks(benchmark: DataFrame, block: int) -> list[Items]:
+    """The different items with an id and a text, in blocks of about ``block``."""
+    wanted = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    n = max(1, -(-wanted.count() // block))
+    for b in range(n):
+        part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
+        yield Items([(r["item_id"], r["text"].encode()) for r in part])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, n_words, distance, begin, end): the best stretch, in UTF-8 bytes of the text, of each item in each document it leaks into.
 
@@ -181,13 +192,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block:
     match nothing; an item leaks if distance <= percent x n_words / 100, so items below five words must occur as they are.  Documents with
     a null or repeated doc_id are searched like others.  Empty tables give an empty result.
     """
-    wanted = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    blocks = max(1, -(-wanted.count() // block))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id bigint, n_words bigint, distance bigint, begin bigint, end bigint"
-    out = None
-    for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        found = rows.mapInArrow(_leaks(Items([(r["item_id"], r["text"].encode()) for r in part]), percent), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_leaks(items, percent), schema) for items in _blocks(benchmark, block)])
+
+
+def _clean(items: Items, percent: int):
+    import pyarrow as pa
+
+    def run(batches):
+        for t in slices(batches, 2 << 20, "_text"):
+            hits = search(items, [x or b"" for x in t["_text"].cast(pa.large_binary()).to_pylist()], percent)
+            free = np.ones(t.num_rows, dtype=bool)
+            free[[h[0] for h in hits]] = False
+            yield from t.filter(pa.array(free)).to_batches()
+
+    return run
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` into which no item leaks, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
+    for items in _blocks(benchmark, block):
+        rows = rows.mapInArrow(_clean(items, percent), rows.schema)
+    return rows.select("_row.*")

@@ -67,16 +67,13 @@ def measures(text: Column) -> list[Column]:
             (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"), dup.cast("bigint").alias("n_dup_lines")]
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
-
-    ``docs`` needs doc_id, text and source (the host).  A null text has no words and fails the base rules; rows without a source
-    form one host; rows without a doc_id are judged like others.  Repeated rows are each returned.
-    """
-    host, digest = F.coalesce("source", F.lit("\0")).alias("_host"), F.xxhash64("text").alias("_text")
-    base = docs.select("doc_id", host, digest, *measures(F.col("text"))).select(
-        "doc_id", "_host", "_text", F.col("_both.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_both.r").alias("n_repeat_words"))
-    lines = F.transform(lines_of(F.coalesce(F.col("text"), F.lit(""))), normal)
+def _judged(docs: DataFrame, columns: list[str], max_docs: int, min_left: int) -> DataFrame:
+    """Measures and verdict of every row, with ``columns`` in the struct ``_row``."""
+    text = F.col("text").cast("string")
+    host, digest = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_host"), F.xxhash64(text).alias("_text")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), host, digest, *measures(text)).select(
+        "_row", "_host", "_text", F.col("_both.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_both.r").alias("n_repeat_words"))
+    lines = F.transform(lines_of(F.coalesce(text, F.lit(""))), normal)
     counted = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), word_count(x).alias("words")))
     held = docs.select(host, digest, F.explode(counted).alias("l")).select("_host", "_text", "l.line", "l.words")
     # one row for each different text of a host and line: how often the text holds it does not matter for the count of documents
@@ -86,7 +83,21 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -
     copies = docs.select(host, digest).groupBy("_host", "_text").agg(F.count(F.lit(1)).alias("_copies"))
     removed = removed.join(copies, ["_host", "_text"]).select("_host", "_text", (F.col("_removed") / F.col("_copies")).cast("bigint").alias("removed_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
+    gone = F.coalesce("removed_words", F.lit(0))
     return base.join(removed, ["_host", "_text"], "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.coalesce("removed_words", F.lit(0)).alias("removed_words"), (~failed & (100 * left >= min_left * F.col("n_words"))).alias("kept"))
+        "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("removed_words"),
+        (~failed & (100 * (F.col("n_words") - gone) >= min_left * F.col("n_words"))).alias("kept"))
+
+
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
+
+    ``docs`` needs doc_id, text and source (the host).  A null text has no words and fails the base rules; rows without a source
+    form one host; rows without a doc_id are judged like others.  Repeated rows are each returned.
+    """
+    return _judged(docs, ["doc_id"], max_docs, min_left).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+def keep(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns whatever these are called."""
+    return _judged(docs, docs.columns, max_docs, min_left).where("kept").select("_row.*")

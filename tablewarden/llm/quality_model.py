@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tablewarden.llm.common import held_out, mix, slices, word_hashes
 
@@ -114,19 +114,27 @@ def _scored(weights: np.ndarray, bias: float):
     import pyarrow as pa
 
     def run(batches):
-        for t in slices(batches, 1 << 20):
-            texts = [x or b"" for x in t["text"].cast(pa.large_binary()).to_pylist()]
+        for t in slices(batches, 1 << 20, "_text"):
+            texts = [x or b"" for x in t["_text"].cast(pa.large_binary()).to_pylist()]
             buckets, owner = features(texts)
             total = np.bincount(owner, weights=weights[buckets], minlength=len(texts))
             mean = total / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
             score = 1 / (1 + np.exp(-np.clip(mean + bias, -30, 30)))
-            columns = [t[c].combine_chunks() for c in t.column_names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*[c for c in t.column_names if c != "text"], "score"])
+            yield pa.RecordBatch.from_arrays([t["_row"].combine_chunks(), pa.array(score)], names=["_row", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id, score (0 to 1, higher: better) and predicted (1 from 0.5 on) of every whole text; a null text is scored as an empty one."""
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scored(*model), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (default: doc_id) in the struct ``_row``, score (0 to 1, higher: better) and predicted (1 from 0.5 on) of every whole text.
+
+    A null text is scored as an empty one; ids play no part, so null or repeated ones are scored like others.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or ["doc_id"]]).alias("_row"), F.col("text").cast("string").alias("_text"))
+    scored = rows.mapInArrow(_scored(*model), T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that a classifier learned from the labelled ones among them predicts to be good, with all their columns."""
+    return score(docs, train(docs, labels), docs.columns).where("predicted = 1").select("_row.*")

@@ -106,7 +106,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_model.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return quality_model.score(docs, model).select("_row.doc_id", held_out(F.col("_row.doc_id")).alias("held_out"), "score", "predicted")
 
 
 @query("op3_language_id")
