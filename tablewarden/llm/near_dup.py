@@ -1,13 +1,14 @@
 """Near-duplicate documents: a chosen-path set similarity join over word shingles, then exact confirmation.
 
-1. Every text gives its distinct 5-word shingles as 64-bit hashes, a digest of the set, and 128 min-wise tokens.
-   Documents with equal sets are one class from here on, so thousands of copies cost one row.
+1. Every text gives its distinct 5-word shingles as 64-bit hashes, a digest of the set, a few whole min-wise tokens to branch by and one byte of
+   each of 128 tokens to estimate by.  Documents with equal sets are one class from here on, so thousands of copies cost one row.
 2. Independent trees branch the classes by chosen min-wise tokens: a node holds the classes that agree on all tokens along its path.
    A node of at most ``LEAF`` classes is compared exhaustively; a larger one branches again, by ``FAN`` chosen tokens at once,
    down to ``DEPTH`` levels.  What is still large there is dealt in pairs of blocks, so every pair is compared all the same.
 3. A node compares min-wise estimates and returns only a spanning forest of the pairs whose estimate lies within ``MARGIN`` of the
    threshold; the forests' components are candidate clusters, which hold both ends of every link.
-4. Inside each cluster full shingle sets are intersected (in pairs of blocks again), and a spanning forest of the confirmed links is kept.
+4. The texts of clustered classes (a fixed-size bitmap of ids keeps all others from being moved) meet in their cluster, full shingle sets are
+   intersected (in pairs of blocks again), and a spanning forest of the confirmed links is kept.
 
 A pair at the threshold s is missed with a chance of about (1-s)^TREES in nodes of one level: below 3e-6 for 0.8.
 """
@@ -15,7 +16,7 @@ A pair at the threshold s is missed with a chance of about (1-s)^TREES in nodes
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import mix, slices, word_hashes, written
@@ -23,9 +24,11 @@ from tablewarden.llm.common import mix, slices, word_hashes, written
 SHINGLE = 5
 TOKENS = 128                  # min-wise tokens for each set
 TREES = 8
-LEAF = 1_000                  # classes that a node may hold to be compared exhaustively
-FAN = 4                       # chosen tokens for each further branching of a large node
-DEPTH = 4
+LEAF = 4_000                  # classes that a node may hold to be compared exhaustively
+FAN = 2                       # chosen tokens for each further branching of a large node
+DEPTH = 3
+PATH = TREES + FAN * DEPTH    # tokens to branch by
+BITS = 1 << 22                # of the bitmap of clustered ids
 BLOCK = 1_000                 # classes in a block where a group has to be dealt in pairs of blocks
 MARGIN = 0.14                 # over 4 standard deviations of an estimate from 128 tokens
 
@@ -63,7 +66,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(batches):
-    """doc_id, n, digest (two sums) and min-wise tokens of each text."""
+    """doc_id, n, digest (two sums), the tokens to branch by and the sketch of each text."""
     import pyarrow as pa
 
     for t in slices(batches):
@@ -80,7 +83,8 @@ def _profiles(batches):
                 sums[full, 1] = np.add.reduceat(mix(sets ^ np.uint64(0x5DEECE66D)), starts)
         yield pa.RecordBatch.from_arrays([
             t["doc_id"].combine_chunks(), pa.array(n.astype(np.int64)), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
-            pa.array([r.tobytes() if k else None for r, k in zip(mix(tokens), n)], type=pa.binary())], names=["doc_id", "n", "s1", "s2", "tokens"])
+            pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * PATH), pa.array(tokens[:, :PATH].reshape(-1).view(np.int64))),
+            pa.array([r.tobytes() for r in mix(tokens).astype(np.uint8)], type=pa.binary())], names=["doc_id", "n", "s1", "s2", "path", "sketch"])
 
 
 def _forest(m: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +130,7 @@ def _estimated(least: float, low: float):
 
     def rows_of(table):
         ids, n, half = table["id"].to_numpy(), table["n"].to_numpy(), table["half"].to_numpy()
-        sig = np.frombuffer(b"".join(table["tokens"].to_pylist()), dtype=np.uint64).reshape(-1, TOKENS).astype(np.uint16)
+        sig = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
         return ids, n, half, sig
 
     def compare(sig, n, left, right, half):
@@ -168,7 +172,7 @@ def _estimated(least: float, low: float):
 
 
 def _confirmed(percent: int):
-    """Of each cluster, or pair of its blocks (rows sorted by group): the spanning forest of the links that hold on full shingle sets."""
+    """Of each cluster, or pair of its blocks (rows sorted by group): the spanning forest of the links that hold on the texts' full shingle sets."""
     import pyarrow as pa
 
     def run(batches):
@@ -176,10 +180,9 @@ def _confirmed(percent: int):
             for first, last in zip(cuts[:-1], cuts[1:]):
                 part = table.slice(first, last - first)
                 ids, half = part["id"].to_numpy(), part["half"].to_numpy()
-                sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"].to_pylist()]
-                n = np.array([len(x) for x in sets])
+                sets, n = shingle_sets([x or b"" for x in part["text"].cast(pa.large_binary()).to_pylist()])
                 m = len(ids)
-                flat, codes = np.unique(np.concatenate(sets), return_inverse=True)
+                flat, codes = np.unique(sets, return_inverse=True)
                 owner = np.repeat(np.arange(m), n)
                 shared = np.bincount(codes, minlength=len(flat)) > 1
                 keep = shared[codes]
@@ -240,21 +243,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per document: doc_id, n, s1, s2), (one row per different non-empty shingle set: id, n, tokens); both written."""
+    """(one row per document: doc_id, n, s1, s2), (one row per different non-empty shingle set: id, n, path, sketch); both written."""
     profiles = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _profiles, "doc_id bigint, n bigint, s1 bigint, s2 bigint, tokens binary"), "profiles")
-    owners = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
-    # the tokens of a class are those of its smallest document: an equi-join on the id, with no hot key
-    tokens = profiles.where("n > 0").select(F.col("doc_id").alias("id"), "tokens", F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
-    reps = owners.join(tokens, "id").where("n = _n AND s1 = _s1 AND s2 = _s2").groupBy("id", "n", "s1", "s2").agg(F.first("tokens").alias("tokens"))
-    return profiles.drop("tokens"), written(reps, "classes")
+        _profiles, "doc_id bigint, n bigint, s1 bigint, s2 bigint, path array<bigint>, sketch binary"), "profiles")
+    named = profiles.where("n > 0 AND doc_id IS NOT NULL")
+    owners = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
+    # the tokens of a class are those of its smallest document
+    mine = owners.select("id", F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
+    reps = named.join(mine, F.col("doc_id") == F.col("id")).where("n = _n AND s1 = _s1 AND s2 = _s2").select("id", "n", "path", "sketch").dropDuplicates(["id", "n", "path"])
+    return profiles.select("doc_id", "n", "s1", "s2"), written(reps, "classes")
 
 
 def candidate_edges(reps: DataFrame, percent: int, trees: int = TREES, leaf: int = LEAF, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
     """Edges (a, b) whose components hold both ends of every pair of classes that reaches ``percent``."""
-    token = lambda k: F.substring("tokens", k % TOKENS * 8 + 1, 8)
-    sums = lambda k: F.xxhash64(F.lit(k % TOKENS), token(k))
-    level = reps.select("id", "n", F.explode(F.array(*[F.xxhash64(F.lit(t), sums(t)) for t in range(trees)])).alias("node"))
+    token = lambda k: F.get("path", F.lit(k))
+    level = reps.select("id", F.explode(F.array(*[F.xxhash64(F.lit(t), token(t)) for t in range(trees)])).alias("node"))
     leaves, at = [], trees
     for d in range(depth + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("_held")).where("_held > 1")
@@ -263,31 +266,31 @@ def candidate_edges(reps: DataFrame, percent: int, trees: int = TREES, leaf: int
         leaves.append(_dealt(level.select("node", "id"), small, "node", "_held", leaf))
         if last:
             break
-        large = level.join(sizes.where(F.col("_held") > leaf).select("node"), "node").select("id", "n", "node")
+        large = level.join(sizes.where(F.col("_held") > leaf).select("node"), "node").select("id", "node")
         if large.isEmpty():
             break
-        large = large.join(reps.select("id", "tokens"), "id")
-        level = written(large.select("id", "n", F.explode(F.array(*[F.xxhash64("node", F.lit(k), sums(k)) for k in range(at, at + fan)])).alias("node")), "level")
+        branched = large.join(reps.select("id", "path"), "id").select("id", F.explode(F.array(*[F.xxhash64("node", F.lit(k), token(k)) for k in range(at, at + fan)])).alias("node"))
+        level = written(branched, "level")
         at += fan
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
-    filled = nodes.join(reps.select("id", "n", "tokens"), "id")
-    grouped = filled.select("group", "id", "half", "n", "tokens").repartition("group").sortWithinPartitions("group", "half")
+    filled = nodes.join(reps.select("id", "n", "sketch"), "id")
+    grouped = filled.select("group", "id", "half", "n", "sketch").repartition("group").sortWithinPartitions("group", "half")
     return grouped.mapInArrow(_estimated(percent / 100, percent / 100 - MARGIN), "a bigint, b bigint").distinct()
 
 
-def _sets(batches):
-    import pyarrow as pa
-
-    for t in slices(batches):
-        sets, n = shingle_sets([x or b"" for x in t["text"].cast(pa.large_binary()).to_pylist()])
-        ends = np.cumsum(n)
-        yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), t["cluster"].combine_chunks(), pa.array(
-            [sets[e - k:e].tobytes() for e, k in zip(ends, n)], type=pa.binary())], names=["id", "cluster", "shingles"])
+def _within(ids: DataFrame, id_: Column) -> Column:
+    """Whether a bitmap of ``BITS`` bits, made of the hashed ids, holds this id: true for every one of them and for few others."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    words = [0] * (BITS // 64)
+    for r in ids.select(bit("id").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(b, 64)))")).alias("v")).collect():
+        words[r["w"]] = r["v"]                            # BITS / 64 rows at most
+    table = F.from_json(F.lit(str(words)), "array<bigint>")
+    return F.getbit(F.get(table, F.shiftright(bit(id_), 6).cast("int")), F.pmod(bit(id_), F.lit(64)).cast("int")) == 1
 
 
-def resolve(docs: DataFrame, percent: int = 80) -> DataFrame:
+def resolve(docs: DataFrame, percent: int = 80, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (it is that document).
 
     A link is 100 x intersection >= ``percent`` x union of the shingle sets.  A null, empty or blank text has no shingles and is linked with
@@ -295,13 +298,13 @@ def resolve(docs: DataFrame, percent: int = 80) -> DataFrame:
     and is kept.  Repeated rows of a doc_id are each returned; extra columns are ignored; an empty table gives an empty result.
     """
     profiles, reps = classes(docs)
-    clusters = components(written(candidate_edges(reps, percent), "candidates"), "clusters")
+    clusters = components(written(candidate_edges(reps, percent, leaf=leaf), "candidates"), "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("root", "cluster")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(clusters, "id").mapInArrow(
-        _sets, "id bigint, cluster bigint, shingles binary")
+    named = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = named.where(_within(clusters, F.col("id"))).join(clusters, "id")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_held"))
-    dealt = _dealt(texts, sizes, "cluster", "_held", BLOCK).repartition("group").sortWithinPartitions("group", "half", "id")
-    links = written(dealt.select("group", "id", "half", "shingles").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
+    dealt = _dealt(texts, sizes, "cluster", "_held", block).repartition("group").sortWithinPartitions("group", "half", "id")
+    links = written(dealt.select("group", "id", "half", "text").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
     roots = components(links, "roots")
     owners = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
     owners = owners.join(roots, "id", "left").select("n", "s1", "s2", F.coalesce("root", "id").alias("component_id"))
@@ -309,3 +312,13 @@ def resolve(docs: DataFrame, percent: int = 80) -> DataFrame:
     alone = profiles.where("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     out = linked.select("doc_id", "n", "component_id").unionByName(alone.select("doc_id", "n", "component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its group, with all their columns.
+
+    Rows with a null doc_id stay; of repeated rows of one doc_id one stays.
+    """
+    gone = resolve(docs, percent).where("NOT kept").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
