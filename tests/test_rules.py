@@ -120,14 +120,21 @@ def test_empty_table_passes(spark):
 
 @pytest.mark.parametrize("query,value", [("SELECT COUNT(*) FROM t", True), ("SELECT a FROM t", False), ("SELECT (SELECT max(a) FROM t) AS m, b FROM t", False),
                                          ("WITH x AS (SELECT count(*) AS n FROM t) SELECT * FROM x", False), ("select distinct coalesce(sum(a), 0) from t", True)])
-def test_value_mode(query, value):
-    assert Q.is_value_query(query) is value
+def test_value_mode(spark, query, value):
+    spark.range(3).selectExpr("id AS a", "id AS b").createOrReplaceTempView("t")
+    assert (Q.value_of(spark.sql(query)) is not None) is value
 
 
-@pytest.mark.parametrize("query", ["DELETE FROM t", "SELECT 1; DROP TABLE t", "", "UPDATE t SET a = 1"])
-def test_only_one_select(query):
+@pytest.mark.parametrize("query", ["", " ; ", "DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t SELECT 1", "SELECT 1) x; DROP TABLE t; SELECT (1"])
+def test_only_queries(spark, query):
     with pytest.raises(ValueError):
-        Q.check(query)
+        Q.check(spark, query)
+
+
+def test_names_in_queries(spark):
+    assert Q.addressed("SELECT 'db.tab ${object}' FROM `DB`.tab JOIN ${object} -- db.tab", "v", "db.tab") == "SELECT 'db.tab ${object}' FROM v JOIN v -- db.tab"
+    row = Q.evaluate(spark.range(5).withColumnRenamed("id", "a"), Q.sql_rule("select ${property} from data where a > 2 -- ;", column="a", mustBeLessThan=1)).first()
+    assert not row["success"] and row["unexpected_count"] == 2
 
 
 def test_null_partition_value_is_a_partition(spark):
