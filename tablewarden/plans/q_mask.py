@@ -188,10 +188,13 @@ def _q(t):
     return _masked(t, M.MaskRule("email", "fake", {"kind": "uuid"})).select("k", F.col("email").alias("masked"))
 
 
+LONG_REGEX = r"(ab|cd)-[A-F0-9]{4,6}\d{2}x?[a-z]{200}"
+
+
 @query("k18_fake_regex", f"SELECT k, true AS matches FROM {CONTACTS_SQL}")
 def _q(t):
-    m = _masked(t, M.MaskRule("email", "fake", {"kind": "regex", "regex_pattern": r"(ab|cd)-[A-F0-9]{4,6}\d{2}x?"}))
-    return m.select("k", F.col("email").rlike(r"^(ab|cd)-[A-F0-9]{4,6}\d{2}x?$").alias("matches"))
+    m = _masked(t, M.MaskRule("email", "fake", {"kind": "regex", "regex_pattern": LONG_REGEX}))
+    return m.select("k", F.coalesce(F.col("email").rlike(f"^{LONG_REGEX}$"), F.lit(False)).alias("matches"))
 
 
 _one("k19_fake_text", "'[redacted]'", M.MaskRule("email", "fake", {"kind": "free_text"}))
