@@ -85,21 +85,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_j_{i}" for i in range(len(keys))])
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
+PARTITIONS = "tablewarden.partitions"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a costly per-row stage when the input is too small to give every core a split.
+    """Deal rows over as many tasks as the session setting ``tablewarden.partitions`` says before a costly per-row stage.
 
-    Input that already has a split per core is left alone, so nothing large is ever shuffled for this.
+    Unset (the default) the input's own splits are used, whatever the size: set it where few large files feed many cores.
     """
-    if not hasattr(df, "_jdf"):       # a remote session does not show its size estimate
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores, *[col(k) for k in keys])
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n), *[col(k) for k in keys]) if n else df
 
 
 def chunked(items: Sequence[Any], size: int) -> list[list[Any]]:

@@ -15,6 +15,7 @@ def local_session(cpus: int | str = 8, app: str = "tablewarden") -> SparkSession
         .appName(app)
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("tablewarden.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -26,9 +27,11 @@ def local_session(cpus: int | str = 8, app: str = "tablewarden") -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder of the cluster; fall back to a temporary one only in tests."""
+    """Use the shared checkpoint folder of the cluster; a temporary one only on a local master that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
