@@ -85,11 +85,11 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_j_{i}" for i in range(len(keys))])
 
 
-PARTITIONS = "tablewarden.partitions"
+PARTITIONS = "spark.tablewarden.partitions"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows over as many tasks as the session setting ``tablewarden.partitions`` says before a costly per-row stage.
+    """Deal rows over as many tasks as the session setting ``spark.tablewarden.partitions`` says before a costly per-row stage.
 
     Unset (the default) the input's own splits are used, whatever the size: set it where few large files feed many cores.
     """

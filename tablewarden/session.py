@@ -15,7 +15,7 @@ def local_session(cpus: int | str = 8, app: str = "tablewarden") -> SparkSession
         .appName(app)
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("tablewarden.partitions", str(cpus))
+        .config("spark.tablewarden.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
