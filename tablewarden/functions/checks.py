@@ -31,7 +31,10 @@ CHECK_WEIGHTS = [2, 7, 6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2]
 OPERATORS = {"10": "Vodafone", "11": "Etisalat (e&)", "12": "Orange", "15": "WE / Telecom Egypt"}
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
-AS_OF = "2026-01-01"
+
+def day(as_of: str | None = None) -> Column:
+    """The day that ages and plausibility refer to: today unless one is given."""
+    return F.current_date() if as_of is None else F.lit(as_of).cast("date")
 
 
 def digits_of(c: Column) -> Column:
@@ -183,11 +186,11 @@ def imsi(c: Column, home_mcc: str = "602", known_mccs: Sequence[str] | None = No
                     F.substring(d, 4 + 2, 12).alias("msin"), (mcc == home_mcc).alias("is_home"), (hit2 | hit3).alias("mnc_validated"))
 
 
-def egypt_nid(c: Column, as_of: str = AS_OF, max_age: int = 110, min_year: int = 1900,
+def egypt_nid(c: Column, as_of: str | None = None, max_age: int = 110, min_year: int = 1900,
               verify_check_digit: bool = False) -> Column:
     """Normalize, format, calendar, governorate, plausibility, check digit; with what the number carries."""
     t = F.regexp_replace(fold_digits(c), "[ \\t\\-_/\u00a0\u200e\u200f\u061c]", "")
-    today = F.lit(as_of).cast("date")
+    today = day(as_of)
 
     def parsed(d: Column) -> Column:
         ok = d.rlike("^[23][0-9]{13}$")

@@ -147,7 +147,7 @@ def check_rates(df: DataFrame, kinds: dict[str, Sequence[str]]) -> DataFrame:
     return one_row(df, aggs).select(F.inline(F.array(*rows)))
 
 
-def nid_funnel(df: DataFrame, column: str, as_of: str = C.AS_OF) -> DataFrame:
+def nid_funnel(df: DataFrame, column: str, as_of: str | None = None) -> DataFrame:
     """How many values pass each stage."""
     r = df.where(~X.is_nullish(col(column))).select(C.egypt_nid(col(column), as_of).alias("r")).select("r.*")
     stages = ["normalize", "format", "calendar", "governorate", "plausibility"]
@@ -155,11 +155,11 @@ def nid_funnel(df: DataFrame, column: str, as_of: str = C.AS_OF) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("non_null"), *passed, count_if(F.col("valid") & F.col("check_digit_ok")).alias("checkdigit"))
 
 
-def nid_rates(df: DataFrame, column: str, order_by: str, as_of: str = C.AS_OF) -> DataFrame:
+def nid_rates(df: DataFrame, column: str, order_by: str, as_of: str | None = None) -> DataFrame:
     """Rates over values of the right format; ``order_by`` defines the row order of the monotonic rate."""
     r = df.where(~X.is_nullish(col(column))).select(col(order_by).alias("_o"), C.egypt_nid(col(column), as_of).alias("r")) \
         .select("_o", "r.*").where(~F.col("reason").isin("normalize", "format"))
-    age = F.datediff(F.lit(as_of).cast("date"), "birth_date")
+    age = F.datediff(C.day(as_of), "birth_date")
     # ages in days are at most a few ten thousand values
     ages = r.where("valid").groupBy(age.alias("d")).agg(F.count(F.lit(1)).alias("n")) \
         .agg(F.expr("percentile(d, array(0.05D, 0.95D), n)").alias("q"))
@@ -225,7 +225,7 @@ def digit_lengths(df: DataFrame, column: str) -> DataFrame:
     return df.where(~X.is_nullish(col(column)) & (d != "")).groupBy(F.length(d).alias("digits")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def checksum_rates(df: DataFrame, column: str, as_of: str = C.AS_OF) -> DataFrame:
+def checksum_rates(df: DataFrame, column: str, as_of: str | None = None) -> DataFrame:
     """Pass rates of the checksum families among values of their length."""
     d, usable = C.digits_of(col(column)), ~X.is_nullish(col(column))
     long15, card, long14 = usable & (F.length(d) == 15), usable & d.rlike("^89[0-9]{15,18}$"), usable & (F.length(d) == 14)
@@ -416,7 +416,7 @@ def name_signals(hits: DataFrame, patterns: DataFrame | None = None) -> DataFram
         .drop("_name", "_tokens", "_pick", "_hints", "_top")
 
 
-def sim_class_rates(df: DataFrame, columns: Sequence[str], as_of: str = C.AS_OF) -> DataFrame:
+def sim_class_rates(df: DataFrame, columns: Sequence[str], as_of: str | None = None) -> DataFrame:
     """Dominant class of 14/15-digit values per column, and whether any value starts with 602 or has a known code."""
     d = C.digits_of(F.col("value"))
     long = F.length(d).isin(14, 15)

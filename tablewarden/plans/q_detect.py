@@ -283,13 +283,14 @@ def NID():
                F.lpad((K() % 40).cast("string"), 2, "0"), F.lpad((K() * 7 % 100000).cast("string"), 5, "0"))
 
 
+AS_OF = "2026-01-01"          # the queries refer to a fixed day, as their SQL does
 NID_SQL = ("(o_orderkey % 3 + 1)::VARCHAR || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || lpad((o_orderkey % 13)::VARCHAR, 2, '0') || lpad((o_orderkey % 31 + 1)::VARCHAR, 2, '0')"
            " || lpad((o_orderkey % 40)::VARCHAR, 2, '0') || lpad((o_orderkey * 7 % 100000)::VARCHAR, 5, '0')")
 GOVS = ", ".join(f"'{g}'" for g in C.GOVERNORATES)
 WEIGHTED = " + ".join(f"CAST(substr(v, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(C.CHECK_WEIGHTS))
 NID_ROWS = f"""
   (SELECT k, v, b, CASE WHEN left(v, 1) NOT IN ('2', '3') THEN 'format' WHEN b IS NULL THEN 'calendar' WHEN substr(v, 8, 2) NOT IN ({GOVS}) THEN 'governorate'
-     WHEN b > DATE '2026-01-01' OR date_diff('day', b, DATE '2026-01-01') > 110 * 366 THEN 'plausibility' ELSE '' END AS reason,
+     WHEN b > DATE '{AS_OF}' OR date_diff('day', b, DATE '{AS_OF}') > 110 * 366 THEN 'plausibility' ELSE '' END AS reason,
      CAST(right(v, 1) AS INT) = CASE WHEN (11 - ({WEIGHTED}) % 11) % 11 = 10 THEN 0 ELSE (11 - ({WEIGHTED}) % 11) % 11 END AS check_ok
    FROM (SELECT k, v, TRY_CAST(CASE WHEN left(v, 1) = '2' THEN '19' ELSE '20' END || substr(v, 2, 2) || '-' || substr(v, 4, 2) || '-' || substr(v, 6, 2) AS DATE) AS b
          FROM (SELECT o_orderkey AS k, {NID_SQL} AS v FROM orders)))"""
@@ -297,7 +298,7 @@ NID_ROWS = f"""
 
 @query("c23_egypt_nid", f"""
   SELECT k, reason, CASE WHEN reason <> 'format' THEN b END AS birth_date, CASE WHEN reason <> 'format' THEN CASE WHEN CAST(substr(v, 13, 1) AS INT) % 2 = 1 THEN 'male' ELSE 'female' END END AS gender,
-         CASE WHEN reason <> 'format' THEN check_ok END AS check_digit_ok FROM {NID_ROWS}""")
+         CASE WHEN reason <> 'format' THEN check_ok END AS check_digit_ok FROM {NID_ROWS.replace(f"DATE '{AS_OF}'", "CURRENT_DATE")}""")
 def _q(t):
     return P.check(t.orders.select(K().alias("k"), NID().alias("v")), "v", "egypt_nid", "r") \
         .select("k", "r.reason", "r.birth_date", "r.gender", "r.check_digit_ok")
@@ -308,7 +309,7 @@ def _q(t):
          count(*) FILTER (WHERE reason NOT IN ('format', 'calendar')) AS calendar, count(*) FILTER (WHERE reason NOT IN ('format', 'calendar', 'governorate')) AS governorate,
          count(*) FILTER (WHERE reason = '') AS plausibility, count(*) FILTER (WHERE reason = '' AND check_ok) AS checkdigit FROM {NID_ROWS}""")
 def _q(t):
-    return P.nid_funnel(t.orders.select(NID().alias("v")), "v")
+    return P.nid_funnel(t.orders.select(NID().alias("v")), "v", AS_OF)
 
 
 @query("c25_nid_rates", f"""
@@ -316,12 +317,12 @@ def _q(t):
   SELECT count(*) AS nid_checked, count(*) FILTER (WHERE reason = '') AS nid_valid, round(count(*) FILTER (WHERE reason = '')::DOUBLE / count(*), 6) AS nid_valid_rate,
          round(count(*) FILTER (WHERE reason = '' AND check_ok)::DOUBLE / count(*) FILTER (WHERE reason = ''), 6) AS nid_checkdigit_rate,
          count(DISTINCT substr(v, 8, 2)) FILTER (WHERE reason = '') AS nid_gov_distinct,
-         round(quantile_cont(date_diff('day', b, DATE '2026-01-01'), 0.05) FILTER (WHERE reason = '') / 365.25, 6) AS nid_age_p05,
-         round(quantile_cont(date_diff('day', b, DATE '2026-01-01'), 0.95) FILTER (WHERE reason = '') / 365.25, 6) AS nid_age_p95,
+         round(quantile_cont(date_diff('day', b, DATE '{AS_OF}'), 0.05) FILTER (WHERE reason = '') / 365.25, 6) AS nid_age_p05,
+         round(quantile_cont(date_diff('day', b, DATE '{AS_OF}'), 0.95) FILTER (WHERE reason = '') / 365.25, 6) AS nid_age_p95,
          round(count(DISTINCT v)::DOUBLE / count(*), 6) AS nid_unique_rate,
          (SELECT round(count(*) FILTER (WHERE p <= v)::DOUBLE / (count(*) - 1), 6) FROM l) AS nid_monotonic_rate FROM f""")
 def _q(t):
-    df = P.nid_rates(t.orders.select(K().alias("k"), NID().alias("v")), "v", "k")
+    df = P.nid_rates(t.orders.select(K().alias("k"), NID().alias("v")), "v", "k", AS_OF)
     for c in df.columns:
         if "rate" in c or "age" in c:
             df = df.withColumn(c, F.round(c, 6))
@@ -404,7 +405,7 @@ def _q(t):
 @query("c31_checksum_rates", f"""
   SELECT round(count(*) FILTER (WHERE {luhn_sql('device')})::DOUBLE / count(*), 6) AS luhn_pass_rate FROM {CONTACTS_SQL}""")
 def _q(t):
-    return P.checksum_rates(contacts(t), "device").select(F.round("luhn_pass_rate", 6).alias("luhn_pass_rate"))
+    return P.checksum_rates(contacts(t), "device", AS_OF).select(F.round("luhn_pass_rate", 6).alias("luhn_pass_rate"))
 
 
 @query("c31_check_rates_all_columns", f"""
