@@ -157,10 +157,20 @@ def _numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
             return col(c).cast("double")
         t = F.trim(X.fold_digits(col(c).cast("string")))
         return F.when(~F.lower(t).isin("", "none", "null", "nan", "n/a", "na"), t.try_cast("double"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_number(c).alias("x"), col(c).isNotNull().alias("filled")) for c in names])
+    def finite(x: Column) -> Column:
+        return F.when(F.abs(x) < F.lit(float("inf")), x)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), finite(as_number(c)).alias("x"), col(c).isNotNull().alias("filled")) for c in names])
     return df.select(F.inline(pairs)).where("filled")
 
 
+def decimal_places(x: Column) -> Column:
+    """Digits behind the point in the shortest decimal text of a double, whatever its size."""
+    text = x.cast("string")
+    digits = F.length(F.regexp_replace(F.regexp_extract(text, r"\.(\d+)", 1), "0+$", ""))
+    power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    return F.greatest(digits - power, F.lit(0))
+
+
 def numeric(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20,
             min_parse_rate: float = 0.5) -> DataFrame:
     """Numeric profile of every column whose values mostly parse as numbers."""
@@ -181,7 +191,7 @@ def numeric(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20,
     lo_f = F.col("quantiles")[2] - 1.5 * (F.col("quantiles")[4] - F.col("quantiles")[2])
     hi_f = F.col("quantiles")[4] + 1.5 * (F.col("quantiles")[4] - F.col("quantiles")[2])
     bounds = base.select("column", "min", "max", lo_f.alias("lo_f"), hi_f.alias("hi_f"))
-    decimals = F.length(F.regexp_replace(F.regexp_extract(x.cast("decimal(38,10)").cast("string"), r"\.(\d+)", 1), "0+$", ""))
+    decimals = decimal_places(x)
     width = F.col("max") - F.col("min")
     bucket = F.when(width > 0, F.least(F.floor((x - F.col("min")) / width * bins), F.lit(bins - 1))).otherwise(0)
     cells = parsed.join(F.broadcast(bounds), "column").groupBy(
@@ -203,7 +213,7 @@ def numeric(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20,
         (F.col("integers") / F.col("parsed_count")).alias("integer_valued_rate"), "decimal_places_median")
 
 
-def temporal(df: DataFrame, order_by: str, columns: Sequence[str] | None = None, now: str = "2026-01-01 00:00:00",
+def temporal(df: DataFrame, order_by: str, columns: Sequence[str] | None = None, now: str | None = None,
              min_parse_rate: float = 0.5) -> DataFrame:
     """Profile of every column whose values mostly parse as dates; ``order_by`` defines the row order."""
     names = list(columns or [c for c in scalar_columns(df) if c != order_by])
@@ -215,7 +225,7 @@ def temporal(df: DataFrame, order_by: str, columns: Sequence[str] | None = None,
     t = F.col("t")
     stats = long.groupBy("column").agg(
         F.count("value").alias("non_null"), F.count(t).alias("parsed"), F.min(t).alias("min"), F.max(t).alias("max"),
-        count_if(t > F.lit(now).cast("timestamp")).alias("future_count"),
+        count_if(t > (F.current_timestamp() if now is None else F.lit(now).cast("timestamp"))).alias("future_count"),
         F.max(F.second(t)).alias("sec"), F.max(F.hour(t) + F.minute(t)).alias("hm"),
         F.max((F.unix_micros(t) % 1000000)).alias("micros")) \
         .where((F.col("parsed") > 0) & (F.col("parsed") / F.col("non_null") >= min_parse_rate))
@@ -254,17 +264,19 @@ def frequency(df: DataFrame, columns: Sequence[str] | None = None, top: int = 20
 
 
 def summarize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The quick summary: bounded sketches only, so one pass at any size."""
+    """The quick summary: bounded sketches only, so one pass at any size; min and max in the order of the column's own type."""
     names = list(columns or scalar_columns(df))
-    v = F.col("value")
-    x = v.try_cast("double")
-    return unpivot(df, names).groupBy("column").agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.approx_count_distinct(v).alias("approx_unique"),
-        F.avg(x).alias("avg"), F.stddev_samp(x).alias("std"),
-        F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias("q"), F.count(v).alias("count"),
-        (100.0 * F.count_if(v.isNull()) / F.count(F.lit(1))).alias("null_percentage")).select(
-        "column", "min", "max", "approx_unique", "avg", "std", F.col("q")[0].alias("q25"),
-        F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "count", "null_percentage")
+
+    def of(c: str) -> Column:
+        v = col(c)
+        x = v.cast("string").try_cast("double") if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else v.try_cast("double")
+        q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+        return F.struct(
+            F.lit(c).alias("column"), F.min(v).cast("string").alias("min"), F.max(v).cast("string").alias("max"), F.approx_count_distinct(v).alias("approx_unique"),
+            F.avg(x).alias("avg"), F.stddev_samp(x).alias("std"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.count(v).alias("count"),
+            (100.0 * F.count_if(v.isNull()) / F.count(F.lit(1))).alias("null_percentage"))
+    row = one_row(df, [of(c).alias(f"s{i}") for i, c in enumerate(names)], 20)
+    return row.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))])))
 
 
 def _name_is_identifier(name: Column) -> Column:

@@ -142,8 +142,8 @@ def _q(t):
 
 
 @query("p08_summary", _each(["p_partkey", "p_size", "p_type"], """
-  SELECT '{c}' AS "column", min({c}::VARCHAR) AS min, max({c}::VARCHAR) AS max, round(avg(TRY_CAST({c} AS DOUBLE)), 4) AS avg,
-         round(stddev_samp(TRY_CAST({c} AS DOUBLE)), 4) AS std, count({c}) AS count, 0.0::DOUBLE AS null_percentage FROM {t}""", "part"))
+  SELECT '{c}' AS "column", min({c})::VARCHAR AS min, max({c})::VARCHAR AS max, round(avg(TRY_CAST({c}::VARCHAR AS DOUBLE)), 4) AS avg,
+         round(stddev_samp(TRY_CAST({c}::VARCHAR AS DOUBLE)), 4) AS std, count({c}) AS count, 0.0::DOUBLE AS null_percentage FROM {t}""", "part"))
 def _q(t):
     return _r(P.summarize(t.part, ["p_partkey", "p_size", "p_type"]).select(
         "column", "min", "max", "avg", "std", "count", "null_percentage"), "avg", "std", digits=4)

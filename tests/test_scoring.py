@@ -89,3 +89,12 @@ def test_nearest_in_several_blocks(spark, monkeypatch):
         d = 1 - u @ u[q]
         d[q] = np.inf
         assert [b for _, b in sorted(got[q])] == list(np.argsort(d)[:3])
+
+
+def test_numeric_profile_of_extreme_values(spark):
+    df = spark.createDataFrame([("1e300",), ("0.00125",), ("Infinity",), ("-3",), ("2.5",)], "v string")
+    from tablewarden.operators import profile as P
+    row = P.numeric(df, ["v"]).first()
+    assert row["parsed_count"] == 4 and row["max"] == 1e300 and row["decimal_places_median"] == 0.5
+    small = P.summarize(spark.createDataFrame([(9,), (10,), (200,), (None,)], "n int"), ["n"]).first()
+    assert (small["min"], small["max"], small["count"]) == ("9", "200", 3)
