@@ -159,7 +159,7 @@ def spoken_value(surface: Column) -> Column:
 
     def step(acc: Column, tok: Column) -> Column:
         joined = tok.startswith("و") & F.try_element_at(words, tok).isNull()
-        bare = F.when(joined, F.substring(tok, 2, 40)).otherwise(tok)
+        bare = F.when(joined, F.substr(tok, F.lit(2))).otherwise(tok)
         code, many = F.try_element_at(words, bare), F.try_element_at(plurals, bare)
         ten = joined & (F.length(code) == 2) & code.endswith("0") & (F.length(acc["unit"]) == 1)
         repeat = F.repeat(many, F.coalesce(acc["unit"].try_cast("int"), F.lit(1)))
@@ -312,7 +312,7 @@ def extend_context(spans: DataFrame, docs: DataFrame, triggers: dict[str, Sequen
     found = []
     for entity, words in triggers.items():
         alternatives = "|".join(sorted(words, key=len, reverse=True))
-        found.append(_tagged(find_spans(F.col("text"), rf"(?iU)(?<!\w)(?:{alternatives})(?!\w)[^.\n،؛!?؟;]{{1,160}}"), entity, 0.7, "preprocess", "context_clause"))
+        found.append(_tagged(find_spans(F.col("text"), rf"(?iU)(?<!\w)(?:{alternatives})(?!\w)[^.\n،؛!?؟;]+"), entity, 0.7, "preprocess", "context_clause"))
     clauses = _explode(docs, found)
     keyed = clauses.select("doc_id", F.col("entity_type"), F.col("start").alias("cs"), F.col("end").alias("ce"))
     # both sides are spans of one document and clauses of an entity do not overlap each other
@@ -345,10 +345,11 @@ def number_policy(spans: DataFrame, units: Sequence[str], cues: dict[str, Sequen
 REVIEW_MIN, DETECTOR_MIN, BUMP_CAP = 0.82, 0.80, 0.08
 
 
-def arbitrate(spans: DataFrame, reviews: DataFrame, mode: str = "balanced") -> DataFrame:
+def arbitrate(spans: DataFrame, reviews: DataFrame, mode: str = "balanced", docs: DataFrame | None = None) -> DataFrame:
     """Detector spans against a second source (doc_id, start, end, entity_type, score, verdict PII / NOT_PII).
 
-    Adds ``agreement`` and ``rule``.  A validated span never shrinks and is never vetoed.
+    Adds ``agreement`` and ``rule``.  A validated span never shrinks and is never vetoed.  A span widens inside its sentence of the text in ``docs``
+    (doc_id, text), and its surface, canonical form and context are read from there again; without ``docs`` the stored context is all that is known.
     """
     det = spans.withColumn("_id", F.xxhash64("doc_id", "start", "end", "entity_type", "engine", "recognizer"))
     rev = reviews.select("doc_id", F.col("start").alias("rs"), F.col("end").alias("re"), F.col("entity_type").alias("rt"),
@@ -370,17 +371,29 @@ def arbitrate(spans: DataFrame, reviews: DataFrame, mode: str = "balanced") -> D
     bump = F.least(F.lit(BUMP_CAP), F.when(bump > 0, bump).otherwise(0.03))
     widen = F.lit(mode in ("balanced", "lenient")) & r.isNotNull() & r["type"] & ~r["same"]
     # widening stays inside the sentence: the context on either side is cut at sentence marks
-    left_room = F.length(F.regexp_extract("before", r"[^.!?؟\n]*$", 0))
-    right_room = F.length(F.regexp_extract("after", r"^[^.!?؟\n]*", 0))
+    ahead, behind = F.col("before"), F.col("after")
+    if docs is not None:
+        j = j.withColumn("_widen", F.coalesce(widen, F.lit(False)))
+        texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+        j = j.join(texts, (F.col("doc_id") == F.col("_doc")) & F.col("_widen"), "left")
+        ahead = F.coalesce(F.substr("_text", F.lit(1), F.col("start")), ahead)
+        behind = F.coalesce(F.substr("_text", F.col("end") + 1), behind)
+    left_room = F.length(F.regexp_extract(ahead, r"[^.!?؟\n]*$", 0))
+    right_room = F.length(F.regexp_extract(behind, r"^[^.!?؟\n]*", 0))
     start = F.when(widen, F.greatest(F.least("start", r["a"]), F.col("start") - left_room)).otherwise(F.col("start"))
     end = F.when(widen, F.least(F.greatest("end", r["b"]), F.col("end") + right_room)).otherwise(F.col("end"))
     agreement = F.when(gone, "vetoed").when(r.isNull(), "unconfirmed").when(r["same"], "confirmed").when(conflict, "type_conflict").otherwise("boundary_conflict")
     rule = F.when(gone, "veto_unvalidated").when(r.isNull(), "first_only").when(r["same"], "both_agree") \
         .when(conflict & second, "second_type_wins").when(conflict, "first_type_wins").when(widen, "widened").otherwise("first_extent_kept")
+    said = [F.col(c) for c in ("canonical", "surface", "before", "after")]
+    if docs is not None:
+        surface = F.substr("_text", start + 1, end - start)
+        fresh = dict(zip(("surface", "canonical", "before", "after"), (surface, surface, *context(F.col("_text"), start, end, CONTEXT))))
+        said = [F.when(F.col("_text").isNotNull(), fresh[c]).otherwise(F.col(c)).alias(c) for c in ("canonical", "surface", "before", "after")]
     kept = j.select(
         "doc_id", start.alias("start"), end.alias("end"), F.when(conflict & second, r["t"]).otherwise(F.col("entity_type")).alias("entity_type"),
         F.when(F.coalesce(r["same"], F.lit(False)), F.least(F.lit(1.0), F.col("score") + bump)).otherwise(F.col("score")).alias("score"),
-        "engine", "recognizer", "validator", "is_proposal", "canonical", "surface", "before", "after",
+        "engine", "recognizer", "validator", "is_proposal", *said,
         agreement.alias("agreement"), rule.alias("rule"), (~gone).alias("kept"))
     lone = rev.where("verdict <> 'NOT_PII'").join(
         det.select("doc_id", "start", "end"), (rev.doc_id == det.doc_id) & over, "left_anti")

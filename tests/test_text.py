@@ -100,3 +100,17 @@ def test_partial_cover(spark):
     df = spark.createDataFrame([("",), ("ab",), ("abcdef",), ("ab🙂def",), (None,)], "s string")
     got = [tuple(r) for r in df.select(M.partial(F.col("s"), 1, 2), M.partial(F.col("s"), 0, 0, "#", False), M.partial(F.col("s"), 9, 0)).collect()]
     assert got == [("", "", ""), ("ab", "##", "ab"), ("a***ef", "####", "abcdef"), ("a***ef", "####", "ab🙂def"), (None, None, None)]
+
+
+def test_long_sentences_and_clauses(spark):
+    sentence = "a " * 200 + "call 0101234567 now " + "b " * 200
+    d = docs(spark, "First one. " + sentence + ". Last one.")
+    at = ("First one. " + sentence).index("0101234567")
+    spans = spark.createDataFrame([(0, at, at + 10, "PHONE_NUMBER", 0.5, "regex", "r", None, False, "0101234567", "0101234567", sentence[:0], "")], SPAN)
+    reviews = spark.createDataFrame([(0, 0, at + 10, "PHONE_NUMBER", 0.9, "PII")], "doc_id long, start int, end int, entity_type string, score double, verdict string")
+    got = X.arbitrate(spans, reviews, "balanced", d).first()
+    assert got["rule"] == "widened" and got["start"] == len("First one.") and got["end"] == at + 10
+    assert got["surface"] == ("First one. " + sentence)[got["start"]:got["end"]] == got["canonical"]
+    clause = docs(spark, "street " + "x" * 400 + ". End")
+    seed = spans.where("1 = 0")
+    assert X.extend_context(seed, clause, {"LOCATION": ["street"]}).first()["end"] == 407
