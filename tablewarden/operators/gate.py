@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,11 +113,17 @@ def decide(verdict_rows: DataFrame, require: str = "all", on_missing: str = "blo
     return row.select(ok.alias("accepted"), F.col("considered"), F.col("passed"), "last_status", reason.alias("reason"))
 
 
-def accepted_rows(df: DataFrame, verdict_rows: DataFrame, column: str) -> DataFrame:
-    """Only rows of accepted partitions: a semi join, so partition pruning reaches the scan."""
-    good = verdict_rows.where("status = 'passed'").select(
-        F.split_part("partition", F.lit("="), F.lit(-1)).alias("_p")).distinct()
-    return df.join(good, F.col(column).cast("string") == F.col("_p"), "left_semi")
+def accepted_rows(df: DataFrame, verdict_rows: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """Only rows of accepted partitions: a semi join on every partition column, so partition pruning reaches the scan.
+
+    A verdict whose partition (``dt=2024-01-01/hour=05``) names other columns than these is an error, not an empty result.
+    """
+    names = [columns] if isinstance(columns, str) else list(columns)
+    spec = F.str_to_map("partition", F.lit("/"), F.lit("="))
+    fits = F.array_sort(F.map_keys("_spec")) == F.array_sort(F.array(*[F.lit(n) for n in names]))
+    value = lambda n: F.when(F.col("status") != "passed", None).when(fits, F.try_element_at("_spec", F.lit(n))).otherwise(F.raise_error(F.concat(F.lit("partition columns differ: "), F.col("partition"))))
+    good = verdict_rows.where("status = 'passed'").withColumn("_spec", spec).select(*[value(n).alias(f"_p{i}") for i, n in enumerate(names)]).distinct()
+    return df.join(good, reduce(lambda a, b: a & b, [F.col(n).cast("string") == F.col(f"_p{i}") for i, n in enumerate(names)]), "left_semi")
 
 
 def with_consumer_rules(rules: Sequence[dict], consumer_rules: dict[str, Sequence[dict]]) -> list[dict]:
