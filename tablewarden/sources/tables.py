@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,12 @@ from tablewarden.functions.columns import col
 
 # --- tables ----------------------------------------------------------------------------------------------
 
-def read_text_table(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """CSV or TSV with every column as text: leading zeros stay and an empty field is an empty text, not null."""
-    df = (spark.read.option("header", header).option("inferSchema", False).option("sep", sep).option("multiLine", True)
+def read_text_table(spark: SparkSession, path: str, sep: str = ",", header: bool = True, multi_line: bool = False) -> DataFrame:
+    """CSV or TSV with every column as text: leading zeros stay and an empty field is an empty text, not null.
+
+    ``multi_line`` allows line breaks inside quotes; a file is then one task, whatever its size.
+    """
+    df = (spark.read.option("header", header).option("inferSchema", False).option("sep", sep).option("multiLine", multi_line)
           .option("emptyValue", "").option("nullValue", "￾").option("quote", '"').option("escape", '"').csv(path))
     return df.select(*[F.coalesce(col(c), F.lit("")).alias(c) for c in df.columns])
 
@@ -76,15 +79,14 @@ def conform(df: DataFrame, schema: T.StructType, validate_required: bool = True)
 # --- documents -------------------------------------------------------------------------------------------
 
 def read_jsonl_docs(spark: SparkSession, path: str, text_field: str = "body", id_field: str = "") -> DataFrame:
-    """One document per JSON line; a bad line becomes a row with ``load_error``, a missing id its file and place."""
-    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b")) \
-        .withColumn("_n", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """One document per JSON line; a bad line becomes a row with ``load_error``, a missing id a digest."""
+    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_name").alias("f")).where(F.trim("value") != "")
     parsed = F.try_parse_json("value")
     text = F.try_variant_get(parsed, F.lit(f"$.{text_field}"), "string")
     given = F.try_variant_get(parsed, F.lit(f"$.{id_field}"), "string") if id_field else F.lit(None).cast("string")
-    place = F.concat(F.lit("row-"), F.col("_n").cast("string"))
     error = F.when(parsed.isNull(), "invalid json").when(text.isNull(), f"missing field {text_field}")
-    return raw.select(F.coalesce(given, place).alias("doc_id"), F.col("f").alias("source"), text.alias("text"), error.alias("load_error"))
+    return placed_ids(raw.select("value", "f", given.alias("_id"), text.alias("text"), error.alias("load_error")), F.col("_id"), F.concat_ws("\0", "f", "value")).select(
+        "doc_id", F.col("f").alias("source"), "text", "load_error")
 
 
 def read_text_dir(spark: SparkSession, root: str, glob: str = "*.txt", recursive: bool = True) -> DataFrame:
@@ -96,12 +98,21 @@ def read_text_dir(spark: SparkSession, root: str, glob: str = "*.txt", recursive
                      F.col("value").alias("text"), F.lit(None).cast("string").alias("load_error"))
 
 
-def read_csv_docs(spark: SparkSession, path: str, text_column: str, id_column: str | None = None, sep: str = ",") -> DataFrame:
-    df = read_text_table(spark, path, sep)
+def placed_ids(rows: DataFrame, given: Column, content: Column) -> DataFrame:
+    """``doc_id``: the given id, else ``row-`` and a digest of file and content, numbered where equal rows repeat: the same however the input is split."""
+    rows = rows.withColumns({"_given": given, "_print": F.substring(F.sha2(content, 256), 1, 24)})
+    nth = F.row_number().over(W.partitionBy("_print").orderBy("_print"))
+    placed = rows.where("_given IS NULL").withColumn("_nth", nth).select(F.concat(F.lit("row-"), "_print", F.when(F.col("_nth") > 1, F.concat(F.lit("-"), F.col("_nth").cast("string"))).otherwise("")).alias("doc_id"), *rows.columns)
+    return rows.where("_given IS NOT NULL").select(F.col("_given").alias("doc_id"), *rows.columns).unionByName(placed).drop("_given", "_print")
+
+
+def read_csv_docs(spark: SparkSession, path: str, text_column: str, id_column: str | None = None, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    df = read_text_table(spark, path, sep, multi_line=multi_line)
     if text_column not in df.columns:
         raise ValueError(f"no column {text_column}")
-    key = col(id_column) if id_column else F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string"))
-    return df.select(key.alias("doc_id"), F.lit(path).alias("source"), col(text_column).alias("text"), F.lit(None).cast("string").alias("load_error"))
+    given = col(id_column) if id_column else F.lit(None).cast("string")
+    rows = df.select(given.alias("_id"), col(text_column).alias("text"), F.concat_ws("\0", F.lit(path), *[col(c) for c in df.columns]).alias("_content"))
+    return placed_ids(rows, F.col("_id"), F.col("_content")).select("doc_id", F.lit(path).alias("source"), "text", F.lit(None).cast("string").alias("load_error"))
 
 
 def duplicate_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:

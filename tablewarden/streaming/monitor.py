@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,11 +47,19 @@ def approximate_distinct(sdf: DataFrame, ts: str, columns: Sequence[str], window
     return base.groupBy(F.window(col(ts), window).alias("w")).agg(*[F.approx_count_distinct(col(c)).alias(c) for c in columns])
 
 
-def record(sdf: DataFrame, table: str, parts: Sequence[str], rules: Sequence[Rule], digest: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Validate and store every micro-batch; the run key makes a replayed batch a no-op."""
+def record(sdf: DataFrame, table: str, parts: Sequence[str], rules: Sequence[Rule], digest: str, store: Store, checkpoint: str,
+           source: Callable[[SparkSession], DataFrame]) -> StreamingQuery:
+    """Validate and store every partition that a micro-batch touches, as it stands in the table (``source`` reads it).
+
+    A batch may hold a fragment of a partition, so the partition is validated whole: any rule works, the latest run always speaks of all rows, and
+    the run key (which holds the data's fingerprint) makes a replayed batch a no-op.
+    """
     def one(batch: DataFrame, batch_id: int) -> None:
-        stamp = batch.sparkSession.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')").first()[0]
-        store.validate(batch, table, parts, rules, digest, stamp)
+        stamp = batch.sparkSession.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss.SSSSSS')").first()[0]
+        touched = batch.select(*[col(p) for p in parts]).distinct()
+        whole = source(batch.sparkSession)
+        same = reduce(lambda a, b: a & b, [whole[p].eqNullSafe(touched[p]) for p in parts])
+        store.validate(whole.join(touched, same, "left_semi"), table, parts, rules, digest, stamp)
     return sdf.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

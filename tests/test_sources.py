@@ -80,3 +80,39 @@ def test_stream_refuses_exact_distinct(spark):
     sdf = spark.readStream.format("rate").load()
     with pytest.raises(ValueError):
         monitor(sdf, "timestamp", [R.rule("column_values_to_be_unique", "value")])
+
+
+def test_ids_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text("".join('{"body": "text %d"}\n' % (k % 40) for k in range(60)) + '{broken\n{"body": "own", "id": "x"}\n', encoding="utf-8")
+    one = S.read_jsonl_docs(spark, str(tmp_path / "d.jsonl"), "body", "id")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        many = S.read_jsonl_docs(spark, str(tmp_path / "d.jsonl"), "body", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    key = lambda r: (r["doc_id"], r["text"])
+    assert sorted(map(key, one.collect()), key=str) == sorted(map(key, many), key=str) and len({r["doc_id"] for r in many}) == 62
+    assert [r["load_error"] for r in many if r["text"] is None] == ["invalid json"] and "x" in {r["doc_id"] for r in many}
+    S.assert_unique_ids(one)
+
+
+def test_database_store_adds_columns(spark):
+    store = St.JdbcStore(spark, "jdbc:derby:memory:warden;create=true", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert store.table(St.RUNS).count() == 0
+    row = spark.createDataFrame([("t", "p", "r1")], "table_name string, partition string, run_id string")
+    store.append(St.RUNS, row)
+    store.append(St.RUNS, row.withColumn("row_count", F.lit(7).cast("bigint")).withColumn("status", F.lit("passed")))
+    got = sorted((r["row_count"] or 0, r["status"] or "", r["error"]) for r in store.table(St.RUNS).collect())
+    assert got == [(0, "", None), (7, "passed", None)]
+    with pytest.raises(Exception, match="(?i)database|derby|driver|connection"):
+        St.JdbcStore(spark, "jdbc:derby:memory:absent").table(St.RUNS)
+
+
+def test_accepted_rows_on_all_partition_columns(spark):
+    from tablewarden.operators import gate as G
+    df = spark.createDataFrame([("2024-01-01", 5), ("2024-01-01", 6), ("2024-01-02", 5)], "dt string, hour int")
+    verdicts = spark.createDataFrame([("dt=2024-01-01/hour=5", "passed"), ("dt=2024-01-01/hour=6", "failed")], "partition string, status string")
+    assert [tuple(r) for r in G.accepted_rows(df, verdicts, ["dt", "hour"]).collect()] == [("2024-01-01", 5)]
+    with pytest.raises(Exception, match="partition columns differ"):
+        G.accepted_rows(df, verdicts, "hour").collect()
