@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.line_rules import let
-from tablewarden.llm.words import assembled, piece_rows
+from tablewarden.llm.words import Lists, piece_rows, streamed
 
 TOKEN = 17                    # bits of a token and of a rank
 NONE = (1 << TOKEN) - 1       # no rank, and the token of the guard before the first byte
@@ -58,65 +58,66 @@ class Ranks:
         return out
 
 
-def rank_of(table: tuple[Column, Column], a: Column, b: Column) -> Column:
-    """Rank of the pair (a, b), ``NONE`` where it has none or b is null."""
-    pair = F.shiftleft(a, TOKEN) + b
-    bucket = F.pmod(pair, F.lit(BUCKETS)).cast("int")
-    return F.coalesce(F.get(F.get(table[1], bucket), F.array_position(F.get(table[0], bucket), pair).cast("int") - 1), F.lit(NONE)).cast("bigint")
+def rank_of(tables: tuple[Column, Column], a: Column, b: Column) -> Column:
+    """Rank of the pair (a, b), ``NONE`` where it has none."""
+    def search(pair: Column) -> Column:
+        bucket = F.pmod(pair, F.lit(BUCKETS)).cast("int")
+        return F.coalesce(F.get(F.get(tables[1], bucket), F.array_position(F.get(tables[0], bucket), pair).cast("int") - 1), F.lit(NONE)).cast("bigint")
 
+    return search(F.shiftleft(a, TOKEN) + b)
 
-def encoded(start: Column, table: tuple[Column, Column]) -> Column:
+
+def encoded(start: Column, tables: tuple[Column, Column]) -> Column:
     """The tokens of one piece.
 
-    ``start`` holds a guard and then the piece's bytes, each as one number: the rank of the pair that it begins, its place and its token.  So
+    ``start`` holds the piece's bytes between two guards, each as one number: the rank of the pair that it begins, its place and its token.  So
     the least number is the leftmost pair of the lowest rank; the fold replaces it and its neighbour by their token and renews the two ranks beside.
     """
-    low_bits, token_bits = F.lit((1 << (TOKEN + PLACE)) - 1), F.lit(NONE)
+    low_bits, token_bits, none = F.lit((1 << (TOKEN + PLACE)) - 1), F.lit(NONE), F.lit(NONE << (TOKEN + PLACE))
+    place_bits = F.lit(((1 << PLACE) - 1) << TOKEN)
     token = lambda x: x.bitwiseAND(token_bits)
     with_rank = lambda rank, rest: F.shiftleft(rank, TOKEN + PLACE) + rest
 
-    def join(v: Column, low: Column, i: Column, tables) -> Column:        # i: the left token of the pair, counted from 1; 2 at least
+    def join(v: Column, low: Column, i: Column, ranks) -> Column:        # i: the left token of the pair, counted from 1; 2 at least
         new = F.shiftright(low, TOKEN + PLACE)
-        before, after = F.get(v, i - 2), F.get(v, i + 1)
-        left = with_rank(rank_of(tables, token(before), new), before.bitwiseAND(low_bits))
-        own = with_rank(rank_of(tables, new, token(after)), low.bitwiseAND(F.lit(((1 << PLACE) - 1) << TOKEN)) + new)
+        before = F.get(v, i - 2)
+        left = with_rank(rank_of(ranks, token(before), new), before.bitwiseAND(low_bits))
+        own = with_rank(rank_of(ranks, new, token(F.get(v, i + 1))), low.bitwiseAND(place_bits) + new)
         return F.concat(F.slice(v, F.lit(1), i - 2), F.array(left, own), F.slice(v, i + 2, F.lit(1 << 29)))
 
-    def step(v: Column, tables) -> Column:
-        return let(F.array_min(v), lambda low: F.when(low >= F.lit(NONE << (TOKEN + PLACE)), v).otherwise(
-            let(F.array_position(v, low).cast("int"), lambda i: join(v, low, i, tables))))
+    def step(v: Column, ranks) -> Column:
+        return let(F.array_min(v), lambda low: F.when(low >= none, v).otherwise(let(F.array_position(v, low).cast("int"), lambda i: join(v, low, i, ranks))))
 
-    def fold(tables) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(start)), start, lambda v, _: step(v, tables))
+    # the literals are bound once, so a task carries one copy of them; a piece of n bytes merges at most n - 1 times
+    def fold(ranks) -> Column:
+        return F.aggregate(F.sequence(F.lit(3), F.greatest(F.size(start) - 1, F.lit(3))), start, lambda v, _: step(v, ranks))
 
-    done = let(table[0], lambda pairs: let(table[1], lambda ranks: fold((pairs, ranks))))   # bound once: a task carries one copy
-    return F.transform(F.slice(done, F.lit(2), F.lit(1 << 29)), lambda x: token(x).cast("int"))
+    done = let(tables[0], lambda pairs: let(tables[1], lambda ranks: fold((pairs, ranks))))
+    return F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda x: token(x).cast("int"))
 
 
 def _starts(byte_ids: np.ndarray, byte_pairs: np.ndarray):
-    """Pieces as the numbers that ``encoded`` starts from."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            pieces = batch["piece"].to_pylist()
-            known = np.array([x is not None for x in pieces], dtype=bool)
-            data = np.frombuffer(b"".join(b"\0" + x for x in pieces if x is not None), dtype=np.uint8)
-            lengths = np.array([len(x) + 1 if x is not None else 0 for x in pieces], dtype=np.int32)
-            offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
-            np.cumsum(lengths, out=offsets[1:])
-            ids = byte_ids[data].astype(np.int64)
-            ranks = np.full(len(data), NONE, dtype=np.int64)
-            ranks[:-1] = byte_pairs[data[:-1], data[1:]]
-            firsts = offsets[:-1][known]
-            ids[firsts] = NONE
-            ranks[firsts] = NONE
-            ranks[offsets[1:][known] - 1] = NONE
-            places = np.arange(len(data)) - np.repeat(firsts, lengths[known])
-            numbers = (ranks << (TOKEN + PLACE)) | (places << TOKEN) | ids
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers))], names=[*batch.schema.names, "start"])
-
-    return run
+    """Pieces (an Arrow array of bytes) as the numbers that ``encoded`` starts from."""
+    def make(pieces):
+        import pyarrow as pa
+
+        at = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset:pieces.offset + len(pieces) + 1]
+        raw = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)[at[0]:at[-1]] if len(pieces) else np.zeros(0, np.uint8)
+        lengths = np.diff(at)
+        offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
+        np.cumsum(lengths + 2, out=offsets[1:])
+        guard = np.zeros(offsets[-1], dtype=bool)
+        guard[offsets[:-1]] = guard[offsets[1:] - 1] = True
+        data = np.zeros(offsets[-1], dtype=np.uint8)
+        data[~guard] = raw
+        ids = np.where(guard, NONE, byte_ids[data].astype(np.int64))
+        ranks = np.full(len(data), NONE, dtype=np.int64)
+        inside = ~(guard[:-1] | guard[1:])
+        ranks[:-1][inside] = byte_pairs[data[:-1], data[1:]][inside]
+        places = np.arange(len(data)) - np.repeat(offsets[:-1], lengths + 2)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((ranks << (TOKEN + PLACE)) | (places << TOKEN) | ids))
+
+    return make
 
 
 def _documents(keys: list[str], tokens: list[bytes], digests: bool):
@@ -124,56 +125,42 @@ def _documents(keys: list[str], tokens: list[bytes], digests: bool):
     import pyarrow as pa
 
     def run(batches):
-        mine = None
-        for ids, docs in assembled(batches, "ids"):
-            if ids is not mine:
-                mine = ids
-                offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-                lengths = np.diff(offsets)
+        lists, spelled, decoded = Lists(), [], []
+        for first, part in streamed(batches, "ids"):
+            if first is not None:
+                at, flat = part.offsets.to_numpy(), part.values.to_numpy(zero_copy_only=False)
                 if digests:
-                    listed, ends = flat.tolist(), offsets.tolist()
-                    spelled = [",".join(map(str, listed[a:b])) for a, b in zip(ends, ends[1:])]
-                    decoded = [b"".join([tokens[t] for t in listed[a:b]]) for a, b in zip(ends, ends[1:])]
-            head = [docs[k] for k in keys]
-            codes = [np.frombuffer(c, dtype=np.int32) for c in docs["codes"].to_pylist()]
+                    listed, ends = flat[at[0]:at[-1]].tolist(), (at - at[0]).tolist()
+                    if first == 0:
+                        spelled, decoded = [], []
+                    spelled += [",".join(map(str, listed[a:b])) for a, b in zip(ends, ends[1:])]
+                    decoded += [b"".join([tokens[t] for t in listed[a:b]]) for a, b in zip(ends, ends[1:])]
+                lists.add(first, flat[at[0]:at[-1]] if not digests else np.zeros(0), np.diff(at))
+                continue
+            head = [part[k] for k in keys]
+            codes = [np.frombuffer(c, dtype=np.int32) for c in part["codes"].to_pylist()]
             if digests:
-                counts = [int(lengths[c].sum()) for c in codes]
+                counts = [int(lists.lengths[c].sum()) for c in codes]
                 listed_codes = [c.tolist() for c in codes]
                 ids_sha = [hashlib.sha256(",".join([spelled[k] for k in c]).encode()).hexdigest() for c in listed_codes]
                 text_sha = [hashlib.sha256(b"".join([decoded[k] for k in c])).hexdigest() for c in listed_codes]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(counts, type=pa.int64()), pa.array(ids_sha, type=pa.string()), pa.array(text_sha, type=pa.string())],
                                                  names=[*keys, "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([*head, gathered(flat, offsets[:-1], lengths, codes)], names=[*keys, "ids"])
+                yield pa.RecordBatch.from_arrays([*head, lists.of(codes)], names=[*keys, "ids"])
 
     return run
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: list[np.ndarray]):
-    """A list array: for each document the values of its pieces, one after another."""
-    import pyarrow as pa
-
-    each = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-    n = lengths[each].astype(np.int64)
-    ends = np.cumsum(n)
-    places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[each], n)
-    sizes = np.zeros(len(codes) + 1, dtype=np.int32)
-    cuts = np.cumsum([len(c) for c in codes])
-    sizes[1:] = np.concatenate([[0], ends])[cuts] if len(codes) else []
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat[places].astype(np.int32)))
-
-
-def _with_ids(docs: DataFrame, keys: list[str], ranks: Ranks) -> DataFrame:
-    kinds = dict(docs.dtypes)
-    columns = ", ".join(["piece binary", *(f"`{k}` {kinds[k]}" for k in keys), "codes binary"])
-    rows = piece_rows(docs, keys).mapInArrow(_starts(ranks.byte_ids, ranks.byte_pairs()), columns + ", start array<bigint>")
-    return rows.select("piece", *[F.col(f"`{k}`") for k in keys], "codes", F.when(F.col("piece").isNotNull(), encoded(F.col("start"), ranks.literal())).alias("ids"))
+def _with_ids(docs: DataFrame, keys: list[str], ranks: Ranks, **sizes: int) -> DataFrame:
+    rows = piece_rows(docs, keys, **sizes, derived=("start", "array<bigint>", _starts(ranks.byte_ids, ranks.byte_pairs())))
+    return rows.select("slot", *[F.col(f"`{k}`") for k in keys], "codes", F.when(F.col("codes").isNull(), encoded(F.col("start"), ranks.literal())).alias("ids"))
 
 
-def encode(docs: DataFrame, ranks: Ranks, keys: list[str]) -> DataFrame:
-    """``keys`` and ``ids`` (array<int>) of every row's whole ``text``; a null or empty text has no ids.  ``keys`` may be any columns but ``text``."""
+def encode(docs: DataFrame, ranks: Ranks, keys: list[str], **sizes: int) -> DataFrame:
+    """``keys`` and ``ids`` (array<int>) of every row's whole ``text``; a null or empty text has no ids.  ``sizes``: chunk, known (see ``words``)."""
     kinds = dict(docs.dtypes)
-    return _with_ids(docs, keys, ranks).mapInArrow(_documents(keys, [], False), ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ids array<int>"]))
+    return _with_ids(docs, keys, ranks, **sizes).mapInArrow(_documents(keys, [], False), ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ids array<int>"]))
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:

@@ -15,9 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from tablewarden.llm.bpe import gathered
 from tablewarden.llm.common import shared_folder
-from tablewarden.llm.words import assembled, piece_rows
+from tablewarden.llm.words import Lists, piece_rows, streamed
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 END = 2                       # the id appended to each document
@@ -35,18 +34,18 @@ def _tokenized(model: bytes, end: int):
 
         tokenizer = Tokenizer.from_buffer(model)
         tokenizer.encode_special_tokens = True             # their strings in a text are ordinary text
-        part, start, mine = TaskContext.get().partitionId(), 0, None
-        for pieces, docs in assembled(batches, "piece"):
-            if pieces is not mine:
-                mine, lists = pieces, []
-                texts = pieces.cast(pa.string())
-                for lo in range(0, len(texts), 20_000):
-                    lists += [e.ids for e in tokenizer.encode_batch_fast(texts.slice(lo, 20_000).to_pylist(), add_special_tokens=False)]
-                lists.append([end])
-                lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-                flat = np.fromiter((t for ids in lists for t in ids), dtype=np.int32, count=lengths.sum())
-                firsts, last = np.cumsum(lengths) - lengths, np.array([len(lists) - 1], dtype=np.int32)
-            ids = gathered(flat, firsts, lengths, [np.concatenate([np.frombuffer(c, dtype=np.int32), last]) for c in docs["codes"].to_pylist()])
+        part, start, lists = TaskContext.get().partitionId(), 0, Lists()
+        last = np.array([0], dtype=np.int32)               # slot 0 is the end id, the pieces follow
+        for first, docs in streamed(batches, "piece"):
+            if first is not None:
+                texts = docs.cast(pa.string()).to_pylist()
+                found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                found = [[end], *found] if first == 0 else found
+                lists.add(first, np.array([t for ids in found for t in ids], dtype=np.int32), np.array([len(ids) for ids in found]))
+                continue
+            if not len(lists.lengths):
+                lists.add(0, np.array([end]), np.array([1]))
+            ids = lists.of([np.concatenate([np.frombuffer(c, dtype=np.int32) + 1, last]) for c in docs["codes"].to_pylist()])
             n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             starts = start + np.cumsum(n) - n
             start += int(n.sum())

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -17,8 +18,9 @@ RANKS = bpe.Ranks(PATH)
 LIBRARY = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS.ids, special_tokens={})
 
 
-def test_encode_decode(spark, odd):
-    got = bpe.encode(odd, RANKS, ["doc_id", "kept"]).withColumn("bytes", bpe.decode(F.col("ids"), RANKS)).collect()
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 3, "known": 8}])
+def test_encode_decode(spark, odd, sizes):
+    got = bpe.encode(odd.coalesce(1), RANKS, ["doc_id", "kept"], **sizes).withColumn("bytes", bpe.decode(F.col("ids"), RANKS)).collect()
     texts = {i: t or "" for i, t, _, _ in ROWS}
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in ROWS)
     for r in got:
