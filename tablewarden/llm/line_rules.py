@@ -1,7 +1,7 @@
 """Quality rules: counts inside a document, and line frequency across the documents of a host.
 
 A line that many different documents of one host share is boilerplate: normalised lines are hashed, the distinct documents that
-hold each are counted per host, lines above the limit are removed, and a document that keeps too little is rejected.
+hold each are counted per host, lines above the limit are removed from the texts, and a document that keeps too little is rejected.
 Copies of one text count as one document, so a page that was crawled often does not turn its own lines into boilerplate.
 Everything is a SQL expression; only line hashes travel.
 """
@@ -68,7 +68,7 @@ def measures(text: Column) -> list[Column]:
 
 
 def _judged(docs: DataFrame, columns: list[str], max_docs: int, min_left: int) -> DataFrame:
-    """Measures and verdict of every row, with ``columns`` in the struct ``_row``."""
+    """Measures and verdict of every row, with ``columns`` in the struct ``_row`` and the hashes of its frequent lines (null: none) in ``_frequent``."""
     text = F.col("text").cast("string")
     host, digest = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_host"), F.xxhash64(text).alias("_text")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), host, digest, *measures(text)).select(
@@ -79,13 +79,14 @@ def _judged(docs: DataFrame, columns: list[str], max_docs: int, min_left: int) -
     # one row for each different text of a host and line: how often the text holds it does not matter for the count of documents
     held = held.groupBy("_host", "_text", "line").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("_times"))
     frequent = held.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("_host", "line")
-    removed = held.join(frequent, ["_host", "line"]).groupBy("_host", "_text").agg(F.sum(F.col("words") * F.col("_times")).alias("_removed"))
+    removed = held.join(frequent, ["_host", "line"]).groupBy("_host", "_text").agg(
+        F.sum(F.col("words") * F.col("_times")).alias("_removed"), F.collect_list("line").alias("_frequent"))  # as many hashes as the text has lines, at most
     copies = docs.select(host, digest).groupBy("_host", "_text").agg(F.count(F.lit(1)).alias("_copies"))
-    removed = removed.join(copies, ["_host", "_text"]).select("_host", "_text", (F.col("_removed") / F.col("_copies")).cast("bigint").alias("removed_words"))
+    removed = removed.join(copies, ["_host", "_text"]).select("_host", "_text", (F.col("_removed") / F.col("_copies")).cast("bigint").alias("removed_words"), "_frequent")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0))
     return base.join(removed, ["_host", "_text"], "left").select(
-        "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("removed_words"),
+        "_row", "_frequent", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("removed_words"),
         (~failed & (100 * (F.col("n_words") - gone) >= min_left * F.col("n_words"))).alias("kept"))
 
 
@@ -98,6 +99,24 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -
     return _judged(docs, ["doc_id"], max_docs, min_left).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
+def without(text: Column, frequent: Column) -> Column:
+    """The text without the lines whose hash is in ``frequent``; all other lines, blank ones too, stay as they are.  Null ``frequent``: the text itself."""
+    left = F.filter(F.split(text, "\n", -1), lambda line: ~F.array_contains(frequent, F.xxhash64(normal(line))))
+    return F.when(frequent.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
+def _cleaned(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows in ``_row`` with all columns of ``docs``, frequent lines removed from ``text``."""
+    kinds = dict(docs.dtypes)
+    field = lambda c: F.col("_row").getField(c)
+    return judged.select(*[(without(field(c).cast("string"), F.col("_frequent")).cast(kinds[c]) if c.lower() == "text" else field(c)).alias(c) for c in docs.columns])
+
+
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Every row of ``docs``, kept or not, with all its columns; ``text`` has lost its frequent lines, so it holds n_words - removed_words words."""
+    return _cleaned(_judged(docs, docs.columns, max_docs, MIN_LEFT), docs)
+
+
 def keep(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns whatever these are called."""
-    return _judged(docs, docs.columns, max_docs, min_left).where("kept").select("_row.*")
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns whatever these are called; ``text`` has lost its frequent lines."""
+    return _cleaned(_judged(docs, docs.columns, max_docs, min_left).where("kept"), docs)

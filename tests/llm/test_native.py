@@ -76,6 +76,21 @@ def test_frequent_lines(spark):
     assert all(got[200 + k]["kept"] for k in range(40)) and got[300]["kept"] and got[301]["kept"]  # copies are one document; other hosts count apart
 
 
+def test_frequent_lines_leave_the_text(spark):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(k, f"\n  All  rights Reserved\t\n{own(k)}\n \nALL RIGHTS RESERVED\r\nend {k}\n", "h", "clash") for k in range(30)] + [(100, f"all rights reserved\n{own(100)}", "other", None)]
+    rows += [(200 + k, f"all rights reserved\nt{k}", "h", None) for k in range(3)] + [(300, None, "h", None), (301, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _frequent string")
+    got = {r["doc_id"]: r for r in line_rules.keep(docs).collect()}
+    assert set(got) == {*range(30), 100} and got[5]["_frequent"] == "clash"
+    assert all(got[k]["text"] == f"\n{own(k)}\n \nend {k}\n" for k in range(30)) and got[100]["text"] == rows[30][1]
+    every = {r["doc_id"]: r for r in line_rules.clean(docs).collect()}
+    assert len(every) == len(rows) and every[201]["text"] == "t1" and every[300]["text"] is None and every[301]["text"] == ""
+    for r in line_rules.judge(docs).collect():
+        assert len((every[r["doc_id"]]["text"] or "").split()) == r["n_words"] - r["removed_words"], r["doc_id"]
+    assert line_rules.clean(docs.limit(0)).columns == docs.columns
+
+
 def test_url_rules(spark):
     rules = queries.URL_RULES
     urls = [None, "", "no scheme", "http://", "https://NET", "http://net/", "http://x.net/a?b", "http://a.example.net/en/1", "http://example.net/en", "http://example.net?x=/en/", "http://badexample.net/en/q",
