@@ -3,14 +3,16 @@
 1. Every text gives its distinct 5-word shingles as 64-bit hashes, a digest of the set, a few whole min-wise tokens to branch by and one byte of
    each of 128 tokens to estimate by.  Documents with equal sets are one class from here on, so thousands of copies cost one row.
 2. Independent trees branch the classes by chosen min-wise tokens: a node holds the classes that agree on all tokens along its path.
-   A node of at most ``LEAF`` classes is compared exhaustively; a larger one branches again, by ``FAN`` chosen tokens at once,
-   down to ``DEPTH`` levels.  What is still large there is dealt in pairs of blocks, so every pair is compared all the same.
+   A node of at most ``LEAF`` classes is compared exhaustively; a larger one branches again, by ``FAN`` chosen tokens of its tree and level at once,
+   down to ``DEPTH`` levels, if its branches together need fewer comparisons than it does.  Any other large node, and what is still large at the
+   last level, is dealt in pairs of blocks, so every pair is compared all the same.
 3. A node compares min-wise estimates and returns only a spanning forest of the pairs whose estimate lies within ``MARGIN`` of the
    threshold; the forests' components are candidate clusters, which hold both ends of every link.
 4. The texts of clustered classes (a fixed-size bitmap of ids keeps all others from being moved) meet in their cluster, full shingle sets are
    intersected (in pairs of blocks again), and a spanning forest of the confirmed links is kept.
 
-A pair at the threshold s is missed with a chance of about (1-s)^TREES in nodes of one level: below 3e-6 for 0.8.
+A pair at the threshold s meets in a tree unless its tokens differ at the root or, where the node is large, all FAN tokens of a level do.  With
+q = (1-s) + s (1 - (1 - (1-s)^FAN)^DEPTH) for one tree, q^TREES is missed at most: below 3e-6 for 0.8 however often nodes branch, 2.6e-6 if none does.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ SHINGLE = 5
 TOKENS = 128                  # min-wise tokens for each set
 TREES = 8
 LEAF = 4_000                  # classes that a node may hold to be compared exhaustively
-FAN = 2                       # chosen tokens for each further branching of a large node
+FAN = 4                       # chosen tokens for each further branching of a large node
 DEPTH = 3
-PATH = TREES + FAN * DEPTH    # tokens to branch by
+PATH = TREES * (1 + FAN * DEPTH)  # tokens to branch by: no two trees share one
 BITS = 1 << 22                # of the bitmap of clustered ids
 BLOCK = 1_000                 # classes in a block where a group has to be dealt in pairs of blocks
 MARGIN = 0.14                 # over 4 standard deviations of an estimate from 128 tokens
@@ -256,22 +258,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def candidate_edges(reps: DataFrame, percent: int, trees: int = TREES, leaf: int = LEAF, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
     """Edges (a, b) whose components hold both ends of every pair of classes that reaches ``percent``."""
-    token = lambda k: F.get("path", F.lit(k))
-    level = reps.select("id", F.explode(F.array(*[F.xxhash64(F.lit(t), token(t)) for t in range(trees)])).alias("node"))
-    leaves, at = [], trees
+    token = lambda k: F.get("path", k)
+    level = reps.select("id", F.posexplode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(trees)])).alias("tree", "node"))
+    leaves = []
     for d in range(depth + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("_held")).where("_held > 1")
-        last = d == depth
-        small = sizes if last else sizes.where(F.col("_held") <= leaf)
-        leaves.append(_dealt(level.select("node", "id"), small, "node", "_held", leaf))
-        if last:
+        large = sizes.where(F.col("_held") > leaf)
+        if d == depth or large.isEmpty():
+            leaves.append(_dealt(level.select("node", "id"), sizes, "node", "_held", leaf))
             break
-        large = level.join(sizes.where(F.col("_held") > leaf).select("node"), "node").select("id", "node")
-        if large.isEmpty():
-            break
-        branched = large.join(reps.select("id", "path"), "id").select("id", F.explode(F.array(*[F.xxhash64("node", F.lit(k), token(k)) for k in range(at, at + fan)])).alias("node"))
-        level = written(branched, "level")
-        at += fan
+        at = (F.col("tree") * depth + d) * fan + trees         # every tree has tokens of its own for every level
+        inside = level.join(large, "node").join(reps.select("id", "path"), "id")
+        branched = written(inside.select("id", "tree", F.col("node").alias("parent"), "_held", F.explode(F.array(
+            *[F.xxhash64("node", F.lit(k), token(at + k)) for k in range(fan)])).alias("node")), "level")
+        # a node branches only where its branches together need fewer comparisons than it does
+        costs = branched.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("_n"), F.first("_held").alias("_held"))
+        costs = costs.groupBy("parent").agg(F.sum(F.col("_n") * F.col("_n")).alias("_cost"), F.first("_held").alias("_held"))
+        split = written(costs.where(F.col("_cost") < F.col("_held") * F.col("_held")).select("parent"), "split")
+        whole = sizes.join(split.withColumnRenamed("parent", "node"), "node", "left_anti")
+        leaves.append(_dealt(level.select("node", "id"), whole, "node", "_held", leaf))
+        level = branched.join(split, "parent", "left_semi").select("id", "tree", "node")
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)

@@ -54,6 +54,25 @@ def test_against_all_pairs(spark, percent, leaf, block):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute(rows, percent) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("template,shared", [(60, 24), (44, 40)])
+def test_recall_in_large_nodes(spark, template, shared):
+    """Different texts with a long template: nodes of its tokens are large. Every text has one partner, of similarity 0.8 exactly."""
+    rng, rows = random.Random(3), []
+    head = ["t%d" % k for k in range(template)]
+    for pair in range(1_500):
+        own = [f"p{rng.random()}" for _ in range(shared)]
+        rows += [(2 * pair + k, " ".join(head + own + [f"u{rng.random()}" for _ in range(10)])) for k in range(2)]
+    got = near_dup.resolve(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 80, leaf=60).collect()
+    lost = sorted(r["doc_id"] for r in got if r["component_id"] != r["doc_id"] - r["doc_id"] % 2)
+    assert len(got) == 3_000 and len(lost) <= 1, lost
+
+
+def test_branching_has_tokens_for_every_tree():
+    assert near_dup.PATH == near_dup.TREES * (1 + near_dup.FAN * near_dup.DEPTH) <= near_dup.TOKENS
+    lost = 1 - (1 - 0.2 ** near_dup.FAN) ** near_dup.DEPTH
+    assert (0.2 + 0.8 * lost) ** near_dup.TREES < 3e-6
+
+
 def test_odd_rows(spark, odd, none):
     got = sorted((tuple(r) for r in near_dup.resolve(odd).collect()), key=str)
     by = {r[0]: r[1:] for r in got}
