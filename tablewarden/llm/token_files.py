@@ -7,6 +7,7 @@ sizes, and page indexes let a reader skip to the pages of a doc_id.  ``metadata`
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -24,7 +25,15 @@ LAYOUT = {"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.w
           **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "start_in_part", "n_tokens")}}
 
 
-def _tokenized(model: bytes, end: int):
+def added_tokens(model: bytes, specials: bool) -> list[str]:
+    """The strings that the library finds in a text before it cuts pieces; without ``specials`` those of special tokens are ordinary text."""
+    found = [t for t in json.loads(model).get("added_tokens") or [] if specials or not t["special"]]
+    if odd := [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that depend on what stands beside them: {odd}")
+    return [t["content"] for t in found]
+
+
+def _tokenized(model: bytes, end: int, specials: bool):
     import pyarrow as pa
 
     def run(batches):
@@ -33,7 +42,7 @@ def _tokenized(model: bytes, end: int):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_buffer(model)
-        tokenizer.encode_special_tokens = True             # their strings in a text are ordinary text
+        tokenizer.encode_special_tokens = not specials     # True: their strings in a text are ordinary text
         part, start, lists = TaskContext.get().partitionId(), 0, Lists()
         last = np.array([0], dtype=np.int32)               # slot 0 is the end id, the pieces follow
         for first, docs in streamed(batches, "piece"):
@@ -55,9 +64,12 @@ def _tokenized(model: bytes, end: int):
     return run
 
 
-def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = END) -> None:
+def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = END, specials: bool = False) -> None:
     """Encode the whole text of every row (null: empty), append ``end`` and write the files.
 
+    With ``specials`` the ids are those of the library's ``encode(text, add_special_tokens=False)``, where the string of a special token in a text becomes
+    its id; without, as with the library's ``encode_special_tokens`` set, such a string is ordinary text.
+
     Null doc_ids come first; rows of one doc_id lie together, ordered by text.  An empty table writes files without rows.
     """
     with open(tokenizer_path, "rb") as file:
@@ -67,7 +79,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = END) -> No
     ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     schema = f"doc_id {kind}, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
-    piece_rows(ordered, ["doc_id"]).mapInArrow(_tokenized(model, end), schema).write.options(**LAYOUT).parquet(path)
+    rows = piece_rows(ordered, ["doc_id"], added=added_tokens(model, specials))
+    rows.mapInArrow(_tokenized(model, end, specials), schema).write.options(**LAYOUT).parquet(path)
 
 
 def _placed(rows: DataFrame, stored: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ starts anew, so memory is bounded for any input.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,16 @@ BATCH = 1_000                 # documents in an Arrow batch: their pieces are ma
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r\x{85}\p{Z}\p{L}\p{N}]+|[\t-\r\x{85}\p{Z}]+(?![^\t-\r\x{85}\p{Z}])|[\t-\r\x{85}\p{Z}]+"
 
 
-def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0))
+def pieces(text: Column, added: Sequence[str] = ()) -> Column:
+    """The pieces of a text, which is cut at the strings ``added`` first (the leftmost, of these the longest); each of them is a piece of its own."""
+    text = F.coalesce(text, F.lit(""))
+    plain = lambda t: F.regexp_extract_all(t, F.lit(PIECES), F.lit(0))
+    if not added:
+        return plain(text)
+    pattern = "|".join(re.escape(a) for a in sorted(added, key=len, reverse=True))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(F.split(text, pattern, -1), found, lambda t, a: F.when(a.isNull(), plain(t)).otherwise(F.concat(plain(t), F.array(a))))
+    return F.when(F.size(found) == 0, plain(text)).otherwise(F.flatten(parts))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -32,7 +41,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH)
 
 
-def piece_rows(docs: DataFrame, keys: list[str], text: str = "text", chunk: int = CHUNK, known: int = KNOWN, derived: tuple[str, str, Callable] | None = None) -> DataFrame:
+def piece_rows(docs: DataFrame, keys: list[str], text: str = "text", chunk: int = CHUNK, known: int = KNOWN, derived: tuple[str, str, Callable] | None = None,
+               added: Sequence[str] = ()) -> DataFrame:
     """Rows (bytes of a new piece, its slot) and then (``keys`` and codes of a document), chunk after chunk, in the order of ``docs``.
 
     ``derived`` (name, SQL type, function of an Arrow array of pieces) takes the place of the pieces' bytes by what is computed from them.
@@ -41,7 +51,7 @@ def piece_rows(docs: DataFrame, keys: list[str], text: str = "text", chunk: int
     kinds = dict(docs.dtypes)
     piece = f"{derived[0]} {derived[1]}" if derived else "piece binary"
     schema = ", ".join([piece, "slot int", *(f"`{k}` {kinds[k]}" for k in keys), "codes binary"])
-    return docs.select(*[F.col(f"`{k}`") for k in keys], pieces(F.col(f"`{text}`").cast("string")).alias("_pieces")).mapInArrow(
+    return docs.select(*[F.col(f"`{k}`") for k in keys], pieces(F.col(f"`{text}`").cast("string"), added).alias("_pieces")).mapInArrow(
         _coded(len(keys), chunk, known, derived), schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from odd_rows import ROWS
-from tablewarden.llm import bpe, token_files
+from tablewarden.llm import bpe, queries, token_files
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = bpe.Ranks(PATH)
@@ -73,3 +73,21 @@ def test_token_files(spark, odd, tmp_path):
     assert [r["ids"] for r in some] == [library.encode(dict(rows)[8], add_special_tokens=False).ids + [2]]
     plan = token_files.metadata(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_special_tokens_as_the_library_finds_them(spark, odd, tmp_path):
+    """The query's call: ids as of encode(text, add_special_tokens=False), with the library's other settings at their defaults."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", f"{end}", f"{end}{end}  {end}a", f"a  {end}  b", f" {end}\n\n{end}\n", "<|endoftext|", f"<{end}>", f"it's{end}'s it", end.upper(), "", "plain  text "]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, (_, t, _, _) in enumerate(ROWS)]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    want, start = {}, 0
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+    assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op9_token_files"](spark, str(tmp_path / "sf")).collect()}
+    assert got == want
