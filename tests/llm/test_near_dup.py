@@ -1,6 +1,7 @@
 """Near-duplicates against all pairs, with limits low enough that nodes branch and groups are dealt in blocks."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -73,6 +74,12 @@ def test_branching_has_tokens_for_every_tree():
     assert (0.2 + 0.8 * lost) ** near_dup.TREES < 3e-6
 
 
+def test_the_estimate_drops_few_pairs_at_the_threshold():
+    n = near_dup.TOKENS
+    for s in (0.8, 0.85):
+        assert sum(math.comb(n, k) * s ** k * (1 - s) ** (n - k) for k in range(n) if k < (s - near_dup.MARGIN) * n) < 2e-6
+
+
 def test_odd_rows(spark, odd, none):
     got = sorted((tuple(r) for r in near_dup.resolve(odd).collect()), key=str)
     by = {r[0]: r[1:] for r in got}
