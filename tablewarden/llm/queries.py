@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, chat, decontaminate, lang_id, line_rules, near_dup, quality_model, sharding, token_files, url_rules
+from tablewarden.llm import bpe, chat, decontaminate, lang_id, line_rules, merkle, near_dup, quality_model, sharding, token_files, url_rules
 from tablewarden.llm.common import held_out
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_path(spark)
     token_files.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), path, specials=True)
     return token_files.digests(spark, path)
+
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+_SIBLINGS = """
+    SELECT l.part, l.rank, v.lvl, s.h, (l.rank >> v.lvl) & 1 AS bit FROM {leaves} l JOIN (SELECT DISTINCT part, lvl FROM {up} WHERE n > 1) v ON v.part = l.part
+    LEFT JOIN {up} s ON s.part = l.part AND s.lvl = v.lvl AND s.rank = xor(l.rank >> v.lvl, 1)"""
+_UP = """
+    SELECT part, CAST(0 AS BIGINT) AS lvl, rank, n, h FROM {leaves} UNION ALL
+    SELECT part, lvl + 1, rank // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY rank)) FROM {up} WHERE n > 1 GROUP BY part, lvl, rank // 2, n"""
+_PATHS = "SELECT part, rank, list(CASE WHEN h IS NULL THEN 'N' WHEN bit = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY lvl) AS path FROM {siblings} GROUP BY part, rank"
+
+
+@query("op13_merkle_manifest", f"""
+  WITH RECURSIVE docs AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS part, {_LEAF.replace('{n}', 'n_chars')} AS h,
+           CASE WHEN {_CRC32} % 7 = 0 THEN {_LEAF.replace('{n}', '(n_chars + 1)')} END AS tampered FROM documents),
+  leaves AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, h) - 1 AS rank, count(*) OVER (PARTITION BY part) AS n FROM docs),
+  up AS ({_UP.format(leaves='leaves', up='up')}),
+  subroots AS (SELECT '' AS part, part AS own, h, row_number() OVER (ORDER BY part) - 1 AS rank, count(*) OVER () AS n FROM up WHERE n = 1),
+  top AS ({_UP.format(leaves='subroots', up='top')}),
+  inner_siblings AS ({_SIBLINGS.format(leaves='leaves', up='up')}),
+  outer_siblings AS ({_SIBLINGS.format(leaves='subroots', up='top')}),
+  inner_paths AS ({_PATHS.format(siblings='inner_siblings')}),
+  outer_paths AS ({_PATHS.format(siblings='outer_siblings')}),
+  found AS (
+    SELECT l.doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(l.tampered, l.h) AS started,
+           list_concat(coalesce(i.path, []::VARCHAR[]), coalesce(o.path, []::VARCHAR[])) AS path
+    FROM leaves l JOIN subroots s ON s.own = l.part LEFT JOIN inner_paths i ON i.part = l.part AND i.rank = l.rank LEFT JOIN outer_paths o ON o.rank = s.rank),
+  folded AS (
+    SELECT *, sha256(array_to_string(list_transform(path, lambda x: substr(x, 2)), '')) AS proof_sha256,
+           list_reduce(list_concat([started], path), lambda a, e: sha256(CASE WHEN e[1] = 'L' THEN substr(e, 2) || a WHEN e[1] = 'R' THEN a || substr(e, 2) ELSE a END)) AS folded_root FROM found)
+  SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    leaf = lambda n: merkle.digest(*[merkle.field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))])
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(docs, "lang", ["doc_id"], leaf(F.col("n_chars")), {"tampered": F.when(picked, leaf(F.col("n_chars") + 1))})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
