@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, chat, decontaminate, lang_id, line_rules, merkle, near_dup, quality_model, sharding, token_files, url_rules
+from tablewarden.llm import bpe, chat, decontaminate, lang_id, line_rules, merkle, near_dup, phrases, quality_model, sharding, token_files, url_rules
 from tablewarden.llm.common import held_out
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,27 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(docs, "lang", ["doc_id"], leaf(F.col("n_chars")), {"tampered": F.when(picked, leaf(F.col("n_chars") + 1))})
     folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op11_collocations", rf"""
+  WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+  spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+  ones AS (SELECT lang, w[i] AS w1, count(*) AS f FROM spots GROUP BY ALL),
+  twos AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM spots WHERE i + 1 <= len(w) GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+  threes AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM spots WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+  totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM ones GROUP BY lang),
+  longer AS (SELECT lang, w1, w2, max(f) AS m FROM (SELECT lang, w1, w2, f FROM threes UNION ALL SELECT lang, w2, w3, f FROM threes) GROUP BY ALL),
+  two AS (SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r FROM twos t JOIN ones x ON x.lang = t.lang AND x.w1 = t.w1 JOIN ones y ON y.lang = t.lang AND y.w1 = t.w2
+          LEFT JOIN longer g ON g.lang = t.lang AND g.w1 = t.w1 AND g.w2 = t.w2 WHERE coalesce(100 * g.m < {phrases.COVERED} * t.f, true)),
+  three AS (SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r FROM threes t JOIN ones x ON x.lang = t.lang AND x.w1 = t.w1
+            JOIN twos y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+            UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f FROM threes t JOIN twos x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2
+            JOIN ones y ON y.lang = t.lang AND y.w1 = t.w3),
+  cuts AS (SELECT *, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM (SELECT * FROM two UNION ALL SELECT * FROM three)),
+  best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2_000)
