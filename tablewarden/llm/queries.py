@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, chat, decontaminate, lang_id, line_rules, merkle, near_dup, phrases, quality_model, sharding, token_files, url_rules
+from tablewarden.llm import bpe, chat, decontaminate, lang_id, line_rules, merkle, near_dup, phrases, quality_model, sharding, token_files, url_rules, wrappers
 from tablewarden.llm.common import held_out
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +197,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2_000)
+
+
+@query("op12_html_main_text")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
