@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import mix, slices, word_hashes, written
+from tablewarden.llm.words import small_batches
 
 LEAST, LONGEST, COVERED = 10, 3, 50        # occurrences of a phrase, words in it, per cent that a longer phrase must hold to replace it
 SHARD = 1 << 20                            # phrases in a trie
 BITS = 27                                  # a bitmap has 2 ** BITS bits (16 MB)
 BUCKETS = 40                               # bits of a bucket number
-WINDOW = 1 << 20                           # codes looked at together
-HELD = 4 << 20                             # phrase keys or words held before a task emits them
+WINDOW = 1 << 18                           # codes looked at together
+HELD = 2 << 20                             # phrase keys held before a task emits them; of words and phrases a quarter
+DEAL = 8 << 20                             # words of the table for each part that bucket sums are dealt into
 SALTS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", dtype=np.uint8))
@@ -76,7 +78,7 @@ def _coded(seed: int):
 
     def run(batches):
         held, size, seeds = [], 0, {}
-        for table in slices(batches):
+        for table in slices(batches, 1 << 20):
             langs = table["lang"].to_pylist()
             texts = [(t or "").encode().lower() for t in table["text"].to_pylist()]
             blob = b"\n".join(texts)
@@ -117,6 +119,7 @@ def _coded(seed: int):
 
 def codes_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """The written codes of all texts, and the words (code, lang, word, f), one row each."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(ALONE)).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     for seed in range(4):
         coded = written(read.mapInArrow(_coded(seed), "lang string, word string, code bigint, n bigint, codes binary"), "phrase-codes", compression="zstd")
@@ -168,15 +171,22 @@ def _alive(codes: np.ndarray, length: int, shorter: np.ndarray) -> tuple[np.ndar
     return at, joined_key(key[at], codes[at + length - 1])
 
 
-def bucket_sums(coded: DataFrame, length: int, shorter, least: int) -> DataFrame:
-    """The hash buckets in which phrases with frequent parts fall ``least`` times or more."""
+def bucket_sums(coded: DataFrame, length: int, shorter, least: int, parts: int) -> DataFrame:
+    """The hash buckets in which phrases with frequent parts fall ``least`` times or more.
+
+    Tasks emit sorted runs of buckets and counts as bytes, cut into ``parts`` (a power of two) equal ranges of the hash; each range is added up by itself.
+    """
+    edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(BUCKETS - (parts.bit_length() - 1))
+
     def run(batches):
         import pyarrow as pa
 
         def emitted(held):
             buckets, counts = np.unique(np.concatenate(held), return_counts=True)
-            for lo in range(0, len(buckets), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(buckets[lo:lo + 200_000].view(np.int64)), pa.array(counts[lo:lo + 200_000].astype(np.int64))], names=["bucket", "n"])
+            counts = counts.astype(np.uint32)
+            cuts = [0, *np.searchsorted(buckets, edges).tolist(), len(buckets)]
+            rows = [(k, buckets[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32()), *(pa.array([r[k] for r in rows], type=pa.binary()) for k in (1, 2))], names=["part", "buckets", "counts"])
 
         held, size = [], 0
         for codes in _windows(batches, length):
@@ -188,7 +198,18 @@ def bucket_sums(coded: DataFrame, length: int, shorter, least: int) -> DataFrame
         if held:
             yield from emitted(held)
 
-    return coded.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("bucket")
+    def added(table):
+        import pyarrow as pa
+
+        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in table[name]])
+        buckets, counts = read("buckets", np.uint64), read("counts", np.uint32)
+        order = np.argsort(buckets, kind="stable")
+        buckets = buckets[order]
+        first = np.flatnonzero(np.diff(buckets, prepend=~buckets[:1]))
+        sums = np.add.reduceat(counts[order].astype(np.int64), first)
+        return pa.table({"bucket": buckets[first[sums >= least]].view(np.int64)})
+
+    return coded.mapInArrow(run, "part int, buckets binary, counts binary").groupBy("part").applyInArrow(added, "bucket bigint")
 
 
 def candidates(coded: DataFrame, length: int, shorter, buckets: DataFrame) -> DataFrame:
@@ -217,7 +238,7 @@ def candidates(coded: DataFrame, length: int, shorter, buckets: DataFrame) -> Da
             keys, first = np.unique(keys, return_index=True)
             held.append((keys, np.stack([codes[at[first] + k] for k in range(length)], axis=1)))
             size += len(keys)
-            if size > HELD // 8:
+            if size > HELD // 4:
                 yield from emitted(held)
                 held, size = [], 0
         if held:
@@ -378,9 +399,11 @@ def frequent_phrases(coded: DataFrame, words: DataFrame, least: int = LEAST, lon
     sc = coded.sparkSession.sparkContext
     out: dict[int, DataFrame] = {}
     shorter = words.where(F.col("f") >= least).select(F.col("code").alias("key"))
+    total = words.agg(F.sum("f")).first()[0] or 0
+    parts = 1 << max(4, (total // DEAL).bit_length())
     for length in range(2, longest + 1):
         bits = sc.broadcast(bitmap(shorter, "key"))
-        buckets = written(bucket_sums(coded, length, bits, least), f"phrase-buckets-{length}")
+        buckets = written(bucket_sums(coded, length, bits, least, parts), f"phrase-buckets-{length}")
         phrases = written(candidates(coded, length, bits, buckets), f"phrase-candidates-{length}")
         out[length] = trie_counts(coded, length, phrases, shard).where(F.col("a") >= least)
         shorter = out[length].mapInArrow(_keys(length), "key bigint")

@@ -12,7 +12,7 @@ of those places.  Menus, headers, footers, sidebars, notices, adverts, forms and
 
 * Null or empty html gives an empty text; a null url, or one without a host, belongs to the host ``""``.  A page on which the host's places do not
   occur (also an only page) is its own wrapper.
-* Very long pages are read whole; elements nested deeper than ``DEEP`` count as part of the one above.  Repeated rows give equal texts.
+* Very long pages are read whole; elements nested deeper than ``DEEP`` (frames: twice that) count as part of the one above.  Repeated rows give equal texts.
 * An empty table gives an empty one.  Columns that are not named are ignored.
 """
 
@@ -114,7 +114,7 @@ def _alike(a: Node, b: Node) -> bool:
     """Whether two expressions can be one: equal signs, and for elements without a name also like content."""
     if a.sign != b.sign:
         return False
-    if " " in a.sign or a.tag not in ("div", "section", "td", "center") or not a.items or not b.items:
+    if " " in a.sign or a.tag not in ("div", "section", "td", "center") or not (a.items or b.items):
         return True
     left, right = {k.sign for k in a.items}, {k.sign for k in b.items}
     return 3 * len(left & right) >= len(left | right)
@@ -247,7 +247,7 @@ def parsed(page: str) -> tuple[Node, list[tuple[int, str]]]:
         if tag in VOID:
             continue
         sign = _sign(tag, attributes)
-        if (tag in BLOCKS or _kind(sign)) and not attributes.endswith("/") and len(stack) <= DEEP:
+        if (tag in BLOCKS or _kind(sign)) and not attributes.endswith("/") and len(stack) <= (2 * DEEP if _kind(sign) else DEEP):
             stack.append(Node(sign))
     while len(stack) > 1:
         closed()
