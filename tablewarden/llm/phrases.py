@@ -33,8 +33,8 @@ BITS = 27                                  # a bitmap has 2 ** BITS bits (16 MB)
 BUCKETS = 40                               # bits of a bucket number
 WINDOW = 1 << 18                           # codes looked at together
 HELD = 2 << 20                             # phrase keys held before a task emits them; of words and phrases a quarter
-DEAL = 8 << 20                             # words of the table for each part that bucket sums are dealt into
-SALTS = 8
+DEAL = 2 << 20                             # words of the table for each part that bucket sums are dealt into
+SALTS, FINALS = 8, 16                      # tasks that a frequent word is dealt over, and that rank a language's phrases first
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", dtype=np.uint8))
 _SEPARATES = _ENDS | np.isin(np.arange(256), np.frombuffer(b" \t", dtype=np.uint8))
@@ -354,8 +354,30 @@ def _ranges(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts - (ends - counts), counts)
 
 
-def trie_counts(coded: DataFrame, length: int, phrases: DataFrame, shard: int) -> DataFrame:
-    """Occurrences (w1, w2 …, a) of the candidate phrases: one broadcast trie and one pass for each ``shard`` of them."""
+def _whole(trie, length: int):
+    """Adds up the counts of one range of a trie's phrases and gives them with their words."""
+    names = [f"w{k + 1}" for k in range(length)] + ["a"]
+
+    def whole(table):
+        import pyarrow as pa
+
+        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in table[name]])
+        at, n = read("at", np.uint32), read("n", np.int64)
+        low = int(at.min())
+        sums = np.zeros(int(at.max()) - low + 1, dtype=np.int64)
+        np.add.at(sums, at - np.uint32(low), n)
+        some = np.flatnonzero(sums)
+        rows = trie.value["phrases"][some + low]
+        return pa.table([*(pa.array(np.ascontiguousarray(rows[:, j]).view(np.int64)) for j in range(length)), pa.array(sums[some])], names=names)
+
+    return whole
+
+
+def trie_counts(coded: DataFrame, length: int, phrases: DataFrame, shard: int, parts: int) -> DataFrame:
+    """Occurrences (w1, w2 …, a) of the candidate phrases: one broadcast trie and one pass for each ``shard`` of them.
+
+    Tasks emit the counts of their texts as bytes, cut into ``parts`` ranges of the trie's phrases; each range is added up by itself.
+    """
     spark = coded.sparkSession
     names = [f"w{k + 1}" for k in range(length)]
     schema = ", ".join([*(f"{n} bigint" for n in names), "a bigint"])
@@ -366,8 +388,9 @@ def trie_counts(coded: DataFrame, length: int, phrases: DataFrame, shard: int) -
         if not mine.num_rows:
             continue
         trie = spark.sparkContext.broadcast(Trie(np.stack([mine[n].to_numpy().view(np.uint64) for n in names], axis=1)).arrays())
+        wide = -(-mine.num_rows // parts)
 
-        def run(batches, trie=trie):
+        def run(batches, trie=trie, wide=wide):
             import pyarrow as pa
 
             known, sums, held, size = trie.value, None, [], 0
@@ -385,11 +408,12 @@ def trie_counts(coded: DataFrame, length: int, phrases: DataFrame, shard: int) -
                 sums = added(sums)
             if sums is not None:
                 each = sums[known["accepts"]]
-                for lo in range(0, len(each), 100_000):
-                    some = np.flatnonzero(each[lo:lo + 100_000]) + lo
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(known["phrases"][some, j]).view(np.int64)) for j in range(length)), pa.array(each[some])], names=[*names, "a"])
+                at = np.flatnonzero(each).astype(np.uint32)
+                cuts = np.append(0, np.searchsorted(at, np.arange(wide, len(each) + wide, wide))).tolist()
+                rows = [(p, at[a:b].tobytes(), each[at[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32()), *(pa.array([r[j] for r in rows], type=pa.binary()) for j in (1, 2))], names=["part", "at", "n"])
 
-        counted.append(written(coded.mapInArrow(run, schema).groupBy(*names).agg(F.sum("a").alias("a")), f"phrase-counts-{length}"))
+        counted.append(written(coded.mapInArrow(run, "part int, at binary, n binary").groupBy("part").applyInArrow(_whole(trie, length), schema), f"phrase-counts-{length}"))
         trie.destroy()
     return reduce(DataFrame.unionByName, counted) if counted else spark.createDataFrame([], schema)
 
@@ -405,7 +429,7 @@ def frequent_phrases(coded: DataFrame, words: DataFrame, least: int = LEAST, lon
         bits = sc.broadcast(bitmap(shorter, "key"))
         buckets = written(bucket_sums(coded, length, bits, least, parts), f"phrase-buckets-{length}")
         phrases = written(candidates(coded, length, bits, buckets), f"phrase-candidates-{length}")
-        out[length] = trie_counts(coded, length, phrases, shard).where(F.col("a") >= least)
+        out[length] = trie_counts(coded, length, phrases, shard, parts).where(F.col("a") >= least)
         shorter = out[length].mapInArrow(_keys(length), "key bigint")
     return out
 
@@ -472,7 +496,9 @@ def collocations(docs: DataFrame, top: int, text: str = "text", lang: str = "lan
     """The ``top`` phrases of each language: lang, rank, phrase, a (its occurrences), l and r (those of its two parts), n (words of the language), score."""
     coded, words = codes_of(docs, text, lang)
     found = frequent_phrases(coded, words, least, longest, shard)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = scored(words, found, least, covered).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    first = F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(FINALS))).orderBy(*order))
+    some = scored(words, found, least, covered).withColumn("rank", first).where(F.col("rank") <= top)      # so a language's last task reads few rows
+    best = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
