@@ -17,7 +17,7 @@ from tablewarden.functions import pattern_values as V
 from tablewarden.functions import text as X
 from tablewarden.functions.columns import (col, computed_once, count_if, lit_list, one_row, ratio, spread, string_columns,
                                            unpivot)
-from tablewarden.functions.ordered import adjacent_pairs
+from tablewarden.functions.ordered import order_steps
 
 FIELDS = ["pattern_name", "entity_type", "group", "script", "validator", "collision_group", "score",
           "validated_score", "hints", "regex"]
@@ -165,9 +165,7 @@ def nid_rates(df: DataFrame, column: str, order_by: str, as_of: str | None = Non
         .agg(F.expr("percentile(d, array(0.05D, 0.95D), n)").alias("q"))
     unique = r.groupBy("digits").agg(F.count(F.lit(1)).alias("n")).agg(
         ratio(F.count(F.lit(1)), F.sum("n"), None).alias("nid_unique_rate"))
-    steps = adjacent_pairs(r.select("_o", "digits"), [], "_o", "digits").agg(
-        ratio(F.sum(F.coalesce((F.col("_prev") <= F.col("digits")).cast("bigint"), F.lit(0)) + F.col("_copies") - 1),
-              F.sum("_copies") - 1).alias("nid_monotonic_rate"))
+    steps = order_steps(r.select("_o", "digits"), [], "_o", "digits").select(ratio(F.col("ups") + F.col("sames"), F.col("n") - 1).alias("nid_monotonic_rate"))
     base = r.agg(
         F.count(F.lit(1)).alias("nid_checked"), count_if(F.col("valid")).alias("nid_valid"),
         ratio(count_if(F.col("valid")), F.count(F.lit(1))).alias("nid_valid_rate"),

@@ -18,7 +18,7 @@ from tablewarden.functions import text as X
 from tablewarden.functions.columns import (col, count_if, lit_list, null_if_nan, numeric_columns, one_row, ratio, spread,
                                            scalar_columns, string_columns, unpivot)
 from tablewarden.functions.dates import parse_any
-from tablewarden.functions.ordered import adjacent_pairs, average_ranks, exact_quantiles
+from tablewarden.functions.ordered import exact_quantiles, order_steps, ranked_rows
 
 # fixed values
 PII_NAME_HINTS = ["name", "phone", "mobile", "email", "address", "national", "passport", "birth", "gender", "id",
@@ -186,7 +186,7 @@ def numeric(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20,
         count_if(x == F.floor(x)).alias("integers")) \
         .where((F.col("parsed_count") > 0) & (F.col("parsed_count") / F.col("non_null") >= min_parse_rate))
     parsed = long.where("x is not null").join(F.broadcast(stats.select("column")), "column", "left_semi")
-    quant = exact_quantiles(parsed, ["column"], "x", NUMERIC_QUANTILES).drop("n")
+    quant = exact_quantiles(parsed, ["column"], "x", NUMERIC_QUANTILES, few_groups=True).drop("n")
     base = stats.join(quant, "column")                       # one row per column on both sides
     lo_f = F.col("quantiles")[2] - 1.5 * (F.col("quantiles")[4] - F.col("quantiles")[2])
     hi_f = F.col("quantiles")[4] + 1.5 * (F.col("quantiles")[4] - F.col("quantiles")[2])
@@ -232,9 +232,7 @@ def temporal(df: DataFrame, order_by: str, columns: Sequence[str] | None = None,
     parsed = long.where("t is not null").join(F.broadcast(stats.select("column")), "column", "left_semi")
     years = parsed.groupBy("column", F.year("t").alias("y")).agg(F.count(F.lit(1)).alias("n")).groupBy("column") \
         .agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("by_year"))
-    steps = adjacent_pairs(parsed, ["column"], "_order", "t").groupBy("column").agg(
-        F.sum(F.coalesce((F.col("t") >= F.col("_prev")).cast("bigint"), F.lit(0)) + F.col("_copies") - 1).alias("up"),
-        (F.sum("_copies") - 1).alias("steps"))
+    steps = order_steps(parsed, ["column"], "_order", "t").select("column", (F.col("ups") + F.col("sames")).alias("up"), (F.col("n") - 1).alias("steps"))
     grain = F.when((F.col("sec") > 0) | (F.col("micros") > 0), "second").when(F.col("hm") > 0, "minute").otherwise("day")
     return stats.join(years, "column").join(steps, "column").select(
         "column", "min", "max", F.floor((F.unix_seconds("max") - F.unix_seconds("min")) / 86400).alias("range_days"),
@@ -470,11 +468,7 @@ def corr(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None =
     names = list(columns or numeric_columns(df))
     work = df.select(*[col(c).cast("double").alias(c) for c in names])
     if method == "spearman":
-        ranks = average_ranks(unpivot(work, names).select("column", F.col("value").cast("double").alias("x")), ["column"], "x")
-        for c in names:
-            r = ranks.where(F.col("column") == c).select(F.col("x").alias(c), F.col("rank").alias(f"_r_{c}"))
-            work = work.join(r, c, "left")       # one row per distinct value on the right; a hot value is split by AQE
-        work = work.select(*[F.col(f"_r_{c}").alias(c) for c in names])
+        work = ranked_rows(work, names)
     def pair(a: str, b: str) -> Column:
         x, y = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))     # rows where both are known
         return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions import checks as C
 from tablewarden.functions import crypto as K
-from tablewarden.functions.ordered import exact_quantiles, running_count
+from tablewarden.functions.ordered import exact_quantiles, order_steps, ranked_rows
 from tablewarden.functions.spans import find_spans
 
 
@@ -23,12 +23,73 @@ def test_quantiles_match_numpy(spark):
     assert got == pytest.approx(list(np.quantile(x, [0.0, 0.05, 0.5, 0.9, 1.0])))
 
 
-def test_running_count(spark):
-    df = spark.createDataFrame([("a", i, i % 4 + 1) for i in range(50)] + [("b", i, 1) for i in range(9)], "g string, v int, n int")
-    rows = {(r["g"], r["v"]): (r["_before"], r["_total"]) for r in running_count(df, ["g"], "v", "n").collect()}
-    total = sum(i % 4 + 1 for i in range(50))
-    assert all(rows[("a", i)] == (sum(j % 4 + 1 for j in range(i)), total) for i in range(50))
-    assert rows[("b", 8)] == (8, 9)
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_grouped_quantiles_with_a_coarse_sketch(spark, method):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g, n in (("a", 30_000), (None, 7), ("b", 1)) for v in np.where(rng.random(n) < 0.3, 4.0, rng.normal(size=n) * 1e6)] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    probs = [0.0, 0.001, 0.25, 0.25, 0.5, 0.999, 1.0]
+    for accuracy in (100, 10_000):
+        got = {r["g"]: (r["quantiles"], r["n"]) for r in exact_quantiles(df, ["g"], "x", probs, method, accuracy).collect()}
+        assert set(got) == {"a", None, "b"}
+        for g, (q, n) in got.items():
+            x = np.sort([v for k, v in rows if k == g and v is not None])
+            want = np.quantile(x, probs) if method == "linear" else [x[max(int(np.ceil(len(x) * p)) - 1, 0)] for p in probs]
+            assert n == len(x) and q == pytest.approx(list(want), rel=1e-12)
+
+
+def test_quantiles_of_odd_columns(spark):
+    big = spark.range(1000).select((F.col("id") + F.lit(2 ** 60)).alias("x"))
+    assert exact_quantiles(big, [], "x", [0.5], "nearest").first()["quantiles"] == [float(2 ** 60 + 499)]
+    ends = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (1.0,)], "x double")
+    q = exact_quantiles(ends, [], "x", [0.0, 0.5, 0.75, 1.0], "nearest").first()["quantiles"]
+    assert q[:3] == [float("-inf"), 1.0, float("inf")] and np.isnan(q[3])
+    assert exact_quantiles(big.limit(0), [], "x", [0.5]).first()["n"] is None
+
+
+def test_no_job_before_the_result_is_read(spark):
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("x"))
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        exact_quantiles(df, [], "x", [0.5]), order_steps(df, [], "id", "x"), ranked_rows(df, ["id", "x"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "boolean", "decimal(9,2)"])
+def test_order_steps(spark, kind):
+    rng = np.random.default_rng(8)
+    values = {"string": lambda v: f"é{v}", "double": float, "date": lambda v: __import__("datetime").date(2020, 1, 1 + v), "boolean": lambda v: v > 3, "decimal(9,2)": lambda v: __import__("decimal").Decimal(v)}
+    rows = [(g, int(o) if o else None, None if v == 7 else values[kind](int(v))) for g, o, v in zip(rng.choice(["a", "b", None], 900, p=[.7, .2, .1]), rng.integers(0, 60, 900) * (rng.random(900) > .3), rng.integers(0, 8, 900))]
+    df = spark.createDataFrame(rows, f"g string, o long, v {kind}").repartition(9)
+    for groups in ([], ["g"]):
+        got = {r["g"] if groups else 0: tuple(r)[-4:] for r in order_steps(df, groups, "o", "v").collect()}
+        want = {}
+        for key in ({r[0] for r in rows} if groups else {0}):
+            mine = [v for _, v in sorted((((r[1] is not None, r[1] or 0), r[2]) for r in rows if r[2] is not None and (not groups or r[0] == key)))]
+            pairs = list(zip(mine, mine[1:]))
+            want[key] = (len(mine), sum(a < b for a, b in pairs), sum(a > b for a, b in pairs), sum(a == b for a, b in pairs))
+        assert got == want
+    assert order_steps(df.limit(0), ["g"], "o", "v").count() == 0
+
+
+def test_ranked_rows(spark):
+    rng = np.random.default_rng(9)
+    cols = [rng.integers(0, 5, 400).astype(float), rng.normal(size=400), np.where(rng.random(400) < .5, 0.0, rng.integers(-3, 3, 400)), np.full(400, 2.0)]
+    rows = [tuple(None if i % 17 == k else float(c[i]) for k, c in enumerate(cols)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")          # runs of one value cross borders
+    try:
+        got = sorted(tuple(-1 if x is None else x for x in r) for r in ranked_rows(df, ["a", "b", "c", "d"]).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    def ranks(k):
+        known = [r[k] for r in rows if r[k] is not None]
+        return [-1 if r[k] is None else sum(x < r[k] for x in known) + (sum(x == r[k] for x in known) + 1) / 2 for r in rows]
+    assert got == sorted(zip(*(ranks(k) for k in range(4))))
+    assert ranked_rows(df.limit(0), ["a", "b"]).count() == 0
 
 
 def test_spans_match_python(spark):

@@ -78,6 +78,54 @@ def test_suite_is_one_job(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+WIDE = SUITE + [R.rule("column_values_to_be_unique", "id"), R.rule("column_unique_value_count_to_be_between", "country", min_value=2, max_value=2), R.rule("compound_columns_to_be_unique", column_list=["country", "qty"]),
+                R.rule("column_proportion_of_unique_values_to_be_between", "code", min_value=0.5), R.rule("table_columns_to_match_set", column_set=["id", "country", "qty", "price", "total", "code"])]
+
+
+def jobs_of(spark, group, run):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.sparkContext.setJobGroup(group, group)
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_fourteen_rules_with_distinct_values_are_one_job(spark):
+    assert len(WIDE) == 14
+    df = orders(spark)
+    assert jobs_of(spark, "wide", lambda: R.validate(df, WIDE).collect()) == 1
+    failed = [r["rule_id"] for r in R.validate(df, WIDE).collect() if not r["success"]]
+
+    def with_samples():
+        R.validate(df, WIDE).collect()
+        R.samples(df, WIDE, failed).collect()
+    assert jobs_of(spark, "samples", with_samples) == 2
+
+
+def test_distinct_rules_share_one_scan_and_one_shuffle(spark, tmp_path):
+    orders(spark).write.parquet(str(tmp_path / "o"))
+    df = spark.read.parquet(str(tmp_path / "o"))
+    rules = [R.rule("column_values_to_be_unique", c) for c in ("id", "code", "qty", "price")] + [R.rule("compound_columns_to_be_unique", column_list=["id", "code"])]
+    plan = R.validate(df, rules)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1
+    executed = jobs_of(spark, "distinct", lambda: R.validate(df, rules).collect())
+    assert executed == 1
+
+
+def test_distinct_counts_of_odd_keys(spark):
+    df = spark.createDataFrame([("a", None, 0.0, 1), ("a", None, -0.0, 2), (None, "a", float("nan"), 3), (None, None, float("nan"), 4), ("a", "a", 1.0, 4)], "x string, y string, z double, p int")
+    rules = [R.rule("compound_columns_to_be_unique", column_list=["x", "y"]), R.rule("column_values_to_be_unique", "z"), R.rule("column_unique_value_count_to_be_between", "x", max_value=1)]
+    got = [(r["element_count"], r["unexpected_count"], r["observed_value"]) for r in R.validate(df, rules).collect()]
+    assert got == [(4, 1, None), (5, 2, None), (None, None, 1.0)]
+    by = {(r["p"], r["expectation"]): r for r in R.validate_by(df, ["p"], rules).collect()}
+    assert len(by) == 12 and by[3, "column_unique_value_count_to_be_between"]["observed_value"] == 0.0 and by[4, "compound_columns_to_be_unique"]["element_count"] == 1
+    empty = R.validate(df.limit(0), rules).collect()
+    assert [r["success"] for r in empty] == [True, True, True]
+
+
 def test_isolation_of_a_rule_that_fails_at_run_time(spark):
     @R.register("explode_at_run_time")
     def _boom(df, r):
