@@ -212,39 +212,59 @@ def bucket_sums(coded: DataFrame, length: int, shorter, least: int, parts: int)
     return coded.mapInArrow(run, "part int, buckets binary, counts binary").groupBy("part").applyInArrow(added, "bucket bigint")
 
 
-def candidates(coded: DataFrame, length: int, shorter, buckets: DataFrame) -> DataFrame:
-    """The different phrases w1, w2 … (codes) with frequent parts that fall into one of the buckets."""
+def _different(rows: np.ndarray) -> np.ndarray:
+    """The different rows of a matrix."""
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[fresh]
+
+
+def candidates(coded: DataFrame, length: int, shorter, buckets: DataFrame, parts: int) -> DataFrame:
+    """The different phrases w1, w2 … (codes) with frequent parts that fall into one of the buckets.
+
+    Tasks emit their different phrases as bytes, cut into ``parts`` (a power of two) ranges of the bucket number, and each range is made different by itself.
+    """
     spark = coded.sparkSession
     bits = spark.sparkContext.broadcast(bitmap(buckets, "bucket"))
-    names = [f"w{k + 1}" for k in range(length)]
+    names = ["bucket", *(f"w{k + 1}" for k in range(length))]
+    shift = np.uint64(BUCKETS - (parts.bit_length() - 1))
 
     def run(batches):
         import pyarrow as pa
 
         def emitted(held):
-            keys = np.concatenate([h[0] for h in held])
-            rows = np.concatenate([h[1] for h in held])
-            unique, first = np.unique(keys, return_index=True)
-            for lo in range(0, len(unique), 100_000):
-                part = rows[first[lo:lo + 100_000]]
-                yield pa.RecordBatch.from_arrays([pa.array((unique[lo:lo + 100_000] >> np.uint64(64 - BUCKETS)).view(np.int64)),
-                                                  *(pa.array(np.ascontiguousarray(part[:, k]).view(np.int64)) for k in range(length))], names=["bucket", *names])
+            rows = _different(np.concatenate(held))
+            part = (rows[:, 0] >> shift).astype(np.int64)                 # rows are sorted by bucket
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(starts[1:], len(rows))
+            return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(starts, ends)], type=pa.binary())], names=["part", "rows"])
 
         held, size = [], 0
         for codes in _windows(batches, length):
             at, keys = _alive(codes, length, shorter.value)
-            kept = _has(bits.value, keys >> np.uint64(64 - BUCKETS))
-            at, keys = at[kept], keys[kept]
-            keys, first = np.unique(keys, return_index=True)
-            held.append((keys, np.stack([codes[at[first] + k] for k in range(length)], axis=1)))
-            size += len(keys)
+            bucket = keys >> np.uint64(64 - BUCKETS)
+            kept = _has(bits.value, bucket)
+            at = at[kept]
+            held.append(_different(np.stack([bucket[kept], *(codes[at + k] for k in range(length))], axis=1)))
+            size += len(held[-1])
             if size > HELD // 4:
-                yield from emitted(held)
-                held, size = [], 0
-        if held:
-            yield from emitted(held)
+                held = [_different(np.concatenate(held))]
+                size = len(held[0])
+                if size > HELD // 8:
+                    yield emitted(held)
+                    held, size = [], 0
+        if size:
+            yield emitted(held)
+
+    def whole(table):
+        import pyarrow as pa
+
+        rows = _different(np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64).reshape(-1, length + 1) for x in table["rows"]]))
+        return pa.table([pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(length + 1)], names=names)
 
-    seen = coded.mapInArrow(run, ", ".join(["bucket bigint", *(f"{n} bigint" for n in names)])).distinct()
+    seen = coded.mapInArrow(run, "part int, rows binary").groupBy("part").applyInArrow(whole, ", ".join(f"{n} bigint" for n in names))
     return seen.join(buckets, "bucket", "left_semi").drop("bucket")
 
 
@@ -428,7 +448,7 @@ def frequent_phrases(coded: DataFrame, words: DataFrame, least: int = LEAST, lon
     for length in range(2, longest + 1):
         bits = sc.broadcast(bitmap(shorter, "key"))
         buckets = written(bucket_sums(coded, length, bits, least, parts), f"phrase-buckets-{length}")
-        phrases = written(candidates(coded, length, bits, buckets), f"phrase-candidates-{length}")
+        phrases = written(candidates(coded, length, bits, buckets, parts), f"phrase-candidates-{length}")
         out[length] = trie_counts(coded, length, phrases, shard, parts).where(F.col("a") >= least)
         shorter = out[length].mapInArrow(_keys(length), "key bigint")
     return out
