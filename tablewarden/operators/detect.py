@@ -6,6 +6,7 @@ one row per (column, pattern) or per column, and all later steps are joins and e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -66,63 +67,111 @@ def column_shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         F.coalesce(F.avg(v.rlike(X.ARABIC_RANGE).cast("int")), F.lit(0.0)).alias("arabic_share"))
 
 
+def longest_digits(text: Column) -> Column:
+    """Length of the longest run of digits: one pass that stands for the digit conditions of all patterns."""
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\p{Nd}+"), F.lit(0)), F.length)), F.lit(0))
+
+
+def anchored(regex: str) -> bool:
+    """Whether an expression begins with ``^`` for all of it: no alternative stands outside brackets."""
+    if not re.match(r"(?:\(\?[A-Za-z]+\))*\^", regex):
+        return False
+    bare = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "", regex, flags=re.S)
+    depth = 0
+    for c in bare:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            return False
+    return True
+
+
+def all_matches(text: Column, patterns: Sequence[tuple[int, str]]) -> Column:
+    """The numbers of all patterns that match somewhere in a short text, as one compiled expression.
+
+    At the start of the text every pattern is an optional look-ahead; where it holds, the text's first character lands in the pattern's own group.  The
+    whole text is replaced by these groups, one place for each pattern, and the places that are filled name the matches.
+    """
+    mark = "\x02"
+
+    def seen(i: int, regex: str) -> str:
+        ahead = regex if anchored(regex) else rf"[\s\S]*?(?:{regex})"
+        return rf"(?:(?={ahead})(?=(?<g{i}>[\s\S])))?"
+    whole = r"\A" + "".join(seen(i, r) for i, r in patterns) + r"[\s\S]+"
+    places = F.split(F.regexp_replace(F.translate(text, mark, " "), F.lit(whole), F.lit(mark.join(f"${{g{i}}}" for i, _ in patterns))), mark, -1)
+    numbers = F.array(*[F.lit(i) for i, _ in patterns])
+    return F.when(text != "", F.filter(F.zip_with(numbers, places, lambda i, x: F.when(x != "", i)), lambda i: i.isNotNull()))
+
+
+def _short_matches(cells: DataFrame, picked: Sequence[tuple[int, dict[str, Any]]]) -> Column:
+    """Numbers of the structured patterns of a cell: by its raw text, or by its canonical phone forms."""
+    found = all_matches(F.col("value"), [(i, java_regex(p)) for i, p in picked])
+    phones = [(i, java_regex(p)) for i, p in picked if p["entity_type"] == "PHONE_NUMBER"]
+    if phones:
+        national = F.concat(F.lit("0"), F.substring("canon", 4, 10))
+        found = F.when(F.col("canon").isNull(), found).otherwise(F.array_union(found, F.array_union(all_matches(F.col("canon"), phones), all_matches(national, phones))))
+    arabic = [i for i, p in picked if p["script"] == "arabic"]
+    return F.filter(found, lambda i: F.col("arabic") | ~i.isin(arabic)) if arabic else found
+
+
+def _matched(cells: DataFrame, picked: Sequence[tuple[int, dict[str, Any]]], group: str) -> DataFrame:
+    """(column, total, i, n, valid): the patterns each cell matches; a cell stands for ``n`` equal ones."""
+    v, codes = F.col("value"), []
+    if group == "structured":
+        numbers = _short_matches(cells, picked)
+    else:
+        for i, p in picked:
+            digits = V.NEEDS_DIGITS.get(p["pattern_name"])
+            possible = F.col("digits") >= digits if digits and p["pattern_name"] not in V.NEEDS_ANY else may_match(p, v, F.col("lowered"))
+            if p["script"] == "arabic":
+                possible = F.col("arabic") & possible
+            codes.append(F.when(possible & v.rlike(java_regex(p)), F.lit(i)))
+        numbers = F.array_compact(F.array(*codes))
+    hits = cells.select("column", "total", "n", v, F.explode(numbers).alias("i"))
+    # only matches meet a validator, and each kind of it stands once in the plan, whatever number of patterns asks for it
+    i, valid = F.col("i"), F.lit(True)
+    kinds: dict[str, list[tuple[int, dict[str, Any]]]] = {}
+    for k, p in picked:
+        if p["validator"]:
+            kinds.setdefault(p["validator"], []).append((k, p))
+    for kind, members in kinds.items():
+        check_ = C.VALIDATORS[kind]
+        if group == "structured":
+            valid = F.when(i.isin([k for k, _ in members]), check_(v)).otherwise(valid)
+        else:      # inside text every match is validated, and one valid match is enough
+            for k, p in members:
+                valid = F.when(i == k, F.exists(F.regexp_extract_all(v, F.lit(java_regex(p)), F.lit(0)), check_)).otherwise(valid)
+    return hits.select("column", "total", "i", "n", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
 def regex_rates(df: DataFrame, columns: Sequence[str] | None = None, patterns: Sequence[dict[str, Any]] | None = None) -> DataFrame:
-    """(column, pattern, matches, rate, score): all patterns of all columns in one pass over the table.
+    """(column, pattern, matches, rate, score): all patterns of all columns.
 
-    A first narrow pass reads one row per column on the driver to choose the pattern group of each column.
-    A cell matches by its raw text or its canonical phone forms; a validator keeps or drops the match.  Each cell
-    yields only the numbers of the patterns it matched, and those are counted before the shuffle.
+    Which pattern group a column gets follows from its mean length and script; that is one small row per column inside the plan, so building runs
+    no job.  Short columns are looked at once per different value.  A cell matches by its raw text or its canonical phone forms; a validator
+    keeps or drops the match.  Each cell yields only the numbers of the patterns it matched, and those are counted before the shuffle.
     """
     names = list(columns or string_columns(df))
-    shape = {s["column"]: s for s in column_shape(df, names).collect()}
+    shape = column_shape(df, names).select("column", F.col("n").alias("total"), (F.col("mean_length") < STRUCTURED_LIMIT).alias("short"), (F.col("arabic_share") >= ARABIC_LIMIT).alias("arabic"))
     chosen = list(patterns or catalog())
-    arabic = [c for c, s in shape.items() if s["arabic_share"] >= ARABIC_LIMIT]
+    picked = {g: [(i, p) for i, p in enumerate(chosen) if p["group"] == g] for g in ("structured", "free_text")}
+    # the shape has one row per column
+    long = unpivot(df, names).where("value is not null").where(~F.upper("value").isin("NONE", "NAN", "N/A", "")).join(F.broadcast(shape), "column")
     found = []
-    for group in ("structured", "free_text"):
-        cols = [c for c, s in shape.items() if (s["mean_length"] < STRUCTURED_LIMIT) == (group == "structured")]
-        picked = [(i, p) for i, p in enumerate(chosen) if p["group"] == group and (p["script"] != "arabic" or arabic)]
-        if not cols or not picked:
-            continue
-        long = unpivot(df, cols).where("value is not null").where(~F.upper("value").isin("NONE", "NAN", "N/A", ""))
-        canon = C.msisdn_egypt(F.col("value")) if group == "structured" else F.lit(None).cast("string")
-        long = spread(long)
-        cells = computed_once(long, canon=canon, lowered=F.lower("value") if group == "free_text" else F.lit(None).cast("string"),
-                              numberish=F.col("value").rlike(r"^\s?[+\-]?\s?\p{Nd}"))
-        codes = []
-        for i, p in picked:
-            v, regex = F.col("value"), java_regex(p)
-            hit = v.rlike(regex)
-            if group == "free_text":
-                hit = may_match(p, v, F.col("lowered")) & hit
-            elif p["script"] == "numeric":
-                hit = F.col("numberish") & hit
-            if p["script"] == "arabic":
-                hit = F.col("column").isin(arabic) & hit
-            if p["entity_type"] == "PHONE_NUMBER" and group == "structured":
-                national = F.concat(F.lit("0"), F.substring("canon", 4, 10))
-                hit = hit | (F.col("canon").isNotNull() & (F.col("canon").rlike(regex) | national.rlike(regex)))
-            code = F.lit(2 * i + 1)
-            if p["validator"]:
-                validator = C.VALIDATORS[p["validator"]]
-                # inside text every match is validated, and one valid match is enough
-                ok = validator(v) if group == "structured" else F.exists(F.regexp_extract_all(v, F.lit(regex), F.lit(0)), validator)
-                code = F.when(ok, 2 * i + 1).otherwise(2 * i)
-            codes.append(F.when(hit, code))
-        found.append(cells.select("column", F.explode(F.array_compact(F.array(*codes))).alias("code")))
-    counted = "column string, code int"
-    hits = found[0] if found else df.sparkSession.createDataFrame([], counted)
+    if picked["structured"]:
+        counted = long.where("short").groupBy("column", "total", "arabic", "value").agg(F.count(F.lit(1)).alias("n"))
+        found.append(_matched(computed_once(spread(counted), canon=C.msisdn_egypt(F.col("value"))), picked["structured"], "structured"))
+    if picked["free_text"]:
+        texts = spread(long.where("not short")).withColumn("n", F.lit(1).cast("bigint"))
+        found.append(_matched(computed_once(texts, lowered=F.lower("value"), digits=longest_digits(F.col("value"))), picked["free_text"], "free_text"))
+    hits = found[0] if found else df.sparkSession.createDataFrame([], "column string, total bigint, i int, n bigint, valid boolean")
     for more in found[1:]:
         hits = hits.unionByName(more)
-    sums = hits.groupBy("column", F.floor(F.col("code") / 2).cast("int").alias("i")).agg(
-        F.count(F.lit(1)).alias("regex_matches"), F.count_if(F.col("code") % 2 == 1).alias("matches"))
+    sums = hits.groupBy("column", "total", "i").agg(F.sum("n").alias("regex_matches"), F.coalesce(F.sum(F.when(F.col("valid"), F.col("n"))), F.lit(0)).alias("matches"))
     rows = [(i, p["pattern_name"], p["entity_type"], p["collision_group"], p["validator"],
              float(p["validated_score"] or p["score"]) if p["validator"] else float(p["score"])) for i, p in enumerate(chosen)]
     meta = df.sparkSession.createDataFrame(rows, "i int, pattern_name string, entity_type string, collision_group string, validator string, score double")
-    total = F.lit(0)
-    for c, s in shape.items():
-        total = F.when(F.col("column") == c, int(s["n"])).otherwise(total)
     # the pattern table has as many rows as the catalogue
-    return sums.join(F.broadcast(meta), "i").withColumn("total", total.cast("bigint")).where("matches > 0").select(
+    return sums.join(F.broadcast(meta), "i").where("matches > 0").select(
         "column", "pattern_name", "entity_type", "collision_group", "validator", "regex_matches", "matches", "total", "score",
         F.round(ratio(F.col("matches"), F.col("total")), 4).alias("match_rate"))
 

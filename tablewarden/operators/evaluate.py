@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tablewarden.functions.spans import overlaps
+from tablewarden.functions.spans import interval_join, overlaps
 from tablewarden.operators.text import islands, normalize_value
 from tablewarden.session import ensure_checkpoint_dir
 
@@ -38,10 +38,9 @@ def _p(pred: DataFrame, *keys: str) -> DataFrame:
 
 
 def overlap_pairs(gold: DataFrame, pred: DataFrame, same_type: bool = True) -> DataFrame:
-    """Overlapping (gold, predicted) pairs: a hash join on the document with the interval test on top."""
+    """Overlapping (gold, predicted) pairs: spans meet in the stretches of their document that both touch."""
     keys = ["entity_type"] if same_type else []
-    joined = _g(gold, *keys).join(_p(pred, *keys), ["doc_id", *keys])
-    near = joined.where(overlaps(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")))
+    near = interval_join(_g(gold, *keys), _p(pred, *keys), ["doc_id", *keys], "gs", "ge", "ps", "pe")
     return near.withColumn("iou", iou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")))
 
 
@@ -81,8 +80,7 @@ def match(gold: DataFrame, pred: DataFrame, tier: str = "exact", threshold: floa
     # value: same offsets first, then the best overlap among equal values, then equal values anywhere in order
     first = _equal_rank(gold, pred, ["entity_type", "value", "start", "end"])
     g1, p1 = gold.join(first, ["doc_id", "gid"], "left_anti"), pred.join(first, ["doc_id", "pid"], "left_anti")
-    pairs = _g(g1, "entity_type", "value").join(_p(p1, "entity_type", "value"), ["doc_id", "entity_type", "value"]) \
-        .where(overlaps(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")))
+    pairs = interval_join(_g(g1, "entity_type", "value"), _p(p1, "entity_type", "value"), ["doc_id", "entity_type", "value"], "gs", "ge", "ps", "pe")
     second = _greedy(pairs.withColumn("rank_key", F.struct((-iou(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe"))).alias("i"))))
     g2, p2 = g1.join(second, ["doc_id", "gid"], "left_anti"), p1.join(second, ["doc_id", "pid"], "left_anti")
     return first.unionByName(second).unionByName(_equal_rank(g2, p2, ["entity_type", "value"]))
@@ -106,9 +104,9 @@ def outcomes(gold: DataFrame, pred: DataFrame, matches: DataFrame, strict: bool
     missed = judged.join(matches, ["doc_id", "gid"], "left_anti").select("doc_id", "entity_type", F.lit("fn").alias("kind"))
     extra = pred.join(matches, ["doc_id", "pid"], "left_anti")
     soft = gold.where("grade = 'advisory'").select("doc_id", F.col("start").alias("as"), F.col("end").alias("ae"))
-    near = (extra["doc_id"] == soft["doc_id"]) & overlaps(extra["start"], extra["end"], F.col("as"), F.col("ae"))
-    fp = extra.join(soft, near, "left_anti").select("doc_id", "entity_type", F.lit("fp").alias("kind"))
-    adv = extra.join(soft, near, "left_semi").select("doc_id", "entity_type", F.lit("advisory").alias("kind"))
+    near = interval_join(extra.select("doc_id", "start", "end").distinct(), soft, ["doc_id"], "start", "end", "as", "ae").select("doc_id", "start", "end").distinct()
+    fp = extra.join(near, ["doc_id", "start", "end"], "left_anti").select("doc_id", "entity_type", F.lit("fp").alias("kind"))
+    adv = extra.join(near, ["doc_id", "start", "end"], "left_semi").select("doc_id", "entity_type", F.lit("advisory").alias("kind"))
     return hit.unionByName(missed).unionByName(fp).unionByName(adv)
 
 
@@ -148,9 +146,11 @@ def classify(gold: DataFrame, pred: DataFrame, forbidden: DataFrame | None = Non
     guards = None
     if forbidden is not None:
         f = forbidden.select("doc_id", F.col("start").alias("fs"), F.col("end").alias("fe"), F.col("entity_type").alias("ft"))
-        touch = (pred["doc_id"] == f["doc_id"]) & overlaps(pred["start"], pred["end"], F.col("fs"), F.col("fe")) & (F.col("ft").isNull() | (F.col("ft") == pred["entity_type"]))
-        guards = pred.join(f, touch, "left_semi").select("doc_id", F.lit(None).cast("bigint").alias("gid"), F.col("pid").cast("bigint"), F.lit("guard_violation").alias("class"))
-        p = pred.join(f, touch, "left_anti")
+        touch = interval_join(pred.select("doc_id", "start", "end", "entity_type").distinct(), f, ["doc_id"], "start", "end", "fs", "fe") \
+            .where(F.col("ft").isNull() | (F.col("ft") == F.col("entity_type"))).select("doc_id", "start", "end", "entity_type").distinct()
+        keys = touch.columns
+        guards = pred.join(touch, keys, "left_semi").select("doc_id", F.lit(None).cast("bigint").alias("gid"), F.col("pid").cast("bigint"), F.lit("guard_violation").alias("class"))
+        p = pred.join(touch, keys, "left_anti")
     values = gold.select("doc_id", "gid", F.col("value").alias("gv")), p.select("doc_id", "pid", F.col("value").alias("pv"))
     pairs = overlap_pairs(gold, p, same_type=False).join(values[0], ["doc_id", "gid"]).join(values[1], ["doc_id", "pid"]).repartition("doc_id")
     gs, ge, ps, pe = (F.col(c) for c in ("gs", "ge", "ps", "pe"))

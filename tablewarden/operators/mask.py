@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions import crypto as K
 from tablewarden.functions.columns import col, count_if, let, lit_list, ratio
+from tablewarden.functions.spans import spliced
 from tablewarden.functions.text import ARABIC_RANGE, safe_shape
 from tablewarden.operators.detect import canonical_entity, sensitivity
 
@@ -436,7 +437,7 @@ def rule_for(found: DataFrame, overrides: DataFrame, default: str | None = "reda
 
 
 def deid_text(docs: DataFrame, spans: DataFrame, policy: dict[str, MaskRule], master: bytes, default: MaskRule | None = None) -> DataFrame:
-    """Replace non-overlapping spans by the rule of their entity; one fold per document splices the text."""
+    """Replace non-overlapping spans by the rule of their entity; one splice per document."""
     entity = F.col("entity_type")
     fallback = default or MaskRule("*", "redact")
 
@@ -450,10 +451,7 @@ def deid_text(docs: DataFrame, spans: DataFrame, policy: dict[str, MaskRule], ma
     edits = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", new.alias("new")))).alias("edits"))
     joined = docs.join(edits, "doc_id", "left")
 
-    def step(acc: Column, e: Column) -> Column:
-        return F.struct(F.concat(acc["out"], F.substr("text", acc["pos"] + 1, e["start"] - acc["pos"]), e["new"]).alias("out"), e["end"].alias("pos"))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    done = F.aggregate("edits", zero, step, lambda a: F.concat(a["out"], F.substr("text", a["pos"] + 1)))
+    done = spliced(F.col("text"), F.col("edits"))
     return joined.select("doc_id", F.when(F.col("edits").isNull(), F.col("text")).otherwise(done).alias("text"),
                          F.coalesce(F.size("edits"), F.lit(0)).alias("replaced"))
 

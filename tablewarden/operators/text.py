@@ -19,7 +19,7 @@ from tablewarden.functions import checks as C
 from tablewarden.functions import text as X
 from tablewarden.functions import text_values as V
 from tablewarden.functions.columns import computed_once, lit_map, ratio, spread
-from tablewarden.functions.spans import SPANS, context, count_matches, find_spans, overlaps, parts
+from tablewarden.functions.spans import SPANS, context, count_matches, find_spans, interval_join, overlaps, parts
 from tablewarden.operators.detect import canonical_entity, catalog, java_regex, may_match
 
 CONTEXT = 120
@@ -315,8 +315,7 @@ def extend_context(spans: DataFrame, docs: DataFrame, triggers: dict[str, Sequen
         found.append(_tagged(find_spans(F.col("text"), rf"(?iU)(?<!\w)(?:{alternatives})(?!\w)[^.\n،؛!?؟;]+"), entity, 0.7, "preprocess", "context_clause"))
     clauses = _explode(docs, found)
     keyed = clauses.select("doc_id", F.col("entity_type"), F.col("start").alias("cs"), F.col("end").alias("ce"))
-    # both sides are spans of one document and clauses of an entity do not overlap each other
-    hit = spans.join(keyed, ["doc_id", "entity_type"]).where(overlaps(F.col("start"), F.col("end"), F.col("cs"), F.col("ce")))
+    hit = interval_join(spans, keyed, ["doc_id", "entity_type"], "start", "end", "cs", "ce")
     grown = hit.groupBy("doc_id", "entity_type", "cs", "ce").agg(F.max("score").alias("hit_score"), F.max("validator").alias("hit_validator"))
     wide = clauses.join(grown, (clauses.doc_id == grown.doc_id) & (clauses.entity_type == grown.entity_type) & (clauses.start == grown.cs) & (clauses.end == grown.ce), "left") \
         .select(*[clauses[c] for c in SPAN_COLUMNS], "hit_score", "hit_validator") \
@@ -337,7 +336,7 @@ def number_policy(spans: DataFrame, units: Sequence[str], cues: dict[str, Sequen
     kept = kept.withColumn("entity_type", label)
     places = kept.where("entity_type = 'LOCATION'").select("doc_id", F.col("start").alias("ls"), F.col("end").alias("le"))
     short = (F.length(digits).between(1, 4)) & F.col("entity_type").isin("PHONE_NUMBER", "EG_NATIONAL_ID", "CREDIT_CARD", "OTP", "AGE")
-    house = kept.where(short).join(places, "doc_id").where("start >= ls and end <= le").select("doc_id", "entity_type", "start", "end").distinct()
+    house = interval_join(kept.where(short), places, ["doc_id"], "start", "end", "ls", "le").where("start >= ls and end <= le").select("doc_id", "entity_type", "start", "end").distinct()
     return kept.join(house, ["doc_id", "entity_type", "start", "end"], "left_anti").select(*SPAN_COLUMNS)
 
 
@@ -354,11 +353,10 @@ def arbitrate(spans: DataFrame, reviews: DataFrame, mode: str = "balanced", docs
     det = spans.withColumn("_id", F.xxhash64("doc_id", "start", "end", "entity_type", "engine", "recognizer"))
     rev = reviews.select("doc_id", F.col("start").alias("rs"), F.col("end").alias("re"), F.col("entity_type").alias("rt"),
                          F.col("score").alias("rscore"), "verdict")
-    over = overlaps(F.col("start"), F.col("end"), F.col("rs"), F.col("re"))
     strong = F.col("rscore") >= REVIEW_MIN
     veto = {"independent": F.lit(False), "strict": strong & (F.col("score") < DETECTOR_MIN), "balanced": strong, "lenient": F.lit(True)}[mode]
     same = (F.col("rt") == F.col("entity_type")) & (F.col("rs") == F.col("start")) & (F.col("re") == F.col("end"))
-    pairs = det.join(rev, "doc_id").where(over).groupBy("_id").agg(
+    pairs = interval_join(det, rev, ["doc_id"], "start", "end", "rs", "re").groupBy("_id").agg(
         F.max(F.when(F.col("verdict") == "NOT_PII", veto)).alias("vetoed"),
         F.max(F.when(F.col("verdict") != "NOT_PII", F.struct(same.alias("same"), (F.col("rt") == F.col("entity_type")).alias("type"),
                                                              F.col("rscore").alias("s"), F.col("rt").alias("t"), F.col("rs").alias("a"), F.col("re").alias("b")))).alias("r"))
@@ -395,8 +393,9 @@ def arbitrate(spans: DataFrame, reviews: DataFrame, mode: str = "balanced", docs
         F.when(F.coalesce(r["same"], F.lit(False)), F.least(F.lit(1.0), F.col("score") + bump)).otherwise(F.col("score")).alias("score"),
         "engine", "recognizer", "validator", "is_proposal", *said,
         agreement.alias("agreement"), rule.alias("rule"), (~gone).alias("kept"))
-    lone = rev.where("verdict <> 'NOT_PII'").join(
-        det.select("doc_id", "start", "end"), (rev.doc_id == det.doc_id) & over, "left_anti")
+    positive = rev.where("verdict <> 'NOT_PII'")
+    met = interval_join(positive.select("doc_id", "rs", "re").distinct(), det.select("doc_id", "start", "end").distinct(), ["doc_id"], "rs", "re", "start", "end")
+    lone = positive.join(met.select("doc_id", "rs", "re").distinct(), ["doc_id", "rs", "re"], "left_anti")
     promoted = {"independent": F.lit(False), "strict": F.lit(False), "balanced": F.col("rscore") >= REVIEW_MIN, "lenient": F.lit(True)}[mode]
     allowed = F.col("rscore") >= REVIEW_MIN if mode == "strict" else F.lit(True)
     none = F.lit(None).cast("string")

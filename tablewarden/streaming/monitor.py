@@ -30,7 +30,7 @@ def monitor(sdf: DataFrame, ts: str, rules: Sequence[Rule], window: str = "1 day
     quantiles and order need the whole window and belong to the batch run.
     """
     plans = [compile_rule(sdf, r) for r in rules]
-    refused = [r.kind for r, p in zip(rules, plans) if p.side is not None]
+    refused = [r.kind for r, p in zip(rules, plans) if p.side is not None or p.distinct or p.quantiles]
     if refused:
         raise ValueError(f"not available on a stream: {', '.join(refused)}")
     aggs = [c.alias(f"r{i}_{n}") for i, p in enumerate(plans) for n, c in p.aggs.items()]

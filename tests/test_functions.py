@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions import checks as C
 from tablewarden.functions import crypto as K
 from tablewarden.functions.ordered import exact_quantiles, order_steps, ranked_rows
-from tablewarden.functions.spans import find_spans
+from tablewarden.functions.spans import CHUNK, find_spans, interval_join, spliced, sums_before
 
 
 def test_quantiles_match_numpy(spark):
@@ -163,3 +163,50 @@ def test_national_id_parts(spark):
 def test_phone_plans(spark):
     df = spark.createDataFrame([("+201012345678", "EG"), ("01012345678", "EG"), ("+966512345678", "SA"), ("+15551234567", "US"), ("2024-01-02", None), ("+999123", None)], "v string, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", C.phone(F.col("v"))["region"].alias("got")).collect())
+
+
+def test_sums_before(spark):
+    rng = np.random.default_rng(2)
+    lists = [[], [5], [1, 2, 3], *[rng.integers(0, 9, n).tolist() for n in (4, 16, 17, 1000)]]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for row in df.select("x", sums_before(F.col("x"), F.lit(7)).alias("s")).collect():
+        assert row["s"] == [7 + sum(row["x"][:i]) for i in range(len(row["x"]))]
+
+
+def test_spans_of_a_long_text(spark):
+    """Ten thousand times the text takes not much more than ten thousand times as long; offsets stay right to the end."""
+    text = "é pay 12 to 345, ok. " * 60_000
+    row = spark.createDataFrame([(text,)], "t string").select(find_spans(F.col("t"), r"\d+").alias("s")).selectExpr("size(s) AS n", "s[119999] AS last").first()
+    assert row["n"] == 120_000 and text[row["last"]["start"]:row["last"]["end"]] == "345" == row["last"]["surface"] and row["last"]["start"] == text.rindex("345")
+
+
+def test_splice(spark):
+    rng = np.random.default_rng(6)
+    for size, count in ((0, 0), (5, 1), (CHUNK, 3), (40 * CHUNK + 7, 400)):
+        text = "".join(rng.choice(list("aé😀 b\n"), size))
+        cuts = sorted(rng.choice(size + 1, 2 * count, replace=False).tolist()) if count else []
+        edits = [(a, b, f"<{i}>") for i, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))] + ([(size, size, "end")] if count and cuts[-1] < size else [])
+        want, at = "", 0
+        for a, b, new in edits:
+            want, at = want + text[at:a] + new, b
+        df = spark.createDataFrame([(text, edits)], "t string, e array<struct<start:int,end:int,new:string>>")
+        if edits:
+            assert df.select(spliced(F.col("t"), F.col("e")).alias("x")).first()["x"] == want + text[at:]
+
+
+def test_interval_join(spark):
+    rng = np.random.default_rng(4)
+    rows = [[(int(rng.integers(0, 3)), s, s + int(rng.choice([0, 1, 3, 64, 70, 500])), i) for i, s in enumerate(rng.integers(0, 400, 150).tolist())] for _ in range(2)]
+    rows[0] += [(0, 64, 128, 900), (0, 128, 192, 901), (0, 128, 192, 902), (1, None, 5, 903)]
+    rows[1] += [(0, 0, 64, 900), (0, 128, 192, 901), (0, 192, 193, 902), (1, 2, None, 903)]
+    a = spark.createDataFrame(rows[0], "k int, ls int, le int, l int")
+    b = spark.createDataFrame(rows[1], "k int, rs int, re int, r int")
+    got = sorted((r["l"], r["r"]) for r in interval_join(a, b, ["k"], "ls", "le", "rs", "re").collect())
+    assert got == sorted((x[3], y[3]) for x in rows[0] for y in rows[1] if x[0] == y[0] and None not in x + y and x[1] < y[2] and y[1] < x[2])
+
+
+def test_interval_join_of_a_long_document_is_linear(spark):
+    """10^5 touching spans on each side of one document: each meets its own partner and nothing else."""
+    side = lambda s, e, i: spark.range(100_000).select(F.lit(1).alias("d"), (F.col("id") * 10).cast("int").alias(s), (F.col("id") * 10 + 10).cast("int").alias(e), F.col("id").alias(i))
+    got = interval_join(side("ls", "le", "l"), side("rs", "re", "r"), ["d"], "ls", "le", "rs", "re")
+    assert got.count() == 100_000 and got.where("l <> r").isEmpty()
