@@ -58,3 +58,10 @@ KEEP_BOTH = ["CVV", "CREDIT_CARD", "CREDIT_CARD_EXPIRATION", "OTP", "IP_ADDRESS"
 
 # fixed values: which source of a span wins
 ENGINE_PRIORITY = {"phone": 40, "preprocess": 35, "regex": 30, "ner": 20, "review": 10}
+
+# fixed values: what an address clause must hold, from where on it counts, and words of assent at its end
+ADDRESS_HEAD = (r"(?i)(?:\d+|شارع|(?<!عن )طريق|عمارة|شقة|حي|مدينة|قدام|واحة|الكيلو|"
+                r"villa|street|st\.?|building|apt\.?|apartment|flat)")
+TRAIL_FILLER = r"(?i)(?:\s+(?:صح|right|yes))+$"
+SENTENCE_STOPS = ".؟!\n"
+SPEAKERS = "Agent|Caller|الوكيل|المتصل"

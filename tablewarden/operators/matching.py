@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 20_000      # queries compared in one pass over the base; more queries take more passes, none is dropped
+QUERY_BLOCK, BASE_BLOCK = 20_000, 50_000      # rows of a block; more rows make more blocks, none is dropped
 
 
 def score(distance: Column, metric: str = "cosine") -> Column:
@@ -21,61 +20,74 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _block(queries: list, base: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    """The k nearest base rows of each query: every task keeps its own k best, then the bests are ranked.
-
-    The queries of one block travel to the tasks as a matrix of bounded size; the base is never shuffled.
-    """
-    ids = np.array([q["qid"] for q in queries])
-    groups = np.array([q["group"] or "" for q in queries])
-    matrix = _unit(np.array([q["vector"] for q in queries], dtype=np.float64))
-    shared = base.sparkSession.sparkContext.broadcast((ids, groups, matrix))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qgroups, q = shared.value
-        best_d = np.full((len(qids), k), np.inf)
-        best_i = np.zeros((len(qids), k), dtype=np.int64)
-        step = max(1, 4_000_000 // max(1, len(qids)))          # bounds the distance matrix of one step
-        for batch in (b.iloc[i:i + step] for b in batches for i in range(0, len(b), step)):
-            vectors = np.vstack(batch["vector"].to_numpy()).astype(np.float64)
-            alive = np.linalg.norm(vectors, axis=1) > 0
-            v = _unit(vectors)
-            dot = q @ v.T
+def _vectors(column) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    flat = column.combine_chunks()
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 1)
+
+
+def _nearest(k: int, metric: str, exclude_self: bool):
+    """The k nearest rows of a base block for each query of a query block."""
+    def run(queries, base):
+        import pyarrow as pa
+
+        qids, bids = queries["qid"].to_numpy(), base["bid"].to_numpy()
+        if not len(qids) or not len(bids):
+            return pa.table({"qid": pa.array([], pa.int64()), "bid": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        names = {g: i for i, g in enumerate(set(queries["group"].to_pylist()) | set(base["group"].to_pylist()))}
+        qgroup, bgroup = (np.array([names[g] for g in t["group"].to_pylist()]) for t in (queries, base))
+        q, vectors = _unit(_vectors(queries["vector"])), _vectors(base["vector"])
+        alive = np.linalg.norm(vectors, axis=1) > 0
+        v = _unit(vectors)
+        out = []
+        step = max(1, 4_000_000 // len(bids))                     # bounds the distance matrix of one step
+        for lo in range(0, len(qids), step):
+            dot = q[lo:lo + step] @ v.T
             dist = 1.0 - dot if metric == "cosine" else np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot))
-            bids = batch["bid"].to_numpy()
             dist[:, ~alive] = np.inf
-            dist[qgroups[:, None] != batch["group"].fillna("").to_numpy()[None, :]] = np.inf
+            dist[qgroup[lo:lo + step, None] != bgroup[None, :]] = np.inf
             if exclude_self:
-                dist[qids[:, None] == bids[None, :]] = np.inf
-            d = np.hstack([best_d, dist])
-            i = np.hstack([best_i, np.broadcast_to(bids, dist.shape)])
-            keep = np.lexsort((i, d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
-        rows, cols = np.nonzero(np.isfinite(best_d))
-        yield pd.DataFrame({"qid": qids[rows], "bid": best_i[rows, cols], "distance": best_d[rows, cols]})
-    found = base.mapInPandas(nearest, "qid bigint, bid bigint, distance double")
-    w = W.partitionBy("qid").orderBy("distance", "bid")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                dist[qids[lo:lo + step, None] == bids[None, :]] = np.inf
+            keep = np.lexsort((np.broadcast_to(bids, dist.shape), dist), axis=1)[:, :k] if dist.shape[1] <= 4 * k else _least(dist, bids, k)
+            best = np.take_along_axis(dist, keep, 1)
+            rows, cols = np.nonzero(np.isfinite(best))
+            out.append((qids[lo:lo + step][rows], bids[keep[rows, cols]], best[rows, cols]))
+        return pa.table({n: pa.array(np.concatenate([o[i] for o in out])) for i, n in enumerate(("qid", "bid", "distance"))})
+
+    return run
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
+def _least(dist: np.ndarray, bids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least (distance, id) of every row; rows where ids decide at the border are sorted whole."""
+    part = np.argpartition(dist, k - 1, axis=1)[:, :k]
+    border = np.take_along_axis(dist, part, 1).max(axis=1)
+    order = np.take_along_axis(part, np.lexsort((bids[part], np.take_along_axis(dist, part, 1)), axis=1), 1)
+    for r in np.flatnonzero((dist <= border[:, None]).sum(axis=1) > k):
+        near = np.flatnonzero(dist[r] <= border[r])
+        order[r] = near[np.lexsort((bids[near], dist[r, near]))][:k]
+    return order
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "cosine", exclude_self: bool = False, query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK) -> DataFrame:
     """Exact k nearest: queries (qid, vector[, group]) against base (bid, vector[, group]); only equal groups compare.
 
-    The query side is cut into blocks of a fixed size by its hash, so what reaches a task stays bounded however
-    many queries there are; each block is one more pass over the base, without a join of all pairs.
+    Both sides stay rows: they are cut into blocks by hash, every block of queries meets every block of the base in one task, which multiplies two
+    matrices of bounded size and keeps k rows a query, and the bests of all base blocks are ranked.  Nothing passes through the driver but two counts.
     """
     q = queries.select("qid", "vector", (F.col("group") if "group" in queries.columns else F.lit(None)).cast("string").alias("group"))
     b = base.select("bid", "vector", (F.col("group") if "group" in base.columns else F.lit(None)).cast("string").alias("group"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).collect()     # one block of queries
-        if rows:
-            part = _block(rows, b, k, metric, exclude_self)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return base.sparkSession.createDataFrame([], "qid bigint, bid bigint, distance double, rank int, score double")
-    return out.withColumn("score", score(F.col("distance"), metric))
+    rows = base.count()
+    n_q = max(1, -(-queries.count() // query_block))
+    # at least as many base blocks as the session has shuffle tasks, if they hold a thousand rows each
+    n_b = max(1, -(-rows // base_block), min(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 1_000) // n_q)
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt_q = q.withColumn("_q", place("qid", n_q)).withColumn("_b", every(n_b))
+    dealt_b = b.withColumn("_b", place("bid", n_b)).withColumn("_q", every(n_q))
+    found = dealt_q.groupBy("_q", "_b").cogroup(dealt_b.groupBy("_q", "_b")).applyInArrow(_nearest(k, metric, exclude_self), "qid bigint, bid bigint, distance double")
+    w = W.partitionBy("qid").orderBy("distance", "bid")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", score(F.col("distance"), metric))
 
 
 def infer(fingerprints: DataFrame, golden: DataFrame, k: int = 5, min_score: float = 0.8) -> DataFrame:

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.functions.columns import let
 from tablewarden.operators.rules import Rule
 
 # fixed values
@@ -113,46 +115,66 @@ def cover(df: DataFrame, covered: Sequence[str] = ()) -> DataFrame:
     return full.select(F.col("column").alias("column_name"), F.inline(F.array_compact(options)))
 
 
-def widen(rows: DataFrame, lo: str, hi: str, tolerance: float, integer: Column, proportion: Column) -> DataFrame:
-    """[lo, hi] widened by a share of its span, never across zero, floats rounded outward to a clean step.
+def widened(lo: Column, hi: Column, tolerance: float, whole: Column, floor: Column | None = None, ceiling: Column | None = None) -> Column:
+    """[lo, hi] widened by a share of its span, never across zero, floats rounded outward to a clean step; null where a bound is missing.
 
-    Adds ``relaxed_min`` and ``relaxed_max``; the steps are columns of their own so that each is computed once.
+    ``floor`` and ``ceiling`` are limits that the widened range keeps (null: none).
     """
-    a, b = F.col(lo), F.col(hi)
-    base = F.when(b > a, b - a).otherwise(F.greatest(F.abs(a), F.abs(b))) * tolerance
-    out = rows.withColumn("_pad", F.when(base > 0, base).otherwise(F.when(base.isNotNull(), F.lit(float(tolerance)))))
-    pad = F.col("_pad")
-    out = out.withColumns({
-        "_step": F.pow(F.lit(10.0), F.floor(F.log10(pad)).cast("double")),
-        "_a": F.when(a >= 0, F.greatest(F.lit(0.0), a - pad)).otherwise(a - pad),
-        "_b": F.when(b <= 0, F.least(F.lit(0.0), b + pad)).otherwise(b + pad), "_int": integer})
-    step, a, b = F.col("_step"), F.col("_a"), F.col("_b")
-    # a one-element generator keeps the optimizer from folding all steps into one oversized expression
-    out = out.select("*", F.inline(F.array(F.struct(
-        F.when(F.col("_int"), F.floor(a).cast("double")).otherwise(F.floor(a / step + 1e-9).cast("double") * step).alias("_c"),
-        F.when(F.col("_int"), F.ceil(b).cast("double")).otherwise(F.ceil(b / step - 1e-9).cast("double") * step).alias("_d")))))
-    c, d = F.col("_c"), F.col("_d")
-    return out.withColumns({
-        "relaxed_min": F.round(F.when(proportion, F.greatest(F.lit(0.0), c)).otherwise(c), 10),
-        "relaxed_max": F.round(F.when(proportion, F.least(F.lit(1.0), d)).otherwise(d), 10),
-    }).drop("_pad", "_step", "_a", "_b", "_c", "_d", "_int")
+    base = F.when(hi > lo, hi - lo).otherwise(F.greatest(F.abs(lo), F.abs(hi))) * tolerance
+
+    def bounds(pad: Column) -> Column:
+        step = F.pow(F.lit(10.0), F.floor(F.log10(pad)).cast("double"))
+        low = F.when(lo >= 0, F.greatest(F.lit(0.0), lo - pad)).otherwise(lo - pad)
+        high = F.when(hi <= 0, F.least(F.lit(0.0), hi + pad)).otherwise(hi + pad)
+        return let(F.struct(step.alias("step"), low.alias("low"), high.alias("high")), lambda x: F.struct(
+            F.when(whole, F.floor(x["low"]).cast("double")).otherwise(F.floor(x["low"] / x["step"] + 1e-9).cast("double") * x["step"]).alias("lo"),
+            F.when(whole, F.ceil(x["high"]).cast("double")).otherwise(F.ceil(x["high"] / x["step"] - 1e-9).cast("double") * x["step"]).alias("hi")))
+
+    def kept(x: Column) -> Column:
+        return F.struct(F.round(F.greatest(x["lo"], floor) if floor is not None else x["lo"], 10).alias("lo"),
+                        F.round(F.least(x["hi"], ceiling) if ceiling is not None else x["hi"], 10).alias("hi"))
+    done = let(F.when(base > 0, base).otherwise(F.lit(float(tolerance))), lambda pad: let(bounds(pad), kept))
+    return F.when(lo.isNotNull() & hi.isNotNull(), done)
+
+
+def _merged(fresh: Column, rest: Column) -> Column:
+    """A JSON object from the text of its first members and a map of the others."""
+    return F.concat(F.lit("{"), fresh, F.when(F.size(rest) > 0, F.concat(F.lit(","), F.substr(F.to_json(rest), F.lit(2)))).otherwise("}"))
 
 
 def relax(rows: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """Widen the numeric ranges of rule rows; lengths, SQL and sets stay as they are."""
+    """Widen the numeric ranges of rule rows: min / max values, quantile ranges, ``mustBeBetween``; lengths, SQL and sets stay as they are.
+
+    Quantile ranges with an open end keep it.  Adds ``relaxed_min`` and ``relaxed_max`` for plain ranges.
+    """
+    kwargs = F.col("kwargs")
     open_ = ~F.col("expectation").contains("value_lengths") & (F.col("expectation") != "sql")
-    parsed = rows.withColumns({"_lo_text": F.when(open_, F.get_json_object("kwargs", "$.min_value")),
-                               "_hi_text": F.when(open_, F.get_json_object("kwargs", "$.max_value"))})
-    both = F.col("_lo_text").isNotNull() & F.col("_hi_text").isNotNull()
-    parsed = parsed.withColumns({"_lo": F.when(both, F.col("_lo_text").try_cast("double")),
-                                 "_hi": F.when(both, F.col("_hi_text").try_cast("double"))})
-    whole = F.col("_lo_text").rlike(r"^-?\d+$") & F.col("_hi_text").rlike(r"^-?\d+$")
-    wide = widen(parsed, "_lo", "_hi", tolerance, whole, F.col("expectation").rlike("proportion|_percent"))
-    rest = F.map_filter(F.from_json("kwargs", "map<string,string>"), lambda k, v: ~k.isin("min_value", "max_value"))
-    changed = F.to_json(F.map_concat(rest, F.create_map(
-        F.lit("min_value"), F.col("relaxed_min").cast("string"), F.lit("max_value"), F.col("relaxed_max").cast("string"))))
-    return wide.withColumn("kwargs", F.when(F.col("relaxed_min").isNotNull(), changed).otherwise(F.col("kwargs"))) \
-        .drop("_lo_text", "_hi_text", "_lo", "_hi")
+    text = lambda path: F.when(open_, F.get_json_object(kwargs, path))
+    is_whole = lambda *cs: reduce(lambda a, b: a & b, [c.rlike(r"^-?\d+$") for c in cs])
+    others = lambda *names: F.map_filter(F.from_json(kwargs, "map<string,string>"), lambda k, v: ~k.isin(*names))
+    share = F.col("expectation").rlike("proportion|_percent")
+    limit = lambda v: F.when(share, F.lit(v))
+
+    parsed = rows.withColumns({"_lo": text("$.min_value"), "_hi": text("$.max_value"),
+                               "_ranges": F.from_json(text("$.quantile_ranges.value_ranges"), "array<array<double>>"),
+                               "_between": F.from_json(text("$.mustBeBetween"), "array<string>")})
+    lo, hi = F.col("_lo").try_cast("double"), F.col("_hi").try_cast("double")
+    pair = F.when(F.size("_between") == 2, F.col("_between"))
+    a, b = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+    out = parsed.withColumns({
+        "_plain": widened(lo, hi, tolerance, is_whole(F.col("_lo"), F.col("_hi")), limit(0.0), limit(1.0)),
+        "_quantiles": F.transform("_ranges", lambda r: F.when((F.size(r) == 2) & F.get(r, F.lit(0)).isNotNull() & F.get(r, F.lit(1)).isNotNull(), let(
+            widened(F.get(r, F.lit(0)), F.get(r, F.lit(1)), tolerance, F.lit(False)), lambda w: F.array(w["lo"], w["hi"]))).otherwise(r)),
+        "_must": widened(a.try_cast("double"), b.try_cast("double"), tolerance, is_whole(a, b), F.when(is_whole(a, b), F.lit(0.0)))})
+    number = lambda x: F.when(is_whole(a, b), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    plain = F.to_json(F.map_concat(others("min_value", "max_value"), F.create_map(
+        F.lit("min_value"), F.col("_plain.lo").cast("string"), F.lit("max_value"), F.col("_plain.hi").cast("string"))))
+    quantiles = _merged(F.concat(F.lit('"quantile_ranges":{"quantiles":'), F.get_json_object(kwargs, "$.quantile_ranges.quantiles"), F.lit(',"value_ranges":'), F.to_json("_quantiles"), F.lit("}")),
+                        others("quantile_ranges"))
+    must = _merged(F.concat(F.lit('"mustBeBetween":['), number(F.col("_must.lo")), F.lit(","), number(F.col("_must.hi")), F.lit("]")), others("mustBeBetween"))
+    changed = F.when(F.col("_plain").isNotNull(), plain).when(F.col("_quantiles").isNotNull(), quantiles).when(F.col("_must").isNotNull(), must).otherwise(kwargs)
+    return out.withColumns({"kwargs": changed, "relaxed_min": F.col("_plain.lo"), "relaxed_max": F.col("_plain.hi")}) \
+        .drop("_lo", "_hi", "_ranges", "_between", "_plain", "_quantiles", "_must")
 
 
 def drop(rows: DataFrame, columns: Sequence[str] = (), types: Sequence[str] = (), ids: Sequence[str] = (),

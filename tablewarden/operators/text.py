@@ -8,6 +8,7 @@ which is bounded by a stretch of one document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions import checks as C
 from tablewarden.functions import text as X
 from tablewarden.functions import text_values as V
-from tablewarden.functions.columns import computed_once, lit_map, ratio, spread
+from tablewarden.functions.columns import computed_once, let, lit_map, ratio, spread
 from tablewarden.functions.spans import SPANS, context, count_matches, find_spans, interval_join, overlaps, parts
 from tablewarden.operators.detect import canonical_entity, catalog, java_regex, may_match
 
@@ -307,12 +308,36 @@ def exclude(spans: DataFrame, terms: DataFrame, noise: Sequence[str] = (), patte
     return out.join(terms.select(fold_surface(F.col("term")).alias("_f")).distinct(), "_f", "left_anti").drop("_f")
 
 
-def extend_context(spans: DataFrame, docs: DataFrame, triggers: dict[str, Sequence[str]]) -> DataFrame:
-    """Spans inside a cue clause (trigger word to the end of the clause) grow to the clause; bare clauses become spans."""
-    found = []
-    for entity, words in triggers.items():
-        alternatives = "|".join(sorted(words, key=len, reverse=True))
-        found.append(_tagged(find_spans(F.col("text"), rf"(?iU)(?<!\w)(?:{alternatives})(?!\w)[^.\n،؛!?؟;]+"), entity, 0.7, "preprocess", "context_clause"))
+def clause_after(text: Column, words: Sequence[str], entity: str, noise: Sequence[str] = ()) -> Column:
+    """Spans of the clause behind each cue word: after its separators, to the end of the sentence or speaker's turn, without filler at its end.
+
+    An address counts from its first address word or number on, and does not count without one.
+    """
+    alternatives = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+    stops = V.SENTENCE_STOPS
+    speaker = rf"(?![\n\r]\s*(?:{V.SPEAKERS})\s*:)"
+    found = find_spans(text, rf"(?iU)((?<!\w)(?:{alternatives})(?!\w)[ \t:：=\-–—]*)((?:{speaker}[^{stops}])+)()", parts())
+    edge = V.EDGE_TAIL
+
+    def cut(s: Column) -> Column:
+        skipped = F.greatest(F.regexp_instr(s["surface"], F.lit(V.ADDRESS_HEAD)) - 1, F.lit(0)) if entity in ("LOCATION", "ADDRESS") else F.lit(0)
+
+        def body(skip: Column) -> Column:
+            said = F.regexp_replace(F.regexp_replace(F.substr(s["surface"], skip + 1), edge, ""), V.TRAIL_FILLER, "")
+            if noise:
+                said = F.regexp_replace(said, rf"(?:\s+(?:{'|'.join(map(re.escape, noise))}))+$", "")
+            said = F.regexp_replace(said, edge, "")
+            begin = s["start"] + skip
+            return let(said, lambda t: F.struct(begin.alias("start"), (begin + F.length(t)).alias("end"), t.alias("surface")))
+        return let(skipped, body)
+    if entity in ("LOCATION", "ADDRESS"):
+        found = F.filter(found, lambda s: s["surface"].rlike(V.ADDRESS_HEAD))
+    return F.filter(F.transform(found, cut), lambda s: F.trim(s["surface"]) != "")
+
+
+def extend_context(spans: DataFrame, docs: DataFrame, triggers: dict[str, Sequence[str]], noise: Sequence[str] = ()) -> DataFrame:
+    """Spans inside a cue clause (see ``clause_after``) grow to the clause; bare clauses become spans."""
+    found = [_tagged(clause_after(F.col("text"), words, entity, noise), entity, 0.86, "preprocess", "context_clause") for entity, words in triggers.items()]
     clauses = _explode(docs, found)
     keyed = clauses.select("doc_id", F.col("entity_type"), F.col("start").alias("cs"), F.col("end").alias("ce"))
     hit = interval_join(spans, keyed, ["doc_id", "entity_type"], "start", "end", "cs", "ce")
@@ -508,7 +533,7 @@ def scan(docs: DataFrame, expanders: Sequence[str] | None = None, reviews: DataF
         spans = spans.unionByName(produced_spans(docs, name))
     spans = trim(merge_equivalent(spans), noise)
     if triggers:
-        spans = extend_context(spans, docs, triggers)
+        spans = extend_context(spans, docs, triggers, noise)
     if units or cues:
         spans = number_policy(spans, units or ["^$"], cues or {})
     if excluded is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewarden.functions.columns import unpivot
 from tablewarden.operators import drift as D
 from tablewarden.operators import evaluate as E
 from tablewarden.operators import matching as N
@@ -473,19 +474,36 @@ def _q(t):
     return M.partition(t.events.withColumn("dt", F.to_date("ts")), "dt").select("event_id", "dt")
 
 
-@query("m02_fraction")
+def _sample_sql(table):
+    return f"SELECT true AS known, true AS once, true AS sized FROM (SELECT count(*) AS n FROM {table}) WHERE n > 0"
+
+
+def _sample_facts(sample, table, key, low, high):
+    """What holds for any seed: every sampled row is a row of the table, none comes twice, and their number lies between the bounds."""
+    found = sample.join(table.select(*key, F.lit(True).alias("_in")), key, "left")
+    return found.agg(F.coalesce(F.every(F.col("_in").isNotNull()), F.lit(True)).alias("known"), (F.count(F.lit(1)) == F.count_distinct(*key)).alias("once"), F.count(F.lit(1)).alias("n")) \
+        .crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias("rows")))).select("known", "once", ((F.col("n") >= low(F.col("rows"))) & (F.col("n") <= high(F.col("rows")))).alias("sized"))      # one row each
+
+
+@query("m02_fraction", _sample_sql("orders"))
 def _q(t):
-    return M.fraction(t.lineitem, 0.1).agg(F.count(F.lit(1)).alias("n"))
+    spread = lambda n: 6 * F.sqrt(n * 0.09)
+    return _sample_facts(M.fraction(t.orders.select("o_orderkey"), 0.1), t.orders, ["o_orderkey"], lambda n: n * 0.1 - spread(n), lambda n: n * 0.1 + spread(n))
 
 
-@query("m03_column_first")
+@query("m03_column_first", _sample_sql("customer"))
 def _q(t):
-    return M.column_first(t.customer, 0.5)
+    # the only column with a hint in its name is kept
+    named = t.customer.select(F.col("c_name").alias("customer_email"), F.col("c_mktsegment").alias("kind"), "c_custkey")
+    sample = M.column_first(named, 0.5, hints=["email"])
+    assert sample.columns == ["customer_email"]
+    spread = lambda n: 6 * F.sqrt(n * 0.25)
+    return _sample_facts(sample, named.select("customer_email"), ["customer_email"], lambda n: n * 0.5 - spread(n), lambda n: n * 0.5 + spread(n))
 
 
-@query("m04_fixed_rows")
+@query("m04_fixed_rows", _sample_sql("orders"))
 def _q(t):
-    return M.fixed_rows(t.orders, 500).agg(F.count(F.lit(1)).alias("n"))
+    return _sample_facts(M.fixed_rows(t.orders.select("o_orderkey"), 500), t.orders, ["o_orderkey"], lambda n: F.least(n, F.lit(500)) - 6 * F.sqrt(F.lit(500.0)), lambda n: F.lit(500))
 
 
 @query("m05_as_strings", "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_type, p_size::VARCHAR AS p_size FROM part")
@@ -500,3 +518,14 @@ def _q(t):
     return M.values(t.customer, 20, columns=["c_name", "c_mktsegment"]).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m07_detector_sample", """
+  WITH v AS (SELECT 'lang' AS "column", lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'text', text FROM documents UNION ALL SELECT 'n_chars', n_chars::VARCHAR FROM documents)
+  SELECT "column", least(100, count(DISTINCT value)) AS n, true AS known, true AS ranked FROM v WHERE value IS NOT NULL GROUP BY 1""")
+def _q(t):
+    names = ["lang", "source", "text", "n_chars"]
+    seen = unpivot(t.documents, names).where("value is not null").distinct().withColumn("_in", F.lit(True))
+    sample = M.values(t.documents, 100, 42, names).join(seen, ["column", "value"], "left")
+    return sample.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("_in").isNotNull()).alias("known"), (F.max("rank") == F.count(F.lit(1))).alias("ranked"))
+
+
+

@@ -159,12 +159,11 @@ def _stream(t):
 
 
 @query("z01_windowed_monitor", f"""
-  SELECT strftime(dt, '%Y-%m-%d') AS window_start, n AS rows, column_name, ok AS success, bad AS unexpected_count FROM {FULL_CHECKS}
-  WHERE dt + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+  SELECT strftime(dt, '%Y-%m-%d') AS window_start, n AS rows, column_name, ok AS success, bad AS unexpected_count,
+         dt + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS closed FROM {FULL_CHECKS}""")
 def _q(t):
-    out = scratch(t.spark, "monitor")
-    Z.run_to_parquet(Z.monitor(_stream(t), "ts", EVENT_RULES), out, scratch(t.spark, "monitor-state"))
-    return t.spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "rows", "column_name", "success", "unexpected_count")
+    out = Z.monitor_to_parquet(_stream(t), t.events, "ts", EVENT_RULES, scratch(t.spark, "monitor"), scratch(t.spark, "monitor-state"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "rows", "column_name", "success", "unexpected_count", "closed")
 
 
 @query("z01_sliding_monitor", """

@@ -292,6 +292,25 @@ def _q(t):
     return D.relax(_part_rules(t), 0.1).where("relaxed_min is not null").select("k", "relaxed_min", "relaxed_max")
 
 
+@query("d03_relax_quantiles", """
+  SELECT p_partkey AS k, greatest(0.0, floor((p_size - 1.0) / 1.0 + 1e-9))::DOUBLE AS low, ceil((p_size + 10 + 1.0) / 1.0 - 1e-9)::DOUBLE AS high, true AS opened,
+         greatest(0, p_size - 1)::BIGINT AS must_low, (p_size + 11)::BIGINT AS must_high FROM part""")
+def _q(t):
+    size = F.col("p_size")
+    ranges = F.to_json(F.struct(F.struct(F.array(F.lit(0.5), F.lit(0.9)).alias("quantiles"), F.array(F.array(size, size + 10), F.array(F.lit(None), size)).alias("value_ranges")).alias("quantile_ranges"),
+                                F.lit("keep").alias("note")), {"ignoreNullFields": "false"})
+    must = F.to_json(F.struct(F.array(size, size + 10).alias("mustBeBetween"), F.lit("keep").alias("note")))
+    key = F.col("p_partkey").alias("k")
+    rows = t.part.select(key, F.lit("column_quantile_values_to_be_between").alias("expectation"), ranges.alias("kwargs")) \
+        .unionByName(t.part.select(key, F.lit("invalidCount").alias("expectation"), must.alias("kwargs")))
+    out = D.relax(rows, 0.1)
+    got = lambda path: F.get_json_object("kwargs", path)
+    value = lambda path, kind: F.max(got(path).cast(kind))
+    opened = F.every(F.when(F.col("expectation").contains("quantile"), got("$.quantile_ranges.value_ranges[1]").startswith("[null,")).otherwise(True) & (got("$.note") == "keep"))
+    return out.groupBy("k").agg(value("$.quantile_ranges.value_ranges[0][0]", "double").alias("low"), value("$.quantile_ranges.value_ranges[0][1]", "double").alias("high"),
+                                opened.alias("opened"), value("$.mustBeBetween[0]", "bigint").alias("must_low"), value("$.mustBeBetween[1]", "bigint").alias("must_high"))
+
+
 @query("d04_drop_rules", f"""
   SELECT table_name, column_name, expectation, count(*) AS n FROM {PART_RULES}
   WHERE column_name <> 'Brand#2' AND expectation NOT LIKE '%null' GROUP BY ALL""")

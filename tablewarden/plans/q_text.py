@@ -107,7 +107,7 @@ def _q(t):
 
 
 @query("t11_context_clauses", """
-  SELECT o_orderkey AS doc_id, 'LOCATION' AS entity_type, 'street ' || o_custkey || ' near the park' AS surface FROM orders""")
+  SELECT o_orderkey AS doc_id, 'LOCATION' AS entity_type, unnest(['street', o_custkey || ' near the park']) AS surface FROM orders""")
 def _q(t):
     text = F.concat(F.lit("Deliver to street "), F.col("o_custkey").cast("string"), F.lit(" near the park. Thanks."))
     docs = t.orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))

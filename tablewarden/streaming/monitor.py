@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +16,10 @@ from tablewarden.operators.rules import Rule, _result_struct, compile_rule
 from tablewarden.sources.stores import Store
 
 
+#: Partitions of a micro-batch that are named in a filter; a batch that touches more of them is joined.
+NAMED = 1_000
+
+
 def _event_time(sdf: DataFrame, ts: str, watermark: str) -> DataFrame:
     """Event time as an instant, with a watermark on a stream."""
     if sdf.schema[ts].dataType.simpleString() == "timestamp_ntz":
@@ -58,8 +63,14 @@ def record(sdf: DataFrame, table: str, parts: Sequence[str], rules: Sequence[Rul
         stamp = batch.sparkSession.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss.SSSSSS')").first()[0]
         touched = batch.select(*[col(p) for p in parts]).distinct()
         whole = source(batch.sparkSession)
-        same = reduce(lambda a, b: a & b, [whole[p].eqNullSafe(touched[p]) for p in parts])
-        store.validate(whole.join(touched, same, "left_semi"), table, parts, rules, digest, stamp)
+        named = touched.limit(NAMED + 1).collect()
+        if len(named) <= NAMED:      # values as literals prune the partitions that are read
+            mine = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [col(p).eqNullSafe(F.lit(r[p])) for p in parts]) for r in named], F.lit(False))
+            whole = whole.where(mine)
+        else:
+            same = reduce(lambda a, b: a & b, [whole[p].eqNullSafe(touched[p]) for p in parts])
+            whole = whole.join(touched, same, "left_semi")
+        store.validate(whole, table, parts, rules, digest, stamp)
     return sdf.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -72,3 +83,33 @@ def run_to_parquet(sdf: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything that is available into Parquet files, then stop."""
     sdf.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append") \
         .trigger(availableNow=True).start().awaitTermination()
+
+
+def monitor_to_parquet(sdf: DataFrame, table: DataFrame, ts: str, rules: Sequence[Rule], path: str, checkpoint: str, window: str = "1 day", slide: str | None = None,
+                       watermark: str = "1 hour") -> DataFrame:
+    """Process everything that is available, then report every window: ``closed`` ones as the stream has written them to ``path``, open ones as they stand.
+
+    A stream emits a window once the watermark has passed its end, so the last windows of a run stay in its state.  Those are the windows that end after
+    the last one written and after the watermark; their rows are read once more from ``table`` (the same data at rest), pruned by event time.  The state
+    stays as it is, and a later run of the stream closes them.  Rows that arrived after the run began count in open windows only.
+    """
+    query = monitor(sdf, ts, rules, window, slide, watermark).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint) \
+        .outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    still = monitor(table, ts, rules, window, slide)
+    try:
+        closed = table.sparkSession.read.schema(still.schema).parquet(path)
+        last = closed.agg(F.max("window_end").alias("t")).first()["t"]
+    except AnalysisException:      # nothing written yet
+        closed, last = None, None
+    progress = query.lastProgress
+    reached = (progress or {}).get("eventTime", {}).get("watermark") if progress is None or isinstance(progress, dict) else progress["eventTime"].get("watermark")
+    bounds = [F.lit(last).cast("timestamp"), F.lit(reached).cast("timestamp")]
+    border = F.greatest(*bounds)
+    near = table.where(border.isNull() | (_instant(table, ts) >= border - F.expr(f"INTERVAL {window}")))
+    open_ = monitor(near, ts, rules, window, slide).where(border.isNull() | (F.col("window_end") > border)).withColumn("closed", F.lit(False))
+    return open_ if closed is None else closed.withColumn("closed", F.lit(True)).unionByName(open_)
+
+
+def _instant(df: DataFrame, ts: str):
+    return col(ts).cast("timestamp")

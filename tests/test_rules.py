@@ -185,6 +185,29 @@ def test_names_in_queries(spark):
     assert not row["success"] and row["unexpected_count"] == 2
 
 
+@pytest.mark.parametrize("query,want", [
+    ("SELECT shop.orders.a FROM shop.orders WHERE shop.orders.a > 2", 2), ("SELECT orders.a FROM `Shop`.`Orders` /* it's ${property} */ WHERE orders.a > 2 -- shop.orders", 2),
+    ('SELECT "shop.orders", a FROM data WHERE ${property} > 2', 2), ("SELECT data.a FROM data JOIN shop.orders o ON o.a = data.a WHERE o.a > 3", 1),
+    ("WITH orders AS (SELECT a FROM shop.orders) SELECT orders.a FROM orders WHERE orders.a > 1", 3)])
+def test_qualified_names(spark, query, want):
+    row = Q.evaluate(spark.range(5).withColumnRenamed("id", "a"), Q.sql_rule(query, column="a", mustBeGreaterThan=-1), table="shop.orders").first()
+    assert row["success"] and row["observed_value"] == want, row["reason"]
+
+
+def test_a_column_named_like_the_table(spark):
+    df = spark.range(3).selectExpr("id AS data", "struct(id AS x) AS orders")
+    row = Q.evaluate(df, Q.sql_rule("SELECT data, orders FROM data WHERE data > 0", mustBe=2), table="shop.t").first()
+    assert row["success"], row["reason"]
+
+
+def test_two_threads_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    frames = [spark.range(n).withColumnRenamed("id", "a") for n in range(1, 9)]
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda df: Q.evaluate(df, Q.sql_rule("SELECT count(*) FROM data", mustBeGreaterThan=0)).first()["observed_value"], frames))
+    assert got == [float(n) for n in range(1, 9)]
+
+
 def test_null_partition_value_is_a_partition(spark):
     df = spark.range(60).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("p"), (F.col("id") % 7).alias("v"), F.col("id").alias("o"))
     rules = [R.rule("column_values_to_be_unique", "v"), R.rule("column_median_to_be_between", "v", min_value=0), R.rule("column_values_to_be_increasing", "v", order_by="o", mostly=0.1)]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tablewarden.operators import evaluate as E
 from tablewarden.operators import matching as N
@@ -75,20 +76,43 @@ def test_classes_one_by_one(spark):
     assert [r["pid"] for r in rows if r["class"] == "spurious"] == [7]
 
 
-def test_nearest_in_several_blocks(spark, monkeypatch):
+def test_nearest_in_several_blocks(spark):
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(300, 8))
-    base = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "bid long, vector array<double>").repartition(5)
+    v = np.round(rng.normal(size=(300, 8)))                       # many equal distances, and rows without length
+    v[7] = v[150] = 0
+    groups = [None if i % 11 == 0 else "ab"[i % 2] for i in range(300)]
+    base = spark.createDataFrame([(i, [float(x) for x in r], g) for i, (r, g) in enumerate(zip(v, groups))], "bid long, vector array<double>, group string").repartition(5)
     queries = base.where("bid < 40").withColumnRenamed("bid", "qid")
-    monkeypatch.setattr(N, "QUERY_BLOCK", 15)
-    got = {}
-    for r in N.knn(queries, base, 3, exclude_self=True).collect():
-        got.setdefault(r["qid"], []).append((r["rank"], r["bid"]))
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    for q in range(40):
-        d = 1 - u @ u[q]
-        d[q] = np.inf
-        assert [b for _, b in sorted(got[q])] == list(np.argsort(d)[:3])
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    for grouped in (False, True):
+        got = {}
+        q, b = (queries, base) if grouped else (queries.drop("group"), base.drop("group"))
+        for r in N.knn(q, b, 3, exclude_self=True, query_block=15, base_block=70).collect():
+            got.setdefault(r["qid"], []).append((r["rank"], round(r["distance"], 9)))
+        for i in range(40):
+            d = 1 - u @ u[i]
+            near = sorted(round(d[j], 9) for j in range(300) if j != i and norm[j] > 0 and (not grouped or groups[j] == groups[i]))[:3]
+            assert [x for _, x in sorted(got[i])] == near
+    assert N.knn(queries.limit(0), base, 3).count() == 0 and N.knn(queries, base.limit(0), 3).count() == 0
+
+
+def test_nearest_ties_go_to_the_least_id(spark):
+    base = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(200)], "bid long, vector array<double>").repartition(4)
+    got = sorted((r["rank"], r["bid"]) for r in N.knn(base.where("bid = 100").withColumnRenamed("bid", "qid"), base, 4, base_block=60).collect())
+    assert [b for _, b in got] == [1, 4, 7, 10]
+
+
+def test_values_are_the_least_hashes(spark):
+    from tablewarden.operators import sampling as M
+    df = spark.range(4000).select((F.col("id") % 3).cast("string").alias("few"), F.concat(F.lit("é"), (F.col("id") % 700).cast("string")).alias("many"),
+                                  F.when(F.col("id") % 2 == 0, F.col("id")).alias("holes"), F.lit(None).cast("string").alias("none")).repartition(7)
+    got = M.values(df, 20, 5).collect()
+    hashed = lambda c: df.where(F.col(c).isNotNull()).select(F.xxhash64(F.col(c).cast("string"), F.lit(5)).alias("h"), F.col(c).cast("string").alias("v")).distinct().orderBy("h", "v").limit(20)
+    for c, n in (("few", 3), ("many", 20), ("holes", 20)):
+        mine = [v for _, v in sorted((r["rank"], r["value"]) for r in got if r["column"] == c)]
+        assert len(mine) == n and mine == [r["v"] for r in hashed(c).collect()]
+    assert {r["column"] for r in got} == {"few", "many", "holes"}
 
 
 def test_numeric_profile_of_extreme_values(spark):

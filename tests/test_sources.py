@@ -75,6 +75,19 @@ def test_catalogue(spark, tmp_path):
         spark.sql(f"DROP DATABASE {db} CASCADE")
 
 
+def test_open_windows_are_reported_and_closed_later(spark, tmp_path):
+    from tablewarden.streaming.monitor import monitor_to_parquet
+    rules = [R.rule("column_values_to_not_be_null", "v")]
+    day = lambda d, h: f"2024-01-{d:02d} {h:02d}:00:00"
+    rows = lambda *ts: spark.createDataFrame([(t, i if i else None) for i, t in enumerate(ts)], "t string, v int").select(F.col("t").cast("timestamp").alias("ts"), "v")
+    files, run = str(tmp_path / "in"), lambda: monitor_to_parquet(spark.readStream.schema("ts timestamp, v int").parquet(files), spark.read.parquet(files), "ts", rules, str(tmp_path / "out"), str(tmp_path / "state"))
+    rows(day(1, 1), day(1, 5), day(2, 1), day(3, 0)).write.mode("append").parquet(files)
+    got = lambda df: sorted((r["window_start"].day, r["rows"], r["unexpected_count"], r["closed"]) for r in df.collect())
+    assert got(run()) == [(1, 2, 1, True), (2, 1, 0, False), (3, 1, 0, False)]
+    rows(day(3, 9), day(5, 3)).write.mode("append").parquet(files)
+    assert got(run()) == [(1, 2, 1, True), (2, 1, 0, True), (3, 2, 1, True), (5, 1, 0, False)]
+
+
 def test_stream_refuses_exact_distinct(spark):
     from tablewarden.streaming.monitor import monitor
     sdf = spark.readStream.format("rate").load()

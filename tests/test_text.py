@@ -111,6 +111,13 @@ def test_long_sentences_and_clauses(spark):
     got = X.arbitrate(spans, reviews, "balanced", d).first()
     assert got["rule"] == "widened" and got["start"] == len("First one.") and got["end"] == at + 10
     assert got["surface"] == ("First one. " + sentence)[got["start"]:got["end"]] == got["canonical"]
-    clause = docs(spark, "street " + "x" * 400 + ". End")
+    clause = docs(spark, "street: 12 " + "x" * 400 + " right , . End")
     seed = spans.where("1 = 0")
-    assert X.extend_context(seed, clause, {"LOCATION": ["street"]}).first()["end"] == 407
+    got = X.extend_context(seed, clause, {"LOCATION": ["street"]}).first()
+    assert (got["start"], got["end"]) == (8, 411)
+
+
+def test_clauses_start_behind_their_cue(spark):
+    d = docs(spark, "I live at:  the villa 3, Nasr road, yes right. Then", "address is nothing of the kind.", "address 5 Oak lane please thanks\nAgent: and 7", "deliver 9 a\nb", "address")
+    got = {(r["doc_id"], r["surface"]) for r in X.extend_context(X.regex_spans(d).where("1 = 0"), d, {"LOCATION": ["live at", "address", "deliver"]}, noise=["thanks", "please"]).collect()}
+    assert got == {(0, "villa 3, Nasr road"), (2, "5 Oak lane"), (3, "9 a")}
