@@ -152,6 +152,107 @@ def _q(t):
     return S.write_training(t.customer.select("c_custkey", "c_name"), scratch(t.spark, "training")).select("rows", "columns")
 
 
+# --- catalogue and databases ------------------------------------------------------------------------------
+
+def _database(t) -> str:
+    """A new database of the session's catalogue below the shared folder."""
+    name = f"db_{uuid.uuid4().hex[:10]}"
+    t.spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch(t.spark, name)}'")
+    return name
+
+
+@query("s08_catalog_table", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def _q(t):
+    db = _database(t)
+    t.customer.select("c_custkey", "c_name", "c_nationkey").write.partitionBy("c_nationkey").saveAsTable(f"{db}.customer")
+    assert S.read_table(t.spark, f"{db}.customer", 7).count() == 7
+    return S.read_table(t.spark, f"{db}.customer")
+
+
+@query("s12_catalog_columns", """
+  SELECT column_name AS "column", CAST(row_number() OVER () - 1 AS INTEGER) AS ordinal, column_name = 'o_orderstatus' AS is_partition
+  FROM (SELECT column_name FROM (DESCRIBE orders) WHERE column_name <> 'o_orderstatus' UNION ALL SELECT 'o_orderstatus')""")
+def _q(t):
+    db = _database(t)
+    t.orders.write.partitionBy("o_orderstatus").saveAsTable(f"{db}.orders")
+    return S.catalog_columns(t.spark, db, "orders").select("column", "ordinal", "is_partition")
+
+
+@query("s13_catalog_stats", """
+  WITH c AS (SELECT c_custkey % 3 AS third, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 END AS few FROM customer)
+  SELECT 'third' AS "column", count(DISTINCT third) AS ndv, count(*) - count(third) AS num_nulls, min(third)::VARCHAR AS min, max(third)::VARCHAR AS max, true AS fresh FROM c
+  UNION ALL SELECT 'few', count(DISTINCT few), count(*) - count(few), min(few)::VARCHAR, max(few)::VARCHAR, true FROM c""")
+def _q(t):
+    db, k = _database(t), F.col("c_custkey")
+    t.customer.select((k % 3).alias("third"), F.when(k % 5 > 0, k % 5).alias("few")).write.saveAsTable(f"{db}.customer")
+    return S.catalog_stats(t.spark, f"{db}.customer", ["third", "few"], analyze=True)
+
+
+DERBY = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+def _derby(t, name: str, df) -> str:
+    """The rows as a table of a new database in memory."""
+    url = f"jdbc:derby:memory:m{uuid.uuid4().hex[:10]}"
+    df.write.jdbc(f"{url};create=true", name, properties=DERBY)
+    return url
+
+
+def _skewed(t):
+    """Keys that lie close together at the start and far apart at the end, some missing."""
+    k = F.col("o_orderkey")
+    return t.orders.select(F.when(k % 50 > 0, F.when(k % 10 > 0, k).otherwise(k * 1000)).alias("id"), k.alias("okey"), "o_totalprice")
+
+
+@query("s09_jdbc_split", "SELECT CASE WHEN o_orderkey % 50 > 0 THEN CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey ELSE o_orderkey * 1000 END END AS id, o_orderkey AS okey, o_totalprice FROM orders")
+def _q(t):
+    url = _derby(t, "orders_copy", _skewed(t))
+    out = S.read_jdbc_split(t.spark, url, "orders_copy", '"id"', 4, **DERBY)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]      # four rows
+    assert len(sizes) > 1, sizes
+    assert S.read_jdbc(t.spark, url, "orders_copy", 5, **DERBY).count() == 5
+    return out.select(*[F.col(c).alias(c.lower()) for c in out.columns])
+
+
+@query("s14_jdbc_metadata", """
+  SELECT c AS column_name, o AS ordinal_position, rows, num_nulls, ndv FROM (
+    SELECT 'ID' AS c, 1 AS o, count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS num_nulls, count(DISTINCT CASE WHEN o_orderkey % 50 > 0 THEN CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey ELSE o_orderkey * 1000 END END) AS ndv FROM orders
+    UNION ALL SELECT 'OKEY', 2, count(*), 0, count(DISTINCT o_orderkey) FROM orders
+    UNION ALL SELECT 'O_TOTALPRICE', 3, count(*), 0, count(DISTINCT o_totalprice) FROM orders)""")
+def _q(t):
+    df = _skewed(t)
+    url = _derby(t, "ORDERS_COPY", df.select(*[F.col(c).alias(c.upper()) for c in df.columns]))
+    # this database keeps its column list under other names than the information schema
+    view = """(SELECT s.schemaname AS table_schema, t.tablename AS table_name, c.columnname AS column_name, c.columnnumber AS ordinal_position, CAST(NULL AS VARCHAR(9)) AS data_type,
+               CAST(NULL AS VARCHAR(3)) AS is_nullable FROM sys.syscolumns c JOIN sys.systables t ON c.referenceid = t.tableid JOIN sys.sysschemas s ON s.schemaid = t.schemaid) AS columns_"""
+    columns = S.jdbc_metadata(t.spark, url, "APP", "ORDERS_COPY", view, **DERBY)
+    columns = columns.select(*[F.col(c).alias(c.lower()) for c in columns.columns])
+    stats = S.jdbc_stats(t.spark, url, "ORDERS_COPY", ['"ID"', '"OKEY"', '"O_TOTALPRICE"'], **DERBY).withColumn("column_name", F.trim(F.col("column"), F.lit('"')))
+    # one row per column on both sides
+    return columns.join(stats, "column_name").select("column_name", F.col("ordinal_position").cast("int").alias("ordinal_position"), "rows", "num_nulls", "ndv")
+
+
+STORED = f"""
+  SELECT 'dt=' || dt AS partition, CAST(3 AS BIGINT) AS results, count(*) FILTER (WHERE ok) AS passed FROM {FULL_CHECKS} GROUP BY dt"""
+
+
+def _stored_twice(t, store):
+    df = _daily(t)
+    store.validate(df.where("dt < '2024-01-10'"), "shop.events", ["dt"], EVENT_RULES, "d1", "2024-02-01 06:00:00")
+    store.validate(df, "shop.events", ["dt"], EVENT_RULES, "d1", "2024-02-01 18:00:00")      # known partitions are skipped
+    return store.table(St.RESULTS).groupBy("partition").agg(F.count(F.lit(1)).alias("results"), F.count_if("passed").alias("passed"))
+
+
+@query("s18_table_store", STORED)
+def _q(t):
+    return _stored_twice(t, St.TableStore(t.spark, _database(t), "parquet"))
+
+
+@query("s19_database_store", STORED)
+def _q(t):
+    return _stored_twice(t, St.JdbcStore(t.spark, f"jdbc:derby:memory:s{uuid.uuid4().hex[:10]};create=true", **DERBY))
+
+
 # --- streams ---------------------------------------------------------------------------------------------
 
 def _stream(t):

@@ -58,6 +58,55 @@ def read_jdbc(spark: SparkSession, url: str, table: str, rows: int | None = None
     return reader.option("query", bounded_query(url, table, rows)).load()
 
 
+def _asked(spark: SparkSession, url: str, query: str, **options: str) -> list:
+    """The rows of a small aggregate that the database computes."""
+    return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load().collect()
+
+
+def split_predicates(spark: SparkSession, url: str, table: str, column: str, partitions: int, bins: int = 1_000, **options: str) -> list[str]:
+    """Conditions on a numeric column that cut a database table into about ``partitions`` parts of like size, without a gap or an overlap.
+
+    The database itself gives the least and greatest value and counts rows in ``bins`` equal steps between them; cuts are laid where the running
+    count passes the next share, so values that lie unevenly still make even parts.  Rows without a value go with the first part.
+    """
+    if not re.fullmatch(r"[\w$\"`\[\]]+", column):
+        raise ValueError(f"not a column name: {column}")
+    bounded_query(url, table, None)                      # checks the table's name
+    number = f"CAST({column} AS DOUBLE PRECISION)"
+    lo, hi = _asked(spark, url, f"SELECT MIN({number}) AS lo, MAX({number}) AS hi FROM {table}", **options)[0]
+    if lo is None or hi <= lo or partitions < 2:
+        return ["1 = 1"]
+    step = (hi - lo) / bins
+    counted = _asked(spark, url, f"SELECT b, COUNT(*) AS n FROM (SELECT FLOOR(({number} - ({lo!r})) / {step!r}) AS b FROM {table} WHERE {column} IS NOT NULL) AS steps GROUP BY b", **options)
+    counts = sorted((min(int(r[0]), bins - 1), int(r[1])) for r in counted)
+    share, done, cuts = sum(n for _, n in counts) / partitions, 0, []
+    for b, n in counts:
+        if done >= share * (len(cuts) + 1):              # the rows before this step fill the next part
+            cuts.append(lo + b * step)
+        done += n
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{number} >= {a!r} AND {number} < {b!r}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{number} < {cuts[0]!r} OR {column} IS NULL", *inner, f"{number} >= {cuts[-1]!r}"]
+
+
+def read_jdbc_split(spark: SparkSession, url: str, table: str, column: str, partitions: int = 8, **options: str) -> DataFrame:
+    """A database table over several connections, one for each part of ``split_predicates``."""
+    return spark.read.jdbc(url, table, predicates=split_predicates(spark, url, table, column, partitions, **options), properties=options)
+
+
+def jdbc_stats(spark: SparkSession, url: str, table: str, columns: Sequence[str], **options: str) -> DataFrame:
+    """Rows, nulls, different values, least and greatest value (as text) per column; the database computes one small aggregate for each column."""
+    bounded_query(url, table, None)
+
+    def one(c: str) -> DataFrame:
+        asked = f"SELECT COUNT(*) AS n, COUNT({c}) AS filled, COUNT(DISTINCT {c}) AS d, MIN({c}) AS lo, MAX({c}) AS hi FROM {table}"
+        row = spark.read.format("jdbc").option("url", url).option("query", asked).options(**options).load()
+        return row.select(F.lit(c).alias("column"), F.col("n").cast("bigint").alias("rows"), (F.col("n") - F.col("filled")).cast("bigint").alias("num_nulls"), F.col("d").cast("bigint").alias("ndv"),
+                          F.col("lo").cast("string").alias("min"), F.col("hi").cast("string").alias("max"))
+    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+
+
 def conform(df: DataFrame, schema: T.StructType, validate_required: bool = True) -> DataFrame:
     """Match columns by name without case, cast softly, add missing ones as null, order by the schema.
 

@@ -129,3 +129,18 @@ def test_accepted_rows_on_all_partition_columns(spark):
     assert [tuple(r) for r in G.accepted_rows(df, verdicts, ["dt", "hour"]).collect()] == [("2024-01-01", 5)]
     with pytest.raises(Exception, match="partition columns differ"):
         G.accepted_rows(df, verdicts, "hour").collect()
+
+
+def test_database_splits_are_even_and_whole(spark):
+    url, derby = "jdbc:derby:memory:splits", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    k = F.col("id")
+    df = spark.range(1000).select(F.when(k % 40 > 0, F.when(k < 900, k * 0.5).otherwise(k * 1000.0)).alias("V"), k.alias("K"))
+    df.write.jdbc(f"{url};create=true", "T", properties=derby)
+    out = S.read_jdbc_split(spark, url, "T", "V", 4, **derby)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 2 and sum(sizes) == 1000 and sorted(r["K"] for r in out.collect()) == list(range(1000))
+    assert S.split_predicates(spark, url, "T", "V", 1, **derby) == ["1 = 1"]
+    with pytest.raises(ValueError):
+        S.split_predicates(spark, url, "T", "V; DROP TABLE T", 4, **derby)
+    stats = {r["column"]: (r["rows"], r["num_nulls"], r["ndv"]) for r in S.jdbc_stats(spark, url, "T", ["V", "K"], **derby).collect()}
+    assert stats == {"V": (1000, 25, 975), "K": (1000, 0, 1000)}
