@@ -18,7 +18,7 @@ WIDTH = 1 << 13               # buckets of n-grams
 SAMPLE = 300                  # documents learned from for each language: those with the smallest hash of their id
 LANDMARKS = 24                # of these, landmarks
 RIDGE = 0.1
-MAX_LANGUAGES = 200           # the most frequent ones
+SAMPLES, ROWS = 16_000, 1_600  # documents and landmarks of all languages together: with over 53 languages each has fewer, none is left out
 
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -47,12 +47,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS):
     """(languages, landmark rows, weights): learned from at most ``sample`` documents of each language, whole texts, never from held-out rows."""
     named = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     # an even draw by hash keeps what is sorted near the sample's size; exact counts make the rate
-    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return [], np.zeros((0, WIDTH), np.float32), np.zeros((0, 0), np.float32)
+    sample, landmarks = max(1, min(sample, SAMPLES // len(sizes))), max(1, min(landmarks, ROWS // len(sizes)))
     rate = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample / n + 50 / n)))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    rows = named.where(draw < rate).dropDuplicates(["doc_id"]).select("lang", "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_present, "lang string, doc_id string, row binary").collect()
+    text = F.col("text").cast("string")
+    # of rows with one id the one of least digest
+    drawn = named.where(draw < rate).groupBy("doc_id").agg(F.min(F.struct(F.sha2(text.cast("binary"), 256).alias("digest"), "lang", text.alias("text"))).alias("r"))
+    rows = drawn.select("r.lang", "doc_id", "r.text").mapInArrow(_present, "lang string, doc_id string, row binary").collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], bytes(r["row"]))):
         by.setdefault(r["lang"], []).append(np.unpackbits(np.frombuffer(r["row"], dtype=np.uint8)).astype(np.float32))

@@ -1,6 +1,7 @@
 """Held-out accuracy of the two learned operators, odd rows, and leaks planted under edits."""
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -89,3 +90,17 @@ def test_leak_spans_and_odd_rows(spark, odd, none):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(odd, items.limit(0)).count() == 0
     kept = decontaminate.keep(odd, items)
     assert kept.columns == odd.columns and kept.count() == 11
+
+
+def test_many_languages(spark):
+    """Every language is learned, however many there are; rows that share an id do not make the model depend on their order."""
+    rows = [(10 * i + k, f"{chr(0x4e00 + i)}{chr(0x5e00 + i)} " * (k + 2), f"l{i:03d}") for i in range(250) for k in range(6)] + [(0, "another text", "l001"), (0, "zzz", "l002")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = lang_id.train(docs)
+    learned = {lang for d, _, lang in rows if zlib.crc32(str(d).encode()) % 3 != 1}
+    assert set(model[0]) == learned and len(learned) > 240 and len(model[1]) <= lang_id.ROWS
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.predict(docs, model).collect()}
+    want = {d: lang for d, _, lang in rows if d and lang in learned}
+    assert sum(got[d] == lang for d, lang in want.items()) > 0.9 * len(want)
+    again = lang_id.train(spark.createDataFrame(rows[::-1], docs.schema).repartition(7))
+    assert (again[1] == model[1]).all() and again[0] == model[0]
