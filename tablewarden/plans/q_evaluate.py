@@ -188,7 +188,7 @@ def _q(t):
   SELECT column_name AS "column", least(5, CASE column_name WHEN 'c_mktsegment' THEN (SELECT count(DISTINCT c_mktsegment) FROM customer) WHEN 'c_name' THEN (SELECT count(DISTINCT c_name) FROM customer) END) AS n_samples
   FROM (DESCRIBE customer) WHERE column_name IN ('c_name', 'c_mktsegment')""")
 def _q(t):
-    cols = t.customer.limit(1).select(F.explode(F.array(F.lit("c_name"), F.lit("c_mktsegment"))).alias("column")).withColumn("is_pii", F.col("column") == "c_name")
+    cols = t.spark.createDataFrame([("c_name", True), ("c_mktsegment", False)], "column string, is_pii boolean")      # the contract
     return E.dataset(cols, t.customer).select("column", F.size("samples").cast("bigint").alias("n_samples"))
 
 
@@ -202,12 +202,14 @@ def _q(t):
 
 
 @query("e15_validate_corpus", """
-  SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_linenumber * 40 + 9 > n THEN 'outside text' END, CASE WHEN l_linenumber = 5 THEN 'unknown entity' END], lambda v: v IS NOT NULL)) AS violation
-     FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN (SELECT doc_id, length(text) AS n FROM documents) ON doc_id = l_orderkey) GROUP BY 1""")
+  SELECT violation, count(*) AS n FROM (
+    SELECT unnest(list_filter([CASE WHEN n IS NULL THEN 'no document' END, CASE WHEN e > n THEN 'outside text' END, CASE WHEN e <= s THEN 'empty span' END, CASE WHEN l_linenumber = 5 THEN 'unknown entity' END],
+                              lambda v: v IS NOT NULL)) AS violation
+    FROM (SELECT l_orderkey, l_linenumber, l_linenumber * 40 AS s, l_linenumber * 40 + CASE WHEN l_linenumber = 3 THEN 0 ELSE 9 END AS e FROM lineitem) LEFT JOIN (SELECT doc_id, length(text) AS n FROM documents) ON doc_id = l_orderkey
+    UNION ALL SELECT 'duplicate id' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY 1""")
 def _q(t):
-    g = t.lineitem.join(t.documents.select(F.col("doc_id").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber").distinct().select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("gid"), (F.col("l_linenumber") * 40).alias("start"), (F.col("l_linenumber") * 40 + 9).alias("end"),
-        F.when(F.col("l_linenumber") == 5, "WHAT").otherwise("PHONE").alias("entity_type"))
+    n = F.col("l_linenumber")
+    g = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), n.alias("gid"), (n * 40).alias("start"), (n * 40 + F.when(n == 3, 0).otherwise(9)).alias("end"), F.when(n == 5, "WHAT").otherwise("PHONE").alias("entity_type"))
     return E.validate(g, t.documents, ["PHONE"]).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 

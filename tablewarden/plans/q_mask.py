@@ -273,9 +273,7 @@ def _q(t):
 @query("k25_deid_columns", f"SELECT k, sha256(email) AS email, '[PHONE_NUMBER]' AS phone, host FROM {CONTACTS_SQL}")
 def _q(t):
     c = contacts(t)
-    ev = t.region.where("r_regionkey < 3").select(          # one evidence row per column
-        F.element_at(F.array(F.lit("email"), F.lit("phone"), F.lit("host")), F.col("r_regionkey") + 1).alias("column"),
-        F.element_at(F.array(F.lit("EMAIL"), F.lit("PHONE"), F.lit("IP_ADDRESS")), F.col("r_regionkey") + 1).alias("entity_type"), (F.col("r_regionkey") < 2).alias("detected"))
+    ev = t.spark.createDataFrame([("email", "EMAIL", True), ("phone", "PHONE", True), ("host", "IP_ADDRESS", False)], "column string, entity_type string, detected boolean")
     return M.deid_columns(c, ev, {"EMAIL_ADDRESS": M.MaskRule("*", "hash")}, MASTER).select("k", "email", "phone", "host")
 
 
@@ -284,8 +282,7 @@ def _q(t):
 def _q(t):
     k = F.col("o_orderkey")
     found = t.orders.select("o_orderkey", F.when(k % 3 == 0, "PERSON").when(k % 3 == 1, "CREDIT_CARD").otherwise("OTHER").alias("entity_type"), ((k % 10) / 10.0).alias("score"))
-    over = t.region.where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "person").otherwise("credit_card").alias("entity_type"),
-                                                    F.when(F.col("r_regionkey") == 0, "fake").otherwise("fpe").alias("strategy"), F.when(F.col("r_regionkey") == 0, 0.5).otherwise(0.0).alias("min_score"))
+    over = t.spark.createDataFrame([("person", "fake", 0.5), ("credit_card", "fpe", 0.0)], "entity_type string, strategy string, min_score double")
     return M.rule_for(found, over).select("o_orderkey", "strategy")
 
 
