@@ -49,11 +49,13 @@ def partition_text(parts: Sequence[str]) -> Column:
 def fingerprint(df: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
     """Content hash per partition, independent of row order and of how rows are split over tasks."""
     row_hash = F.xxhash64(*[col(c) for c in df.columns])
-    # decimal sum of 64-bit hashes cannot overflow at any table size
-    return df.groupBy(*[col(p) for p in parts]).agg(
-        F.sha2(F.concat_ws("|", F.sum(row_hash.cast("decimal(20,0)")).cast("string"),
-                           F.count(F.lit(1)).cast("string")), 256).alias("data_fingerprint"),
-        F.count(F.lit(1)).alias("row_count"))
+    return printed(df.groupBy(*[col(p) for p in parts]).agg(F.sum(row_hash.cast("decimal(20,0)")).alias("_hash"), F.count(F.lit(1)).alias("row_count")))
+
+
+def printed(sums: DataFrame) -> DataFrame:
+    """Sums of row hashes (``_hash``; decimals cannot overflow at any table size) and ``row_count`` as fingerprints."""
+    digest = F.sha2(F.concat_ws("|", F.col("_hash").cast("string"), F.col("row_count").cast("string")), 256)
+    return sums.select(*[col(c) for c in sums.columns if c not in ("_hash", "row_count")], digest.alias("data_fingerprint"), "row_count")
 
 
 def snapshot_fingerprint(spark: SparkSession, table: str) -> str:
@@ -64,9 +66,15 @@ def snapshot_fingerprint(spark: SparkSession, table: str) -> str:
 def record(df: DataFrame, table: str, parts: Sequence[str], rules: Sequence[Rule], rule_set_digest: str,
            validated_at: Column, contract_version: str = "", engine: str = "spark") -> tuple[DataFrame, DataFrame]:
     """Validate every partition in one job → (rule_results, partition_runs) in the stored shape."""
+    return shaped(validate_by(df, parts, rules), fingerprint(df, parts), table, parts, rules, rule_set_digest, validated_at, contract_version, engine)
+
+
+def shaped(checked: DataFrame, prints: DataFrame, table: str, parts: Sequence[str], rules: Sequence[Rule], rule_set_digest: str,
+           validated_at: Column, contract_version: str = "", engine: str = "spark") -> tuple[DataFrame, DataFrame]:
+    """Rule rows and fingerprints per partition → (rule_results, partition_runs) in the stored shape."""
     spec = partition_spec(F.col("partition"))
-    checked = validate_by(df, parts, rules).withColumn("partition", partition_text(parts)).drop(*parts)
-    prints = fingerprint(df, parts).withColumn("partition", partition_text(parts)).drop(*parts)
+    checked = checked.withColumn("partition", partition_text(parts)).drop(*parts)
+    prints = prints.withColumn("partition", partition_text(parts)).drop(*parts)
     owners = {r.rule_id: r.owner for r in rules}
     owner = F.lit("")
     for rid, name in owners.items():

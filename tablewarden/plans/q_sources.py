@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.operators import mask as M
+from tablewarden.operators import results as Rs
 from tablewarden.operators import rules as R
 from tablewarden.operators import text as X
 from tablewarden.operators.detect import catalog
@@ -284,6 +285,23 @@ def _q(t):
     return store.table(St.RUNS).select("partition", "row_count")
 
 
+@query("z02_record_increments", f"SELECT 'dt=' || dt AS partition, n AS row_count, true AS same FROM {FULL}")
+def _q(t):
+    store, files = St.ParquetStore(t.spark, scratch(t.spark, "increments")), scratch(t.spark, "increment-files")
+    t.events.repartition(3, "event_id").write.parquet(files)             # every day lies in every file
+    daily = lambda df: df.withColumn("dt", F.to_date("ts"))
+    sdf = daily(t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(files))
+    rules = [*EVENT_RULES, R.rule("column_values_to_be_unique", "event_id"), R.rule("column_unique_value_count_to_be_between", "event_type", max_value=3)]
+    Z.record_increments(sdf, "shop.events", ["dt"], rules, "d1", store, scratch(t.spark, "increment-sums"), scratch(t.spark, "increment-state")).awaitTermination()
+    whole, runs = Rs.record(daily(t.spark.read.schema(t.events.schema).parquet(files)), "shop.events", ["dt"], rules, "d1", F.lit("2024-02-01 00:00:00"))
+    same = ["partition", "rule_id", "passed", "unexpected_count", "observed", "message"]
+    last = Rs.latest_runs(store.table(St.RUNS)).select("partition", "run_id", "row_count", "data_fingerprint")
+    kept = store.table(St.RESULTS).join(last.select("run_id"), "run_id", "left_semi").select(*same)
+    odd = kept.exceptAll(whole.select(*same)).unionByName(whole.select(*same).exceptAll(kept)).select("partition").distinct().withColumn("_odd", F.lit(True))
+    prints = last.join(runs.select("partition", F.col("data_fingerprint").alias("_print")), "partition").join(odd, "partition", "left")
+    return prints.select("partition", "row_count", (F.col("_odd").isNull() & (F.col("data_fingerprint") == F.col("_print"))).alias("same"))
+
+
 @query("z03_mask_stream", "SELECT event_id, sha256(event_type) AS event_type FROM events")
 def _q(t):
     out = scratch(t.spark, "mask")

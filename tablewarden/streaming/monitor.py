@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablewarden.functions.columns import col
 from tablewarden.operators import mask as M
-from tablewarden.operators.rules import Rule, _result_struct, compile_rule
+from tablewarden.operators import results as R
+from tablewarden.operators.rules import Rule, _result_struct, beside, compile_all, compile_rule, finished, key_counts, key_sums
 from tablewarden.sources.stores import Store
 
 
@@ -74,6 +75,46 @@ def record(sdf: DataFrame, table: str, parts: Sequence[str], rules: Sequence[Rul
     return sdf.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def record_increments(sdf: DataFrame, table: str, parts: Sequence[str], rules: Sequence[Rule], digest: str, store: Store, state: str, checkpoint: str) -> StreamingQuery:
+    """As ``record``, but a micro-batch reads its own rows only: partial results of each batch are kept under ``state`` and added up.
+
+    Rules must be additive (row rules, row counts) or on distinct values.  A batch leaves one row of counts and a sum of row hashes for each partition it
+    touches, and one row for each (partition, key, digest) it holds; a run adds up the rows of all batches for the touched partitions.  So what is
+    read grows with the batch and with the keys of its partitions, never with the source.  Results and fingerprints equal those of a batch run over
+    the whole partitions.  A batch that runs again overwrites its own rows, and the run key makes its runs a no-op.
+    """
+    names = [col(p) for p in parts]
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        plans = compile_all(batch, rules)
+        refused = [r.kind for r, p in zip(rules, plans) if not (p.distinct or p.additive or not (p.aggs or p.side or p.quantiles))]
+        if refused:
+            raise ValueError(f"does not add up over micro-batches: {', '.join(refused)}")
+        keys = list(dict.fromkeys(p.distinct for p in plans if p.distinct))
+        counts = [c.alias(f"r{i}_{n}") for i, p in enumerate(plans) for n, c in p.aggs.items()]
+        row_hash = F.xxhash64(*[col(c) for c in batch.columns]).cast("decimal(20,0)")
+        partial = batch.groupBy(*names).agg(F.sum(row_hash).cast("decimal(38,0)").alias("_hash"), F.count(F.lit(1)).alias("row_count"), *counts)
+        partial.write.mode("overwrite").parquet(f"{state}/counts/batch={batch_id}")
+        mine = spark.read.parquet(f"{state}/counts/batch={batch_id}").select(*names)
+
+        def touched(kind: str) -> DataFrame:
+            rows = spark.read.parquet(f"{state}/{kind}").drop("batch")
+            same = reduce(lambda a, b: a & b, [rows[p].eqNullSafe(mine[p]) for p in parts])
+            return rows.join(mine, same, "left_semi")
+        sums = touched("counts")
+        added = sums.groupBy(*names).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in parts])
+        wide = [added.drop("_hash", "row_count")]
+        if keys:
+            key_counts(batch, parts, keys).write.mode("overwrite").parquet(f"{state}/keys/batch={batch_id}")
+            whole = touched("keys").groupBy(*names, "_k", "_a", "_b").agg(F.sum("_n").alias("_n"))
+            wide.append(key_sums(whole, parts, len(keys)))
+        checked = finished(beside(wide, parts), parts, rules, plans, keys)
+        stamp = spark.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss.SSSSSS')").first()[0]
+        store.keep(*R.shaped(checked, R.printed(added.select(*names, "_hash", "row_count")), table, parts, rules, digest, F.lit(stamp)))
+    return sdf.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def mask(sdf: DataFrame, plan: Sequence[M.MaskRule], master: bytes) -> DataFrame:
     """Mask in flight: stateless expressions, so any stream and any output mode."""
     return M.apply(sdf, plan, master)

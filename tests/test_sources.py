@@ -88,6 +88,16 @@ def test_open_windows_are_reported_and_closed_later(spark, tmp_path):
     assert got(run()) == [(1, 2, 1, True), (2, 1, 0, True), (3, 2, 1, True), (5, 1, 0, False)]
 
 
+def test_increments_refuse_what_does_not_add_up(spark, tmp_path):
+    from tablewarden.streaming.monitor import record_increments
+    spark.range(5).selectExpr("id AS v", "1 AS p").write.parquet(str(tmp_path / "in"))
+    sdf = spark.readStream.schema("v long, p int").parquet(str(tmp_path / "in"))
+    store = St.ParquetStore(spark, str(tmp_path / "store"))
+    with pytest.raises(Exception, match="does not add up"):
+        record_increments(sdf, "t", ["p"], [R.rule("column_mean_to_be_between", "v", min_value=0)], "d", store, str(tmp_path / "sums"), str(tmp_path / "state")).awaitTermination()
+    assert store.table(St.RUNS).count() == 0
+
+
 def test_stream_refuses_exact_distinct(spark):
     from tablewarden.streaming.monitor import monitor
     sdf = spark.readStream.format("rate").load()
