@@ -245,7 +245,7 @@ PHONE_PLANS = [
 
 
 def phone(c: Column, region: str = "EG") -> Column:
-    """struct(valid, mobile, region) by the numbering-plan table.
+    """struct(valid, mobile, region, unknown) by the numbering-plan table; ``unknown``: the country code is in none of its plans, so the number is not judged.
 
     This is plan arithmetic (country code, length, mobile prefix), not a full numbering library: a number
     inside an unassigned range of a valid length counts as valid.
@@ -253,7 +253,7 @@ def phone(c: Column, region: str = "EG") -> Column:
     plans = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(cc).alias("cc"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
                                F.array(*[F.lit(m) for m in mob.split()]).alias("mob")) for r, cc, lo, hi, mob in PHONE_PLANS])
     is_date = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$|^\d{1,2}[-/]\d{1,2}[-/]\d{4}$"
-    none = F.struct(F.lit(False).alias("valid"), F.lit(False).alias("mobile"), F.lit(None).cast("string").alias("region"))
+    none = F.struct(F.lit(False).alias("valid"), F.lit(False).alias("mobile"), F.lit(None).cast("string").alias("region"), F.lit(False).alias("unknown"))
 
     def split(s: Column) -> Column:
         d = digits_of(s)
@@ -268,7 +268,9 @@ def phone(c: Column, region: str = "EG") -> Column:
         return let(F.when(x["e164"].isNotNull(), abroad).otherwise(home), lambda p: let(
             F.when(x["e164"].isNotNull(), F.substr(x["e164"], F.length(p["cc"]) + 1)).otherwise(x["local"]),
             lambda n: F.when(x["shaped"] & p.isNotNull() & F.length(n).between(p["lo"], p["hi"]) & n.rlike("^[1-9]"), F.struct(
-                F.lit(True).alias("valid"), F.exists(p["mob"], lambda m: F.startswith(n, m)).alias("mobile"), p["r"].alias("region")))))
+                F.lit(True).alias("valid"), F.exists(p["mob"], lambda m: F.startswith(n, m)).alias("mobile"), p["r"].alias("region"), F.lit(False).alias("unknown")))
+            .when(x["shaped"] & p.isNull() & F.length(x["e164"]).between(8, 15), F.struct(
+                F.lit(False).alias("valid"), F.lit(False).alias("mobile"), F.lit(None).cast("string").alias("region"), F.lit(True).alias("unknown")))))
     return F.coalesce(let(let(F.trim(c), split), planned), none)
 
 

@@ -319,10 +319,10 @@ def phone_gate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def phone_rates(df: DataFrame, column: str, region: str = "EG") -> DataFrame:
-    """Valid and mobile rate over all values of the column."""
+    """Valid and mobile rate over all values of the column; ``unknown_plan`` counts numbers whose country code has no plan here (they are not valid, nor known to be wrong)."""
     return df.select(C.phone(col(column), region).alias("p")).agg(
         F.count(F.lit(1)).alias("total"), count_if(F.col("p.valid")).alias("valid"), count_if(F.col("p.mobile")).alias("mobile"),
-        ratio(count_if(F.col("p.valid")), F.count(F.lit(1))).alias("valid_rate"),
+        count_if(F.col("p.unknown")).alias("unknown_plan"), ratio(count_if(F.col("p.valid")), F.count(F.lit(1))).alias("valid_rate"),
         ratio(count_if(F.col("p.mobile")), F.count(F.lit(1))).alias("mobile_rate"),
         F.array_sort(F.collect_set("p.region")).alias("regions"))          # one entry per plan region
 

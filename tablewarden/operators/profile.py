@@ -262,7 +262,7 @@ def frequency(df: DataFrame, columns: Sequence[str] | None = None, top: int = 20
 
 
 def summarize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The quick summary: bounded sketches only, so one pass at any size; min and max in the order of the column's own type."""
+    """The quick summary: bounded sketches only, so one pass over up to 200 columns at any size; min and max in the order of the column's own type."""
     names = list(columns or scalar_columns(df))
 
     def of(c: str) -> Column:
@@ -273,7 +273,7 @@ def summarize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             F.lit(c).alias("column"), F.min(v).cast("string").alias("min"), F.max(v).cast("string").alias("max"), F.approx_count_distinct(v).alias("approx_unique"),
             F.avg(x).alias("avg"), F.stddev_samp(x).alias("std"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.count(v).alias("count"),
             (100.0 * F.count_if(v.isNull()) / F.count(F.lit(1))).alias("null_percentage"))
-    row = one_row(df, [of(c).alias(f"s{i}") for i, c in enumerate(names)], 20)
+    row = one_row(df, [of(c).alias(f"s{i}") for i, c in enumerate(names)], 200)
     return row.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))])))
 
 

@@ -223,7 +223,7 @@ _check("c15_eth", "eth", lambda: F.concat(F.lit("0x"), F.substring(F.sha2(KS(),
        "'0x' || left(sha256(o_orderkey::VARCHAR), CASE WHEN o_orderkey % 5 = 0 THEN 39 ELSE 40 END)", "regexp_matches(v, '^0x[0-9a-fA-F]{40}$')")
 
 
-@query("c16_btc")
+@query("c16_btc", "SELECT o_orderkey % 4 AS m, o_orderkey % 2 = 0 AS valid, count(*) AS n FROM orders GROUP BY ALL")
 def _q(t):
     # the address of the public genesis block, and the same with one character changed
     v = F.when(K() % 2 == 0, "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa").otherwise(F.concat(F.lit("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfN"), F.when(K() % 4 == 1, "b").otherwise("0")))
@@ -393,13 +393,13 @@ def _q(t):
 
 
 @query("c30_phone_rates", """
-  SELECT count(*) AS total, count(*) FILTER (WHERE m < 5) AS valid, count(*) FILTER (WHERE m IN (0, 1, 4)) AS mobile FROM (SELECT o_orderkey % 6 AS m FROM orders)""")
+  SELECT count(*) AS total, count(*) FILTER (WHERE m < 5) AS valid, count(*) FILTER (WHERE m IN (0, 1, 4)) AS mobile, count(*) FILTER (WHERE m = 5) AS unknown_plan FROM (SELECT o_orderkey % 6 AS m FROM orders)""")
 def _q(t):
     tail = F.lpad((K() % 10000000).cast("string"), 7, "1")
     v = F.when(K() % 6 == 0, F.concat(F.lit("+9665"), tail, F.lit("0"))).when(K() % 6 == 1, F.concat(F.lit("+2010"), tail, F.lit("0"))) \
         .when(K() % 6 == 2, F.concat(F.lit("+962 6 "), tail)).when(K() % 6 == 3, F.concat(F.lit("+202"), tail, F.lit("1"))) \
         .when(K() % 6 == 4, F.concat(F.lit("0100"), tail)).otherwise(F.concat(F.lit("+999"), tail))
-    return P.phone_rates(t.orders.select(v.alias("v")), "v").select("total", "valid", "mobile")
+    return P.phone_rates(t.orders.select(v.alias("v")), "v").select("total", "valid", "mobile", "unknown_plan")
 
 
 @query("c31_checksum_rates", f"""

@@ -243,13 +243,16 @@ def _q(t):
                        M.MaskRule("note", "fake", {"kind": "free_text", "redact": False})]).select("column", "severity", "issue")
 
 
-@query("k23_compare_and_manifest")
+@query("k23_compare_and_manifest", """
+  SELECT 'sample' AS part, least(20, count(*)) AS n, true AS right FROM customer UNION ALL SELECT 'manifest email hash', 1, true UNION ALL SELECT 'manifest card fpe', 1, true""")
 def _q(t):
     plan = [M.MaskRule("email", "hash", {"truncate": 8}), M.MaskRule("card", "fpe", {"key_ref": "k1"})]
     side = M.compare(contacts(t), plan, MASTER, 20)
-    shown = side.select(F.lit("sample").alias("part"), F.col("email.original").alias("a"), F.col("email.masked").alias("b"))
-    listed = M.manifest(plan, t.spark).select(F.lit("manifest").alias("part"), F.col("column").alias("a"), F.col("strategy").alias("b"))
-    return shown.unionByName(listed)
+    right = (F.col("email.masked") == F.substring(F.sha2("email.original", 256), 1, 8)) & (F.col("card.masked") != F.col("card.original")) & (F.length("card.masked") == F.length("card.original"))
+    shown = side.agg(F.lit("sample").alias("part"), F.count(F.lit(1)).alias("n"), F.every(right).alias("right"))
+    clean = ~F.to_json(F.struct("params")).contains(MASTER.hex())
+    listed = M.manifest(plan, t.spark).groupBy("column", "strategy").agg(F.count(F.lit(1)).alias("n"), F.every(clean).alias("right"))
+    return shown.unionByName(listed.select(F.concat_ws(" ", F.lit("manifest"), "column", "strategy").alias("part"), "n", "right"))
 
 
 EMAIL_SPAN = r"(^|[^\pL\pN_])([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})"

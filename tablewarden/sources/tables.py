@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,10 +149,13 @@ def read_text_dir(spark: SparkSession, root: str, glob: str = "*.txt", recursive
 
 def placed_ids(rows: DataFrame, given: Column, content: Column) -> DataFrame:
     """``doc_id``: the given id, else ``row-`` and a digest of file and content, numbered where equal rows repeat: the same however the input is split."""
+    names = rows.columns
     rows = rows.withColumns({"_given": given, "_print": F.substring(F.sha2(content, 256), 1, 24)})
-    nth = F.row_number().over(W.partitionBy("_print").orderBy("_print"))
-    placed = rows.where("_given IS NULL").withColumn("_nth", nth).select(F.concat(F.lit("row-"), "_print", F.when(F.col("_nth") > 1, F.concat(F.lit("-"), F.col("_nth").cast("string"))).otherwise("")).alias("doc_id"), *rows.columns)
-    return rows.where("_given IS NOT NULL").select(F.col("_given").alias("doc_id"), *rows.columns).unionByName(placed).drop("_given", "_print")
+    # rows of one digest are equal: they combine to one row with a count inside each task, and the count makes them many again
+    same = rows.where("_given IS NULL").groupBy("_print").agg(F.count(F.lit(1)).cast("int").alias("_n"), *[F.first(col(c)).alias(c) for c in names])
+    nth = same.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_nth"))
+    placed = nth.select(F.concat(F.lit("row-"), "_print", F.when(F.col("_nth") > 1, F.concat(F.lit("-"), F.col("_nth").cast("string"))).otherwise("")).alias("doc_id"), *[col(c) for c in names])
+    return rows.where("_given IS NOT NULL").select(F.col("_given").alias("doc_id"), *[col(c) for c in names]).unionByName(placed)
 
 
 def read_csv_docs(spark: SparkSession, path: str, text_column: str, id_column: str | None = None, sep: str = ",", multi_line: bool = False) -> DataFrame:
