@@ -1,16 +1,19 @@
 """Chat formatting by perspective rotation.
 
 Every participant of a conversation (each role but ``system``) gets a rendering of the dialogue in which that speaker is the assistant
-and all others are named users; the loss mask covers exactly the assistant's own words.  A long conversation is rendered in
-segments of at most ``SEGMENT`` turns, so no row or group is unbounded.
+and all others are named users; the loss mask covers exactly the assistant's own words.  A conversation of up to ``SEGMENT`` turns is
+one dialogue.  A longer one is rendered in stretches of that many turns, counted in their order, and every later stretch begins with the system
+turns that open the conversation; so no row or group is unbounded, and no turn is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 64
+from tablewarden.llm.merkle import ranked
+
+SEGMENT = 1_024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -20,19 +23,24 @@ def safe(c: Column) -> Column:
 
 
 def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Per conversation, perspective and segment: ``text``, ``mask`` (spans [begin, end) in code points of the assistant's words), ``n_turns``.
+    """Per conversation, perspective and segment: ``text``, ``mask`` (spans [begin, end) in code points of the assistant's words), ``n_turns``, ``carried``.
 
     Turns are ordered by turn, role and text, nulls first.  A null role is the participant ``unknown``, a null text is empty, all rows without a
-    conv_id form one conversation.  ``segment`` counts stretches of ``turn`` values, ``part`` splits a stretch that repeated turn values
-    overfill.  A conversation of system turns alone has no participant and no row; repeated rows stay repeated turns.
+    conv_id form one conversation.  ``n_turns`` counts the segment's own turns, ``carried`` the opening system turns put before them.  A conversation of
+    system turns alone has no participant and no row; repeated rows stay repeated turns.  Places in a conversation come from sorted ranges that are
+    counted and added up, so a conversation may hold a third of all turns; only segments are gathered.  Other columns are not read.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("_who"), safe(F.col("text")).alias("_text"),
-                        F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("bigint").alias("segment"))
-    order = W.partitionBy("conv_id", "segment").orderBy("turn", "_who", "_text")
-    rows = rows.withColumn("_nth", F.row_number().over(order)).withColumn("part", F.floor((F.col("_nth") - 1) / segment).cast("bigint"))
-    people = rows.where("_who <> 'system'").groupBy("conv_id", "_who").agg(F.count(F.lit(1)).alias("_spoken")).select("conv_id", F.col("_who").alias("perspective"))
-    grouped = rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("_nth", "_who", "_text"))).alias("_turns"))
-    paired = grouped.join(people.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    named = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("_part")
+    rows = ranked(turns.select("conv_id", named, "turn", F.coalesce("role", F.lit("unknown")).alias("_who"), safe(F.col("text")).alias("_text")), ["turn", "_who", "_text"])
+    people = rows.where("_who <> 'system'").groupBy("_part", "_who").agg(F.count(F.lit(1)).alias("_spoken")).select("_part", F.col("_who").alias("perspective"))
+    grouped = rows.groupBy("_part", "conv_id", "_n", F.floor(F.col("_rank") / segment).alias("segment")).agg(F.array_sort(F.collect_list(F.struct("_rank", "_who", "_text"))).alias("_turns"))
+    opening = F.filter("_turns", lambda t: (t["_who"] == "system") & (t["_rank"] < F.coalesce(
+        F.array_min(F.transform(F.filter("_turns", lambda u: u["_who"] != "system"), lambda u: u["_rank"])), F.lit(segment))))
+    opened = grouped.where((F.col("segment") == 0) & (F.col("_n") > segment)).select("_part", opening.alias("_opening"))
+    led = grouped.join(opened, "_part", "left").withColumn("_opening", F.when(F.col("segment") > 0, F.col("_opening")))
+    led = led.withColumns({"carried": F.coalesce(F.size("_opening"), F.lit(0)).cast("bigint"), "n_turns": F.size("_turns").cast("bigint"),
+                           "_turns": F.when(F.col("_opening").isNull(), F.col("_turns")).otherwise(F.concat("_opening", "_turns"))})
+    paired = led.join(people, "_part")
 
     def head(t: Column) -> Column:
         me = t["_who"] == F.col("perspective")
@@ -49,6 +57,6 @@ def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         return F.struct((end + len(CLOSE)).cast("bigint").alias("at"), F.when(p["own"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     return paired.withColumn("_pieces", pieces).select(
-        "conv_id", "perspective", "segment", "part",
+        "conv_id", "perspective", "segment",
         F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "").alias("text"),
-        F.aggregate("_pieces", start, step)["spans"].alias("mask"), F.size("_turns").cast("bigint").alias("n_turns"))
+        F.aggregate("_pieces", start, step)["spans"].alias("mask"), "n_turns", "carried")

@@ -26,21 +26,23 @@ def query(name: str, sql: str | None = None):
 
 
 @query("op4_chat_rotation", rf"""
-  WITH rows AS (
-    SELECT conv_id, turn, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') AS body,
-           coalesce(CAST(floor(turn / {chat.SEGMENT}) AS BIGINT), -1) AS segment FROM conversations),
-  numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, who, body) AS nth FROM rows),
-  turns AS (SELECT *, CAST((nth - 1) // {chat.SEGMENT} AS BIGINT) AS part FROM numbered),
+  WITH rows AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+  turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, body) - 1 AS nth FROM rows),
+  openings AS (SELECT * FROM (SELECT *, min(CASE WHEN who <> 'system' THEN nth END) OVER (PARTITION BY conv_id) AS first FROM turns) WHERE who = 'system' AND nth < coalesce(first, nth + 1) AND nth < {chat.SEGMENT}),
+  segments AS (SELECT DISTINCT conv_id, nth // {chat.SEGMENT} AS segment FROM turns),
+  shown AS (
+    SELECT conv_id, who, body, nth, nth // {chat.SEGMENT} AS segment, false AS extra FROM turns
+    UNION ALL SELECT s.conv_id, who, body, nth, s.segment, true FROM segments s JOIN openings o ON o.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.segment > 0),
   people AS (SELECT DISTINCT conv_id, who AS perspective FROM rows WHERE who <> 'system'),
   pieces AS (
     SELECT t.*, p.perspective, who = perspective AS own,
            '<|im_start|>' || CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || replace(who, '<|', '< |') END || chr(10) AS head
-    FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+    FROM shown t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
   placed AS (
-    SELECT *, CAST(sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, perspective, segment, part ORDER BY nth) - length(body) - 11 AS BIGINT) AS beginning FROM pieces)
-  SELECT conv_id, perspective, segment, part, string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY nth) AS text,
-         string_agg(beginning || '-' || (beginning + length(body)), ',' ORDER BY nth) FILTER (WHERE own) AS mask, count(*) AS n_turns
-  FROM placed GROUP BY ALL""")
+    SELECT *, CAST(sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, perspective, segment ORDER BY nth) - length(body) - 11 AS BIGINT) AS beginning FROM pieces)
+  SELECT conv_id, perspective, segment, string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY nth) AS text,
+         string_agg(beginning || '-' || (beginning + length(body)), ',' ORDER BY nth) FILTER (WHERE own) AS mask, count(*) FILTER (WHERE NOT extra) AS n_turns, count(*) FILTER (WHERE extra) AS carried
+  FROM placed GROUP BY conv_id, perspective, segment""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     spans = F.array_join(F.transform("mask", lambda s: F.concat(s["begin"], F.lit("-"), s["end"])), ",")

@@ -37,12 +37,23 @@ def test_rotation(spark):
     assert got[None, "unknown"]["n_turns"] == 1 and chat.rotate(turns.limit(0)).count() == 0
 
 
-def test_long_conversations_are_cut(spark):
-    turns = spark.range(300).select(F.lit(1).alias("conv_id"), F.when(F.col("id") < 150, F.lit(5)).otherwise(F.col("id")).alias("turn"),
-                                    F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.lit("hi").alias("text"))
-    got = chat.rotate(turns).collect()
-    assert max(r["n_turns"] for r in got) <= chat.SEGMENT and sum(r["n_turns"] for r in got if r["perspective"] == "a") == 300
-    assert sum(len(r["mask"]) for r in got) == 300
+def test_long_conversations(spark):
+    """Turn values may be sparse or equal: stretches are counted in order, whole up to the limit, and later ones begin with the opening system turns."""
+    sent = [(1, None, "system", "be kind")] + [(1, -5, "system", "be brief")] + [(1, 1000 * i if i > 100 else 7, "ab"[i % 2], f"t{i:03d}") for i in range(300)] + [(1, 10 ** 9, "system", "late"), (2, 5, "a", "x")]
+    turns = spark.createDataFrame(sent, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash")).withColumn("_rank", F.lit("clash")).repartition(5)
+    whole = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(turns).collect()}
+    assert set(whole) == {(1, "a"), (1, "b"), (2, "a")} and whole[1, "a"]["n_turns"] == 303 and whole[1, "a"]["carried"] == 0
+    assert [whole[1, "a"]["text"][s["begin"]:s["end"]] for s in whole[1, "a"]["mask"]][-1] == "t298" and len(whole[1, "b"]["mask"]) == 150
+    cut = chat.rotate(turns, 64).where("conv_id = 1 AND perspective = 'b'").orderBy("segment").collect()
+    assert [(r["segment"], r["n_turns"], r["carried"]) for r in cut] == [(0, 64, 0), (1, 64, 2), (2, 64, 2), (3, 64, 2), (4, 47, 2)]
+    head = "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>system\nbe brief<|im_end|>\n"
+    assert all(r["text"].startswith(head) for r in cut) and cut[0]["text"] + "".join(r["text"][len(head):] for r in cut[1:]) == whole[1, "b"]["text"]
+    for r in cut:
+        assert all(r["text"][s["begin"]:s["end"]].startswith("t") for s in r["mask"])
+    assert sum(len(r["mask"]) for r in cut) == 150
+    long = spark.createDataFrame([(3, 0, "a", "é " * 400_000), (3, 0, "a", "é " * 400_000), (3, 1, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r["perspective"]: r for r in chat.rotate(long).collect()}
+    assert set(got) == {"a", "unknown"} and [s["end"] - s["begin"] for s in got["a"]["mask"]] == [800_000] * 2
 
 
 def brute_measures(text):
