@@ -233,9 +233,8 @@ def ranked_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = numbered.select(F.col("_row").alias("row"), F.inline(entries)).where("x is not null").select("k", F.when(F.isnan("x"), F.lit(float("inf"))).otherwise(F.col("x")).alias("x"), "row")
     dealt = long.repartitionByRange("k", "x", "row").sortWithinPartitions("k", "x")
     edges = dealt.mapInArrow(_edge_runs, "k int, task int, edge int, start bigint, n bigint, value double, rows bigint")
-    heads = edges.where("edge = 1")
-    offsets = heads.select("k", "task", F.coalesce(F.sum("rows").over(W.partitionBy("k").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    spots = edges.join(offsets, ["k", "task"])
+    earlier = W.partitionBy("k").orderBy("task").rangeBetween(W.unboundedPreceding, -1)
+    spots = edges.withColumn("before", F.coalesce(F.sum(F.when(F.col("edge") == 1, F.col("rows"))).over(earlier), F.lit(0)))
     whole = W.partitionBy("k", "value")
     spots = spots.select("k", "task", "edge", "before", (F.min(F.col("before") + F.col("start")).over(whole) + (F.sum("n").over(whole) + 1) / 2).alias("rank"))
     borders = spots.groupBy("k", "task").agg(F.max("before").alias("before"), F.max(F.when(F.col("edge") == 1, F.col("rank"))).alias("head"), F.max(F.when(F.col("edge") == 2, F.col("rank"))).alias("tail"))
