@@ -52,10 +52,15 @@ def decrypt(c: Column, key: bytes) -> Column:
 
 def random_hex(label: Column, key: bytes, blocks: Column | int = 1) -> Column:
     """A keyed hex stream that depends on the label only: the same value gets the same fake everywhere."""
-    n = F.lit(blocks) if isinstance(blocks, int) else blocks
     if isinstance(blocks, int) and blocks == 1:
         return hmac_sha256(F.concat(label, F.lit("|0")), key)
-    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: hmac_sha256(F.concat(label, F.lit("|"), i.cast("string")), key)), "")
+    return F.array_join(random_blocks(label, key, blocks), "")
+
+
+def random_blocks(label: Column, key: bytes, blocks: Column | int) -> Column:
+    """The blocks of ``random_hex`` as an array: a draw from one of them need not walk the whole stream."""
+    n = F.lit(blocks) if isinstance(blocks, int) else blocks
+    return let(label, lambda x: F.transform(F.sequence(F.lit(0), n - 1), lambda i: hmac_sha256(F.concat(x, F.lit("|"), i.cast("string")), key)))
 
 
 def draw(stream: Column, i: int | Column, n: int) -> Column:
@@ -107,9 +112,18 @@ def _round_words(tweak: bytes) -> list[str]:
     return words
 
 
-def _swap_bytes(h: Column, size: int) -> Column:
-    """Hex text of ``size`` bytes in reverse byte order."""
-    return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
+NIBBLES = 0x0F0F0F0F0F0F0F
+
+
+def _swap_nibbles(x: Column) -> Column:
+    """The two hex digits of each byte of a number below 2**56, exchanged: with the hex text reversed, that reverses its bytes."""
+    mask = F.lit(NIBBLES).cast("bigint")
+    return F.shiftleft(x.bitwiseAND(mask), 4).bitwiseOR(F.shiftright(x, 4).bitwiseAND(mask))
+
+
+def _little_endian(x: Column, size: int) -> Column:
+    """Hex text of the ``size`` bytes (7 at most) of a bigint, least byte first."""
+    return F.reverse(F.lpad(F.hex(_swap_nibbles(x)), 2 * size, "0"))
 
 
 def ff3(core: Column, key: bytes, tweak: bytes, alphabet: str = "digits", reverse: bool = False, narrow: bool = False) -> Column:
@@ -123,6 +137,8 @@ def ff3(core: Column, key: bytes, tweak: bytes, alphabet: str = "digits", revers
     radix, _, longest = domain_limits(alphabet)
     num_type = "bigint" if narrow else NUM
     half = _narrow_half(radix) if narrow else longest // 2
+    fit = math.floor(62 / math.log2(radix))       # characters whose number fits a bigint; a half has twice as many at most
+    steps = F.array(*[F.lit(radix ** i).cast("bigint") for i in range(fit)])
     powers = F.array(*[F.lit(str(radix ** i)).cast(num_type) for i in range(half + 2)])
     words = lit_list(_round_words(tweak))
     aes_key = F.lit(bytearray(key[:32][::-1]))
@@ -130,31 +146,39 @@ def ff3(core: Column, key: bytes, tweak: bytes, alphabet: str = "digits", revers
     def number(text: Column) -> Column:
         if decimal_digits:
             return F.reverse(text).cast(num_type)
-        return F.aggregate(F.reverse(characters(text)), F.lit(0).cast(num_type),
-                           lambda acc, ch: (acc * radix + F.instr(F.lit(alpha), ch) - 1).cast(num_type))
+
+        def piece(at: int) -> Column:
+            return F.aggregate(F.reverse(characters(F.substring(text, at + 1, fit))), F.lit(0).cast("bigint"), lambda acc, ch: acc * radix + F.instr(F.lit(alpha), ch) - 1)
+        total = piece(0).cast(num_type)
+        for at in range(fit, half, fit):
+            total = (total + piece(at).cast(num_type) * F.lit(str(radix ** at)).cast(num_type)).cast(num_type)
+        return total
 
     def little_endian_hex(num: Column) -> Column:
         if narrow:
-            return F.concat(let(F.lpad(F.hex(num), 8, "0"), lambda h: _swap_bytes(h, 4)), F.lit("0" * 16))
+            return F.concat(_little_endian(num, 4), F.lit("0" * 16))
 
-        def step(acc: Column, _i: Column) -> Column:
-            byte = acc["rest"] % 256
-            return F.struct(((acc["rest"] - byte) / 256).cast(NUM).alias("rest"),
-                            F.concat(acc["out"], F.lpad(F.hex(byte.cast("int")), 2, "0")).alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(num.alias("rest"), F.lit("").alias("out")), step, lambda a: a["out"])
+        def words_of(low: Column) -> Column:
+            return F.concat(_little_endian(low.cast("bigint"), 6), _little_endian(((num - low) / F.lit(1 << 48).cast(NUM)).cast("bigint"), 6))
+        return let((num % F.lit(1 << 48).cast(NUM)).cast(NUM), words_of)
 
     def keyed(num: Column, i: Column, modulus: Column) -> Column:
         block = F.unhex(F.concat(little_endian_hex(num), F.get(words, i)))
-        cipher = F.hex(F.aes_encrypt(block, aes_key, F.lit("ECB")))
+        cipher = F.reverse(F.hex(F.aes_encrypt(block, aes_key, F.lit("ECB")).substr(1, 16)))
+
+        def piece(h: Column, at: int, size: int) -> Column:
+            return _swap_nibbles(F.conv(F.substring(h, at + 1, size), 16, 10).cast("bigint"))
 
         def remainder(h: Column) -> Column:
             """The 128-bit number mod the modulus, as many bits at a time as the number type leaves room for."""
-            size = 8 if narrow else 4
-            acc = F.lit(0).cast(num_type)
-            for k in range(32 // size):
-                acc = ((acc * (16 ** size) + F.conv(F.substring(h, size * k + 1, size), 16, 10).cast("bigint")) % modulus).cast(num_type)
-            return acc
-        return let(cipher, lambda h: let(_swap_bytes(h, 16), remainder))
+            if narrow:
+                acc = piece(h, 0, 8) % modulus
+                for at in (8, 16, 24):
+                    acc = (F.shiftleft(acc, 32) + piece(h, at, 8)) % modulus
+                return acc
+            high = ((piece(h, 0, 14).cast(NUM) * F.lit(1 << 56).cast(NUM) + piece(h, 14, 14)).cast(NUM) % modulus).cast(NUM)
+            return ((high * F.lit(1 << 16).cast(NUM) + piece(h, 28, 4)).cast(NUM) % modulus).cast(NUM)
+        return let(cipher, remainder)
 
     def run(p: Column) -> Column:
         def forward(acc: Column, i: Column) -> Column:
@@ -173,11 +197,13 @@ def ff3(core: Column, key: bytes, tweak: bytes, alphabet: str = "digits", revers
         if decimal_digits:
             return F.reverse(F.lpad(num.cast("string"), size, F.lit("0")))
 
-        def step(acc: Column, _i: Column) -> Column:
-            d = acc["rest"] % radix
-            return F.struct(((acc["rest"] - d) / radix).cast(num_type).alias("rest"),
-                            F.concat(acc["out"], F.substr(F.lit(alpha), d.cast("int") + 1, F.lit(1))).alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), size), F.struct(num.alias("rest"), F.lit("").alias("out")), step, lambda a: a["out"])
+        def letters(x: Column, count: Column) -> Column:
+            place = lambda i: F.call_function("div", x, F.get(steps, i)) % radix
+            return F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(F.lit(alpha), place(i).cast("int") + 1, F.lit(1))), "")).otherwise("")
+        if half <= fit:
+            return letters(num, size)
+        whole = F.lit(str(radix ** fit)).cast(NUM)
+        return let((num % whole).cast(NUM), lambda low: F.concat(letters(low.cast("bigint"), F.least(size, F.lit(fit))), letters(((num - low) / whole).cast("bigint"), size - fit)))
     n = F.length(core)
     u = F.ceil(n / 2).cast("int")
     v = (n - u).cast("int")
@@ -210,7 +236,8 @@ def fpe(c: Column, key: bytes, alphabet: str = "digits", tweak: str = "", mode:
             inside = F.instr(F.lit(alpha), ch) > 0
             return F.struct(F.when(inside, acc["pos"] + 1).otherwise(acc["pos"]).alias("pos"),
                             F.concat(acc["out"], F.when(inside, F.substr(new, acc["pos"], F.lit(1))).otherwise(ch)).alias("out"))
-        return F.aggregate(characters(c), F.struct(F.lit(1).alias("pos"), F.lit("").alias("out")), step, lambda a: a["out"])
+        spread = F.aggregate(characters(c), F.struct(F.lit(1).alias("pos"), F.lit("").alias("out")), step, lambda a: a["out"])
+        return F.when(F.length(c) == F.length(new), new).otherwise(spread)
     small = {"keystream": keystream(c, key, alphabet, tweak, reverse), "passthrough": c,
              "error": F.raise_error(F.concat(F.lit(f"value too short for FF3-1 (minimum {least} characters): length "), F.length(core).cast("string")))}[short]
     too_long = F.raise_error(F.lit(f"value too long for FF3-1 (maximum {longest} characters)")).cast("string")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions import crypto as K
-from tablewarden.functions.columns import col, count_if, let, lit_list, ratio
+from tablewarden.functions.columns import col, count_if, dealt, let, lit_list, ratio
 from tablewarden.functions.spans import spliced
 from tablewarden.functions.text import ARABIC_RANGE, safe_shape
 from tablewarden.operators.detect import canonical_entity, sensitivity
@@ -216,12 +216,14 @@ class RegexFake:
         self.blocks = max(1, -(-self.draws // 8))         # eight draws to a block of the stream
 
     def text(self, stream: Column) -> Column:
+        """``stream``: the blocks of the keyed stream, an array."""
         self.draws = 0
         return self._text(self.tree, stream)
 
     def _draw(self, stream: Column | None, n: int) -> Column:
         self.draws += 1
-        return F.lit(0) if stream is None else K.draw(stream, self.draws - 1, n)
+        at = self.draws - 1
+        return F.lit(0) if stream is None else K.draw(F.get(stream, F.lit(at // 8)), at % 8, n)
 
     def _one_of(self, pool: str, stream: Column | None) -> Column:
         return F.substr(F.lit(pool), self._draw(stream, len(pool)) + 1, F.lit(1))
@@ -271,7 +273,7 @@ class RegexFake:
 
 def fake_regex(label: Column, key: bytes, pattern: str, extra: int = REPEAT_EXTRA) -> Column:
     fake = RegexFake(pattern, extra)
-    return let(K.random_hex(label, key, fake.blocks), fake.text)
+    return let(K.random_blocks(label, key, fake.blocks), fake.text)
 
 
 # --- the plan ----------------------------------------------------------------------------------------------
@@ -333,9 +335,14 @@ def _is_email(r: MaskRule) -> bool:
     return r.strategy == "fake" and r.params.get("kind") == "email"
 
 
+def _is_costly(r: MaskRule) -> bool:
+    return r.strategy == "fpe" or (r.strategy == "fake" and r.params.get("kind") == "regex")
+
+
 def apply(df: DataFrame, plan: Sequence[MaskRule], master: bytes) -> DataFrame:
     """Mask the whole table in one projection; e-mails follow in a second so they can use the faked names."""
     rules = {r.column: r for r in plan}
+    df = dealt(df) if any(_is_costly(r) for r in plan) else df
     names = [r.column for r in plan if r.strategy == "fake" and r.params.get("kind") == "name" and r.column in df.columns]
     first = df.select(*[transform(col(c), rules[c], master).alias(c) if c in rules and not _is_email(rules[c]) else col(c) for c in df.columns])
     if not any(_is_email(r) for r in plan):

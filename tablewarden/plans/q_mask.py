@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tablewarden.functions import crypto as K
-from tablewarden.functions.columns import computed_once
+from tablewarden.functions.columns import computed_once, dealt
 from tablewarden.functions.text import safe_shape
 from tablewarden.operators import mask as M
 from tablewarden.operators import text as X
@@ -70,7 +70,7 @@ def _round_trip(name, column, mode, alphabet, short="error"):
 
     @query(name, f"SELECT k, {column} AS back, true AS same_shape, true AS changed FROM {CONTACTS_SQL}")
     def _q(t):
-        f = computed_once(contacts(t).select("k", F.col(column).alias("v")), c=K.fpe(F.col("v"), KEY, alphabet, "tweak", mode, short))
+        f = computed_once(dealt(contacts(t).select("k", F.col(column).alias("v"))), c=K.fpe(F.col("v"), KEY, alphabet, "tweak", mode, short))
         flat = lambda c: F.regexp_replace(c, shape, "#")
         return f.select("k", K.fpe(F.col("c"), KEY, alphabet, "tweak", mode, short, reverse=True).alias("back"),
                         (flat(F.col("v")) == flat(F.col("c"))).alias("same_shape"), (F.col("v") != F.col("c")).alias("changed"))

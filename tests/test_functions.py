@@ -12,6 +12,7 @@ from tablewarden.functions import checks as C
 from tablewarden.functions import crypto as K
 from tablewarden.functions.ordered import exact_quantiles, order_steps, ranked_rows
 from tablewarden.functions.spans import CHUNK, find_spans, interval_join, spliced, sums_before
+from tablewarden.operators import mask as M
 
 
 def test_quantiles_match_numpy(spark):
@@ -210,3 +211,20 @@ def test_interval_join_of_a_long_document_is_linear(spark):
     side = lambda s, e, i: spark.range(100_000).select(F.lit(1).alias("d"), (F.col("id") * 10).cast("int").alias(s), (F.col("id") * 10 + 10).cast("int").alias(e), F.col("id").alias(i))
     got = interval_join(side("ls", "le", "l"), side("rs", "re", "r"), ["d"], "ls", "le", "rs", "re")
     assert got.count() == 100_000 and got.where("l <> r").isEmpty()
+
+
+def test_ff3_wide_halves_of_every_length(spark):
+    """Halves of more than one bigint piece: there and back at every length, all greatest and all least characters included."""
+    key, alpha = hashlib.sha256(b"k").digest(), K.ALPHABETS["alnum"]
+    _, least, longest = K.domain_limits("alnum")
+    df = spark.createDataFrame([(c,) for n in range(least, longest + 1) for c in ("0" * n, "Z" * n, (alpha * 2)[n:2 * n])], "v string")
+    c = df.select("v", K.fpe(F.col("v"), key, "alnum").alias("c"))
+    rows = c.select("v", "c", K.fpe(F.col("c"), key, "alnum", reverse=True).alias("b")).collect()
+    assert all(r["v"] == r["b"] and len(r["v"]) == len(r["c"]) and r["v"] != r["c"] for r in rows)
+
+
+@pytest.mark.parametrize("rule", [M.MaskRule("v", "fpe", {"alphabet": "alnum"}), M.MaskRule("v", "fake", {"kind": "regex", "regex_pattern": "[a-z]{30}"})])
+def test_costly_rules_leave_the_one_split_of_a_small_file(spark, rule):
+    df = spark.range(100).select(F.concat(F.lit("user"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("v")).coalesce(1)
+    tasks = M.apply(df, [rule], hashlib.sha256(b"m").digest()).select("v", F.spark_partition_id().alias("p"))
+    assert tasks.select("p").distinct().count() > 1 and tasks.select("v").distinct().count() == 100
