@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import SPACES, WORD, ascii_lower
+from tablewarden.llm.common import WORD, ascii_lower
 
 MAX_DOCS = 25                 # a line in more different documents of a host than this is removed
 MIN_LEFT = 20                 # per cent of a document's words that must stay
@@ -44,27 +44,26 @@ def repeat_words(words: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines that hold a word, as they are."""
-    return F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
+    return F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
 
 
 def normal(line: Column) -> Column:
     """A-Z lower-cased, runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(ascii_lower(line), r"[\x20\x09-\x0D]+", " "))
+    lowered = F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(ascii_lower(line))       # translate costs far more a character
+    return F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " "))
 
 
 def word_count(line: Column) -> Column:
     """Words of a normalised line."""
-    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def measures(text: Column) -> list[Column]:
     t = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
-    bare = F.length(F.translate(t, SPACES, ""))
-    both = let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).cast("bigint").alias("r")))
+    both = let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).cast("bigint").alias("r"), F.length(F.array_join(w, "")).cast("bigint").alias("c")))
     dup = let(lines_of(t), lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
-    return [both.alias("_both"), bare.cast("bigint").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"), dup.cast("bigint").alias("n_dup_lines")]
+    return [both.alias("_both"), F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"), dup.cast("bigint").alias("n_dup_lines")]
 
 
 def _judged(docs: DataFrame, columns: list[str], max_docs: int, min_left: int) -> DataFrame:
@@ -72,7 +71,7 @@ def _judged(docs: DataFrame, columns: list[str], max_docs: int, min_left: int) -
     text = F.col("text").cast("string")
     host, digest = F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_host"), F.xxhash64(text).alias("_text")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), host, digest, *measures(text)).select(
-        "_row", "_host", "_text", F.col("_both.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_both.r").alias("n_repeat_words"))
+        "_row", "_host", "_text", F.col("_both.n").alias("n_words"), F.col("_both.c").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("_both.r").alias("n_repeat_words"))
     lines = F.transform(lines_of(F.coalesce(text, F.lit(""))), normal)
     counted = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), word_count(x).alias("words")))
     held = docs.select(host, digest, F.explode(counted).alias("l")).select("_host", "_text", "l.line", "l.words")

@@ -1,5 +1,6 @@
 """Chat rotation, line rules, URL rules and shards: SQL or brute force, and odd rows."""
 
+import re
 import os
 import random
 import sys
@@ -138,3 +139,14 @@ def test_shards(spark, rows):
     if rows == 3_000:
         sizes = [sum(r["size"] or 0 for r in got if r["shard"] == s) for s in range(8)]
         assert max(sizes) - min(sizes) <= 2 * 4_000
+
+
+def test_no_character_maps_over_whole_texts(spark):
+    """``translate`` costs tens of nanoseconds a character; only lines that are not plain ASCII go through it, with the same results."""
+    texts = ["A b\tC", "ÉA İ Z", "Kelvin K", "    ", "", " \t\x0b", "a#b $ \U0001f600 *"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert "translate" not in df.select(*line_rules.measures(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    lowered = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t) for t in texts]
+    want = [re.sub("[ \t-\r]+", " ", t).strip(" ") for t in lowered]
+    assert [r[0] for r in df.select(line_rules.normal(F.col("text"))).collect()] == want
+    assert [r[0] for r in df.select(F.size(line_rules.lines_of(F.col("text")))).collect()] == [1, 1, 1, 1, 0, 0, 1]
