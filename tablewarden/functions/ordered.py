@@ -222,16 +222,21 @@ def _edge_runs(batches):
                                      names=["k", "task", "edge", "start", "n", "value", "rows"])
 
 
+ENTRIES_IN_TASK = 500_000
+
+
 def ranked_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The table's rows with every number replaced by its average 1-based rank in its column; nulls stay.
 
     One ranking of all columns: (column, value, row) is range-partitioned once, a task gives each row its place in the task, one small row for each task and
-    column carries counts and border values across, and one grouping by row puts the ranks side by side.  Memory of a task: its own partition as numbers.
+    column carries counts and border values across, and one grouping by row puts the ranks side by side.  Memory of a task: its own partition as numbers, ``ENTRIES_IN_TASK`` about.
     """
     entries = F.array(*[F.struct(F.lit(i).alias("k"), (col(c).cast("double") + F.lit(0.0)).alias("x")) for i, c in enumerate(columns)])
     numbered = df.select(*[col(c) for c in columns], F.monotonically_increasing_id().alias("_row"))      # before the rows are unpivoted
+    # as many tasks as the entries ask for, so that a task's memory does not grow with the table
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * len(columns) // ENTRIES_IN_TASK))
     long = numbered.select(F.col("_row").alias("row"), F.inline(entries)).where("x is not null").select("k", F.when(F.isnan("x"), F.lit(float("inf"))).otherwise(F.col("x")).alias("x"), "row")
-    dealt = long.repartitionByRange("k", "x", "row").sortWithinPartitions("k", "x")
+    dealt = long.repartitionByRange(tasks, "k", "x", "row").sortWithinPartitions("k", "x")
     edges = dealt.mapInArrow(_edge_runs, "k int, task int, edge int, start bigint, n bigint, value double, rows bigint")
     earlier = W.partitionBy("k").orderBy("task").rangeBetween(W.unboundedPreceding, -1)
     spots = edges.withColumn("before", F.coalesce(F.sum(F.when(F.col("edge") == 1, F.col("rows"))).over(earlier), F.lit(0)))
@@ -242,4 +247,4 @@ def ranked_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rank = F.when(F.col("edge") == 1, F.col("head")).when(F.col("edge") == 2, F.col("tail")).otherwise(F.col("before") + F.col("place"))
     # one row for each task and column
     ranks = places.join(F.broadcast(borders), ["k", "task"]).select("row", "k", rank.alias("rank"))
-    return ranks.groupBy("row").agg(*[F.max(F.when(F.col("k") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)]).drop("row")
+    return ranks.repartition(tasks, "row").groupBy("row").agg(*[F.max(F.when(F.col("k") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)]).drop("row")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions import checks as C
 from tablewarden.functions import crypto as K
+from tablewarden.functions import ordered
 from tablewarden.functions.ordered import exact_quantiles, order_steps, ranked_rows
 from tablewarden.functions.spans import CHUNK, find_spans, interval_join, spliced, sums_before
 from tablewarden.operators import mask as M
@@ -228,3 +229,11 @@ def test_costly_rules_leave_the_one_split_of_a_small_file(spark, rule):
     df = spark.range(100).select(F.concat(F.lit("user"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("v")).coalesce(1)
     tasks = M.apply(df, [rule], hashlib.sha256(b"m").digest()).select("v", F.spark_partition_id().alias("p"))
     assert tasks.select("p").distinct().count() > 1 and tasks.select("v").distinct().count() == 100
+
+
+def test_ranking_tasks_follow_the_rows(spark, monkeypatch):
+    df = spark.range(300).select((F.col("id") % 7).alias("a"), (F.col("id") * 37 % 101).alias("b"))
+    whole = sorted(map(tuple, ranked_rows(df, ["a", "b"]).collect()))
+    monkeypatch.setattr(ordered, "ENTRIES_IN_TASK", 10)
+    many = ranked_rows(df, ["a", "b"])
+    assert many.rdd.getNumPartitions() == 60 and sorted(map(tuple, many.collect())) == whole
