@@ -8,6 +8,7 @@ from tablewarden.functions import text_values as V
 from tablewarden.operators import text as X
 from tablewarden.operators.detect import catalog
 from tablewarden.plans.registry import query
+from tablewarden.session import written_once
 
 DIGIT_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
 
@@ -150,9 +151,9 @@ def _q(t):
     return X.clusters(_spans(t)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.max("cluster").alias("clusters"))
 
 
-def _reviews(t):
+def _reviews(t, spans=None):
     k = F.col("l_partkey")
-    s = _spans(t).where(k % 4 > 0)
+    s = (spans or _spans(t)).where(k % 4 > 0)
     return s.select("doc_id", (F.col("start") + F.when(k % 4 == 1, 1).otherwise(0)).alias("start"), "end",
                     F.when(k % 4 == 2, "PERSON").otherwise(F.col("entity_type")).alias("entity_type"), (0.7 + (k % 30) / 100).alias("score"),
                     F.when(k % 7 == 0, "NOT_PII").otherwise("PII").alias("verdict"))
@@ -160,9 +161,11 @@ def _reviews(t):
 
 @query("t16_arbitrate")
 def _q(t):
-    out = None
+    spans, out = written_once(_spans(t), "spans"), None
+    reviews = _reviews(t, spans)
+    met = tuple(written_once(df, name) for df, name in zip(X.meetings(spans, reviews), ("met", "lone")))
     for mode in ("independent", "strict", "balanced", "lenient"):
-        a = X.arbitrate(_spans(t), _reviews(t), mode).groupBy("agreement", "rule", "kept").agg(F.count(F.lit(1)).alias("n")).withColumn("mode", F.lit(mode))
+        a = X.arbitrate(spans, reviews, mode, met=met).groupBy("agreement", "rule", "kept").agg(F.count(F.lit(1)).alias("n")).withColumn("mode", F.lit(mode))
         out = a if out is None else out.unionByName(a)
     return out
 

@@ -121,3 +121,16 @@ def test_clauses_start_behind_their_cue(spark):
     d = docs(spark, "I live at:  the villa 3, Nasr road, yes right. Then", "address is nothing of the kind.", "address 5 Oak lane please thanks\nAgent: and 7", "deliver 9 a\nb", "address")
     got = {(r["doc_id"], r["surface"]) for r in X.extend_context(X.regex_spans(d).where("1 = 0"), d, {"LOCATION": ["live at", "address", "deliver"]}, noise=["thanks", "please"]).collect()}
     assert got == {(0, "villa 3, Nasr road"), (2, "5 Oak lane"), (3, "9 a")}
+
+
+def test_modes_share_their_meetings(spark, monkeypatch):
+    """Every mode reads the same meetings of spans and reviews: what ``meetings`` gave is not made again."""
+    span = "doc_id long, start int, end int, entity_type string, score double, engine string, recognizer string, validator string, is_proposal boolean, canonical string, surface string, before string, after string"
+    spans = spark.createDataFrame([(1, 9 * i, 9 * i + 6, "A", 0.3 + i / 10, "e", f"r{i}", None, False, "c", "s", "b ", " a") for i in range(6)], span)
+    reviews = spark.createDataFrame([(1, 9 * i + i % 2, 9 * i + 6, "AB"[i % 2], 0.7 + i / 20, "NOT_PII" if i % 3 == 0 else "PII") for i in range(8)],
+                                    "doc_id long, start int, end int, entity_type string, score double, verdict string")
+    met, modes = X.meetings(spans, reviews), ("independent", "strict", "balanced", "lenient")
+    alone = {m: sorted(map(str, X.arbitrate(spans, reviews, m).collect())) for m in modes}
+    monkeypatch.setattr(X, "interval_join", None)
+    assert {m: sorted(map(str, X.arbitrate(spans, reviews, m, met=met).collect())) for m in modes} == alone
+    assert len({str(v) for v in alone.values()}) > 1
