@@ -1,9 +1,13 @@
 """Byte-level BPE by ranks: encoding and decoding.
 
-The pattern cuts a text into pieces.  Each different piece of a chunk of documents is an array of byte ids, and a higher-order fold merges it: while any
-neighbours have a rank, the pair of lowest rank (the leftmost such) becomes one token, and the ranks beside it are looked up anew.  The rank map is
-a literal: for each pair of tokens whose bytes together are a token, that token, in buckets of an array, so a look-up reads one or two entries.
-Documents are put together from their pieces.  Decoding concatenates the binary pieces of the ids.
+The pattern cuts a text into pieces.  Each different piece of a chunk of documents is a string with one character a byte, beside an array of the tokens
+that occur in it, by rank; a higher-order fold over that array merges: it replaces the pair that a token is made of by the token's character, all
+occurrences at once, from the left.  Pairs and characters are literals.  Documents are put together from their pieces.  Decoding concatenates
+the binary pieces of the ids.
+
+Why ascending ranks give what always merging the lowest pair gives: ``Ranks`` makes sure that every token, alone, arises by merges of ranks that never
+fall.  If a text's merge of rank r gave rise to a pair of a token of lower rank s, all merges inside that pair would be those of the token
+alone (none crossed its borders), and r would come before s there.  For the same reason a token always arises from the same pair.
 """
 
 from __future__ import annotations
@@ -18,10 +22,27 @@ from pyspark.sql import functions as F
 from tablewarden.llm.line_rules import let
 from tablewarden.llm.words import Lists, piece_rows, streamed
 
-TOKEN = 17                    # bits of a token and of a rank
-NONE = (1 << TOKEN) - 1       # no rank, and the token of the guard before the first byte
-PLACE = 29                    # bits of a place inside a piece
-BUCKETS = 131_101             # a prime
+FIRST = 0x100                 # code point of id 0; the surrogates are left out
+SURROGATES = 0xD800, 0x800    # where they begin, and how many
+START = "struct<text:string,ranks:array<int>>"
+
+
+def _characters(ids: np.ndarray) -> np.ndarray:
+    """Code points that stand for ids."""
+    points = ids.astype(np.uint32) + FIRST
+    return np.where(points >= SURROGATES[0], points + SURROGATES[1], points).astype("<u4")
+
+
+def _ids(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that the characters of an Arrow array of strings stand for, one after another, and their number in each string."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    raw = memoryview(texts.buffers()[2] or b"")[at[0]:at[-1]]
+    points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), dtype="<u4")
+    ids = np.where(points >= SURROGATES[0], points - SURROGATES[1], points) - FIRST
+    return ids.astype(np.int32), pc.utf8_length(texts).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
 class Ranks:
@@ -40,82 +61,85 @@ class Ranks:
         halves = ((self.ids.get(t[:k]), self.ids.get(t[k:]), r) for t, r in self.ids.items() for k in range(1, len(t)))
         return {(a, b): r for a, b, r in halves if a is not None and b is not None}
 
-    def literal(self) -> tuple[Column, Column]:
-        """The pair ranks as two literals, pairs and ranks in the same buckets: a look-up reads one or two entries."""
-        pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
-        ranks: list[list[int]] = [[] for _ in range(BUCKETS)]
-        for (a, b), r in self.pair_ranks().items():
-            pairs[((a << TOKEN) + b) % BUCKETS].append((a << TOKEN) + b)
-            ranks[((a << TOKEN) + b) % BUCKETS].append(r)
-        return F.from_json(F.lit(str(pairs)), "array<array<bigint>>"), F.from_json(F.lit(str(ranks)), "array<array<int>>")
-
-    def byte_pairs(self) -> np.ndarray:
-        """Rank of each pair of bytes, ``NONE`` where it has none."""
-        out = np.full((256, 256), NONE, dtype=np.int32)
-        for a in range(256):
-            for b in range(256):
-                out[a, b] = self.ids.get(bytes([a, b]), NONE)
-        return out
-
+    def halves(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two tokens that a token arises from; raises if its merges, alone, do not lead to it by ranks that never fall."""
+        parts, last = [token[i:i + 1] for i in range(len(token))], -1
+        while len(parts) > 2:
+            low, i = min((self.ids.get(a + b, len(self.tokens)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if not last <= low < self.ids[token]:
+                break
+            parts[i:i + 2], last = [parts[i] + parts[i + 1]], low
+        if len(parts) != 2:
+            raise ValueError(f"token {self.ids[token]} does not arise from merges of ascending ranks")
+        return parts[0], parts[1]
 
-def rank_of(tables: tuple[Column, Column], a: Column, b: Column) -> Column:
-    """Rank of the pair (a, b), ``NONE`` where it has none."""
-    def search(pair: Column) -> Column:
-        bucket = F.pmod(pair, F.lit(BUCKETS)).cast("int")
-        return F.coalesce(F.get(F.get(tables[1], bucket), F.array_position(F.get(tables[0], bucket), pair).cast("int") - 1), F.lit(NONE)).cast("bigint")
-
-    return search(F.shiftleft(a, TOKEN) + b)
+    def literal(self) -> tuple[Column, Column]:
+        """For each rank the characters of the pair that it merges, and that of its token, as two literals."""
+        letters = _characters(np.arange(len(self.tokens))).tobytes().decode("utf-32-le")
+        pairs = ["".join(letters[self.ids[h]] for h in self.halves(t)) if len(t) > 1 else "" for t in self.tokens]
+        return F.split(F.lit(",".join(pairs)), ","), F.split(F.lit(",".join(letters)), ",")
+
+    def trie(self) -> tuple[np.ndarray, np.ndarray]:
+        """Beginnings of tokens as numbered states: the sorted keys (state * 256 + next byte) of those of three bytes and more, and each state's rank or -1.
+
+        A beginning of two bytes is the state of its value, the k-th key leads to state 65,536 + k.
+        """
+        keys, ranks = [], np.full(65_536, -1, dtype=np.int32)
+        for t in self.ids:
+            if len(t) == 2:
+                ranks[t[0] * 256 + t[1]] = self.ids[t]
+        more, states, size = [], {}, 3
+        while level := sorted({t[:size] for t in self.ids if len(t) >= size}):
+            before, states = states, {}
+            for t in level:
+                states[t] = 65_536 + len(keys)
+                keys.append((before[t[:-1]] if size > 3 else t[0] * 256 + t[1]) * 256 + t[-1])
+                more.append(self.ids.get(t, -1))
+            size += 1
+        return np.array(keys, dtype=np.int64), np.concatenate([ranks, np.array(more, dtype=np.int32)])
 
 
 def encoded(start: Column, tables: tuple[Column, Column]) -> Column:
-    """The tokens of one piece.
-
-    ``start`` holds the piece's bytes between two guards, each as one number: the rank of the pair that it begins, its place and its token.  So
-    the least number is the leftmost pair of the lowest rank; the fold replaces it and its neighbour by their token and renews the two ranks beside.
-    """
-    low_bits, token_bits, none = F.lit((1 << (TOKEN + PLACE)) - 1), F.lit(NONE), F.lit(NONE << (TOKEN + PLACE))
-    place_bits = F.lit(((1 << PLACE) - 1) << TOKEN)
-    token = lambda x: x.bitwiseAND(token_bits)
-    with_rank = lambda rank, rest: F.shiftleft(rank, TOKEN + PLACE) + rest
-
-    def join(v: Column, low: Column, i: Column, ranks) -> Column:        # i: the left token of the pair, counted from 1; 2 at least
-        new = F.shiftright(low, TOKEN + PLACE)
-        before = F.get(v, i - 2)
-        left = with_rank(rank_of(ranks, token(before), new), before.bitwiseAND(low_bits))
-        own = with_rank(rank_of(ranks, new, token(F.get(v, i + 1))), low.bitwiseAND(place_bits) + new)
-        return F.concat(F.slice(v, F.lit(1), i - 2), F.array(left, own), F.slice(v, i + 2, F.lit(1 << 29)))
-
-    def step(v: Column, ranks) -> Column:
-        return let(F.array_min(v), lambda low: F.when(low >= none, v).otherwise(let(F.array_position(v, low).cast("int"), lambda i: join(v, low, i, ranks))))
-
-    # the literals are bound once, so a task carries one copy of them; a piece of n bytes merges at most n - 1 times
-    def fold(ranks) -> Column:
-        return F.aggregate(F.sequence(F.lit(3), F.greatest(F.size(start) - 1, F.lit(3))), start, lambda v, _: step(v, ranks))
-
-    done = let(tables[0], lambda pairs: let(tables[1], lambda ranks: fold((pairs, ranks))))
-    return F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda x: token(x).cast("int"))
-
+    """The tokens of one piece (``START``: a character for each byte, the ranks of the tokens in it), a character each."""
+    return F.aggregate(start["ranks"], start["text"], lambda text, rank: F.replace(text, F.get(tables[0], rank), F.get(tables[1], rank)))
+
+
+def _starts(byte_ids: np.ndarray, keys: np.ndarray, ranks: np.ndarray):
+    """Pieces (an Arrow array of bytes) as what ``encoded`` starts from."""
+    points = _characters(byte_ids)
+    widths = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    ends_of = np.append(keys, -1)                           # so that a search past the last key finds none
+
+    def inside(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ranks of the tokens that begin at each byte and end before ``ends``."""
+        at = np.flatnonzero(np.arange(len(data)) + 1 < ends)
+        state, size, places, found = data[at].astype(np.int64) * 256 + data[at + 1], 2, [], []
+        while len(at):
+            hit = ranks[state] >= 0
+            places.append(at[hit])
+            found.append(ranks[state[hit]])
+            on = at + size < ends[at]
+            at, state = at[on], state[on]
+            key = state * 256 + data[at + size]
+            k = np.searchsorted(keys, key)
+            on = ends_of[k] == key
+            at, state, size = at[on], k[on] + 65_536, size + 1
+        return np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.int32), *found])
 
-def _starts(byte_ids: np.ndarray, byte_pairs: np.ndarray):
-    """Pieces (an Arrow array of bytes) as the numbers that ``encoded`` starts from."""
     def make(pieces):
         import pyarrow as pa
 
-        at = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset:pieces.offset + len(pieces) + 1]
-        raw = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)[at[0]:at[-1]] if len(pieces) else np.zeros(0, np.uint8)
-        lengths = np.diff(at)
-        offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
-        np.cumsum(lengths + 2, out=offsets[1:])
-        guard = np.zeros(offsets[-1], dtype=bool)
-        guard[offsets[:-1]] = guard[offsets[1:] - 1] = True
-        data = np.zeros(offsets[-1], dtype=np.uint8)
-        data[~guard] = raw
-        ids = np.where(guard, NONE, byte_ids[data].astype(np.int64))
-        ranks = np.full(len(data), NONE, dtype=np.int64)
-        inside = ~(guard[:-1] | guard[1:])
-        ranks[:-1][inside] = byte_pairs[data[:-1], data[1:]][inside]
-        places = np.arange(len(data)) - np.repeat(offsets[:-1], lengths + 2)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((ranks << (TOKEN + PLACE)) | (places << TOKEN) | ids))
+        at = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset:pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+        data = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)[at[0]:at[-1]]
+        owner = np.repeat(np.arange(len(pieces)), np.diff(at))
+        places, found = inside(data, (at[1:] - at[0])[owner])
+        each = np.unique((owner[places] << 32) | found)      # by piece, then by rank, once
+        counts = np.bincount(each >> 32, minlength=len(pieces))
+        wide = np.concatenate([[0], np.cumsum(widths[data])])[at - at[0]].astype(np.int32)
+        spelled = points[data].tobytes().decode("utf-32-le").encode()
+        text = pa.StringArray.from_buffers(len(pieces), pa.py_buffer(wide.tobytes()), pa.py_buffer(spelled))
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array((each & 0xFFFFFFFF).astype(np.int32)))
+        return pa.StructArray.from_arrays([text, listed], names=["text", "ranks"])
 
     return make
 
@@ -128,14 +152,14 @@ def _documents(keys: list[str], tokens: list[bytes], digests: bool):
         lists, spelled, decoded = Lists(), [], []
         for first, part in streamed(batches, "ids"):
             if first is not None:
-                at, flat = part.offsets.to_numpy(), part.values.to_numpy(zero_copy_only=False)
+                flat, lengths = _ids(part)
                 if digests:
-                    listed, ends = flat[at[0]:at[-1]].tolist(), (at - at[0]).tolist()
+                    listed, ends = flat.tolist(), [0, *np.cumsum(lengths).tolist()]
                     if first == 0:
                         spelled, decoded = [], []
                     spelled += [",".join(map(str, listed[a:b])) for a, b in zip(ends, ends[1:])]
                     decoded += [b"".join([tokens[t] for t in listed[a:b]]) for a, b in zip(ends, ends[1:])]
-                lists.add(first, flat[at[0]:at[-1]] if not digests else np.zeros(0), np.diff(at))
+                lists.add(first, flat if not digests else np.zeros(0), lengths)
                 continue
             head = [part[k] for k in keys]
             codes = [np.frombuffer(c, dtype=np.int32) for c in part["codes"].to_pylist()]
@@ -153,7 +177,7 @@ def _documents(keys: list[str], tokens: list[bytes], digests: bool):
 
 
 def _with_ids(docs: DataFrame, keys: list[str], ranks: Ranks, **sizes: int) -> DataFrame:
-    rows = piece_rows(docs, keys, **sizes, derived=("start", "array<bigint>", _starts(ranks.byte_ids, ranks.byte_pairs())))
+    rows = piece_rows(docs, keys, **sizes, derived=("start", START, _starts(ranks.byte_ids, *ranks.trie())))
     return rows.select("slot", *[F.col(f"`{k}`") for k in keys], "codes", F.when(F.col("codes").isNull(), encoded(F.col("start"), ranks.literal())).alias("ids"))
 
 

@@ -1,6 +1,7 @@
 """Byte-level BPE and token files against the public libraries."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +50,27 @@ def test_every_token_is_its_own_encoding():
         assert parts == [rank]
 
 
+def test_every_token_arises_from_one_pair():
+    """The fold goes by ascending ranks: every token of the file must, alone, arise that way; a file where one does not is refused."""
+    halves = [RANKS.halves(t) for t in RANKS.tokens if len(t) > 1]
+    assert all(a + b in RANKS.ids and max(RANKS.ids[a], RANKS.ids[b]) < RANKS.ids[a + b] for a, b in halves)
+    odd = bpe.Ranks(PATH)
+    odd.ids, odd.tokens = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"bc": 4}, [b"a", b"b", b"c", b"abc", b"bc"]
+    with pytest.raises(ValueError):
+        odd.halves(b"abc")
+
+
+def test_long_pieces_and_small_tables(spark):
+    """One piece of 100,000 letters takes as many steps as different tokens occur in it; the tables of the fold stay small in the driver."""
+    letters = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(100_000))
+    texts = [letters, "é" * 20_001 + "a", "a" * 4_097, "-" * 5_000 + "=" * 5_001]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    started = time.time()
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, RANKS, ["doc_id"]).collect()}
+    assert time.time() - started < 60
+    assert got == {i: LIBRARY.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_empty_table(spark, none, tmp_path):
     assert bpe.encode(none, RANKS, ["doc_id"]).count() == 0 and bpe.round_trip(none, RANKS).count() == 0
     token_files.write(none, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "t"))
