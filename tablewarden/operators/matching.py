@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, BASE_BLOCK = 20_000, 50_000      # rows of a block; more rows make more blocks, none is dropped
+CELLS = 500_000                               # distances that a task holds at once, whatever the blocks
 
 
 def score(distance: Column, metric: str = "cosine") -> Column:
@@ -41,7 +42,7 @@ def _nearest(k: int, metric: str, exclude_self: bool):
         alive = np.linalg.norm(vectors, axis=1) > 0
         v = _unit(vectors)
         out = []
-        step = max(1, 4_000_000 // len(bids))                     # bounds the distance matrix of one step
+        step = max(1, CELLS // len(bids))
         for lo in range(0, len(qids), step):
             dot = q[lo:lo + step] @ v.T
             dist = 1.0 - dot if metric == "cosine" else np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot))

@@ -133,3 +133,26 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     dealt = E._dealt_by_document(pairs)
     assert dealt.rdd.getNumPartitions() == -(-pairs.count() // 5) > 1 and dealt.exceptAll(pairs).isEmpty() and dealt.count() == pairs.count()
     assert sorted(map(str, E.classify(g, p).collect())) == whole
+
+
+def test_nearest_holds_few_distances_at_once():
+    """A task of full blocks: what it holds beside its rows does not grow with the blocks; the nearest are those of the whole matrix."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tablewarden.operators import matching as N
+
+    rng, n_q, n_b = np.random.default_rng(5), 200, 20_000
+    table = lambda n, key, m: pa.table({key: pa.array(np.arange(n)), "vector": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 4, pa.int32()), pa.array(m.ravel())), "group": pa.array([str(i % 3) for i in range(n)])})
+    q, b = rng.normal(size=(n_q, 4)), rng.normal(size=(n_b, 4))
+    tracemalloc.start()
+    got = N._nearest(2, "l2", False)(table(n_q, "qid", q), table(n_b, "bid", b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20, peak
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    d = np.sqrt(np.maximum(0, 2 - 2 * unit(q) @ unit(b).T))
+    d[np.arange(n_q)[:, None] % 3 != np.arange(n_b)[None, :] % 3] = np.inf
+    assert got["bid"].to_numpy().reshape(n_q, 2).tolist() == np.argsort(d, axis=1)[:, :2].tolist()
