@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+import types
 import uuid
 import zlib
 
@@ -21,6 +23,8 @@ from tablewarden.llm.words import Lists, piece_rows, streamed
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 END = 2                       # the id appended to each document
+KEPT = 250_000                # pieces whose ids a Python worker keeps from task to task
+JOINED = 2_000                # pieces that go to the library as one text
 LAYOUT = {"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.writer.version": "PARQUET_2_0", "compression": "zstd",
           **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "start_in_part", "n_tokens")}}
 
@@ -33,24 +37,64 @@ def added_tokens(model: bytes, specials: bool) -> list[str]:
     return [t["content"] for t in found]
 
 
+class PieceIds:
+    """Ids of pieces by the tokenizers library, as bytes of 32-bit numbers; the first ``KEPT`` different pieces are kept.
+
+    Pieces go to the library joined by the added token, where it cuts texts anyway, if there is one such token and it cannot overlap with itself.
+    """
+
+    def __init__(self, model: bytes, specials: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # the task is the unit of work
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_buffer(model), {}
+        self.tokenizer.encode_special_tokens = not specials      # True: their strings in a text are ordinary text
+        added = added_tokens(model, specials)
+        self.cut = added[0] if len(added) == 1 and not any(added[0].startswith(added[0][k:]) for k in range(1, len(added[0]))) else None
+
+    @staticmethod
+    def of_worker(model: bytes, specials: bool) -> PieceIds:
+        """The one of this Python worker: workers outlive tasks, functions that travel by value do not."""
+        held = sys.modules.setdefault("_tablewarden_piece_ids", types.ModuleType("_tablewarden_piece_ids")).__dict__
+        if held.get("key") != (model, specials):
+            held.update(key=(model, specials), ids=PieceIds(model, specials))
+        return held["ids"]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        encode = lambda some: [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        if self.cut is None or self.cut in texts or not all(texts):
+            return [ids.tobytes() for ids in encode(texts)]
+        out, mark = [], self.tokenizer.token_to_id(self.cut)
+        for lo in range(0, len(texts), JOINED):
+            ids = encode([self.cut.join(texts[lo:lo + JOINED])])[0]
+            ends, raw = [-4, *(4 * np.flatnonzero(ids == mark)).tolist(), 4 * len(ids)], ids.tobytes()
+            out += [raw[a + 4:b] for a, b in zip(ends, ends[1:])]
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        found = [self.known.get(t) for t in texts]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, self._encoded([texts[k] for k in new])):
+            found[k] = ids
+            if len(self.known) < KEPT:
+                self.known[texts[k]] = ids
+        return found
+
+
 def _tokenized(model: bytes, end: int, specials: bool):
     import pyarrow as pa
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # the task is the unit of work
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_buffer(model)
-        tokenizer.encode_special_tokens = not specials     # True: their strings in a text are ordinary text
+        ids_of = PieceIds.of_worker(model, specials)
         part, start, lists = TaskContext.get().partitionId(), 0, Lists()
         last = np.array([0], dtype=np.int32)               # slot 0 is the end id, the pieces follow
         for first, docs in streamed(batches, "piece"):
             if first is not None:
-                texts = docs.cast(pa.string()).to_pylist()
-                found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                found = [[end], *found] if first == 0 else found
-                lists.add(first, np.array([t for ids in found for t in ids], dtype=np.int32), np.array([len(ids) for ids in found]))
+                found = ids_of(docs.cast(pa.string()).to_pylist())
+                found = [np.int32(end).tobytes(), *found] if first == 0 else found
+                lists.add(first, np.frombuffer(b"".join(found), dtype=np.int32), np.array([len(ids) >> 2 for ids in found]))
                 continue
             if not len(lists.lengths):
                 lists.add(0, np.array([end]), np.array([1]))

@@ -113,3 +113,22 @@ def test_special_tokens_as_the_library_finds_them(spark, odd, tmp_path):
     assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op9_token_files"](spark, str(tmp_path / "sf")).collect()}
     assert got == want
+
+
+def test_pieces_are_encoded_once_and_joined():
+    """No piece goes to the library twice, and pieces that are joined have the ids that they have alone."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        model = file.read()
+    library = Tokenizer.from_buffer(model)
+    texts = [" the", "zqj", "<|endoftext|", "endoftext|>", "|>", "<", "é", "  ", "\n", *(f" w{k}" for k in range(5_000))]
+    for specials, odd in ((True, []), (True, ["<|endoftext|>"]), (False, ["<|endoftext|>"])):
+        ids_of = token_files.PieceIds.of_worker(model, specials)
+        assert (ids_of.cut is not None) == specials
+        library.encode_special_tokens = not specials
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype=np.int32).tobytes() for t in texts + odd]
+        assert ids_of(texts + odd) == want
+        again, ids_of.tokenizer = token_files.PieceIds.of_worker(model, specials), None
+        assert again is ids_of and again.known == dict(zip(texts + odd, want))
+        ids_of._encoded = lambda left: [] if not left else 1 / 0
+        assert again(texts + odd) == want
+        token_files.PieceIds.of_worker(model, None)          # the next round begins anew
