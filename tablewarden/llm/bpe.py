@@ -19,12 +19,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.llm.common import released
 from tablewarden.llm.line_rules import let
 from tablewarden.llm.words import Lists, piece_rows, streamed
 
 FIRST = 0x100                 # code point of id 0; the surrogates are left out
 SURROGATES = 0xD800, 0x800    # where they begin, and how many
 START = "struct<text:string,ranks:array<int>>"
+CHUNK = 300_000               # pieces in a chunk, about: a stage has two Python workers for each core, and every chunk is whole in memory
 
 
 def _characters(ids: np.ndarray) -> np.ndarray:
@@ -172,12 +174,14 @@ def _documents(keys: list[str], tokens: list[bytes], digests: bool):
                                                  names=[*keys, "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 yield pa.RecordBatch.from_arrays([*head, lists.of(codes)], names=[*keys, "ids"])
+            del head, part
+            released()
 
     return run
 
 
 def _with_ids(docs: DataFrame, keys: list[str], ranks: Ranks, **sizes: int) -> DataFrame:
-    rows = piece_rows(docs, keys, **sizes, derived=("start", START, _starts(ranks.byte_ids, *ranks.trie())))
+    rows = piece_rows(docs, keys, **{"chunk": CHUNK} | sizes, derived=("start", START, _starts(ranks.byte_ids, *ranks.trie())))
     return rows.select("slot", *[F.col(f"`{k}`") for k in keys], "codes", F.when(F.col("codes").isNull(), encoded(F.col("start"), ranks.literal())).alias("ids"))
 
 

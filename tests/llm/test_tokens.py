@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from odd_rows import ROWS
-from tablewarden.llm import bpe, queries, token_files
+from tablewarden.llm import bpe, common, queries, token_files, words
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = bpe.Ranks(PATH)
@@ -132,3 +132,20 @@ def test_pieces_are_encoded_once_and_joined():
         ids_of._encoded = lambda left: [] if not left else 1 / 0
         assert again(texts + odd) == want
         token_files.PieceIds.of_worker(model, None)          # the next round begins anew
+
+
+def test_workers_give_memory_back_after_every_chunk(monkeypatch):
+    """Workers outlive tasks, and what Arrow's allocator kept counted in every later stage of the pipeline."""
+    import pyarrow as pa
+
+    calls = []
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(1)})()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    batches = [pa.RecordBatch.from_arrays([pa.array([2 * k, 2 * k + 1]), pa.array([["a", f" b{k}"], ["a", " c"]])], names=["doc_id", "_pieces"]) for k in range(3)]
+    out = list(words._coded(1, 4, 100, None)(iter(batches)))
+    assert len(calls) == 3 + 1                     # three chunks of four pieces, and the end
+    assert [d for b in out for d in b["doc_id"].to_pylist() if d is not None] == list(range(6))
+    assert [p for b in out for p in b["piece"].to_pylist() if p is not None] == [b"a", b" b0", b" c", b" b1", b" b2"]
+    calls.clear()
+    texts = [pa.RecordBatch.from_arrays([pa.array(["one two", "three"])], names=["text"]) for _ in range(2)]
+    assert [t.num_rows for t in common.slices(iter(texts))] == [2, 2] and len(calls) == 2
