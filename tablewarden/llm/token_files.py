@@ -72,12 +72,13 @@ class PieceIds:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        found = [self.known.get(t) for t in texts]
+        found = list(map(self.known.get, texts))
         new = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(new, self._encoded([texts[k] for k in new])):
+        unknown = [texts[k] for k in new]
+        fresh = self._encoded(unknown)
+        for k, ids in zip(new, fresh):
             found[k] = ids
-            if len(self.known) < KEPT:
-                self.known[texts[k]] = ids
+        self.known.update(zip(unknown[:max(0, KEPT - len(self.known))], fresh))
         return found
 
 
@@ -94,7 +95,7 @@ def _tokenized(model: bytes, end: int, specials: bool):
             if first is not None:
                 found = ids_of(docs.cast(pa.string()).to_pylist())
                 found = [np.int32(end).tobytes(), *found] if first == 0 else found
-                lists.add(first, np.frombuffer(b"".join(found), dtype=np.int32), np.array([len(ids) >> 2 for ids in found]))
+                lists.add(first, np.frombuffer(b"".join(found), dtype=np.int32), np.fromiter(map(len, found), np.int64, len(found)) >> 2)
                 continue
             if not len(lists.lengths):
                 lists.add(0, np.array([end]), np.array([1]))

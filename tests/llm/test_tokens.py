@@ -149,3 +149,16 @@ def test_workers_give_memory_back_after_every_chunk(monkeypatch):
     calls.clear()
     texts = [pa.RecordBatch.from_arrays([pa.array(["one two", "three"])], names=["text"]) for _ in range(2)]
     assert [t.num_rows for t in common.slices(iter(texts))] == [2, 2] and len(calls) == 2
+
+
+def test_words_come_first_in_the_pattern(spark):
+    """Most pieces are words, so their alternative is tried first; the pieces are those of the library's pattern all the same."""
+    import regex
+
+    assert words.PIECES.startswith(r" ?\p{L}+|")
+    ends = ["s", "t", "re", "ve", "m", "ll", "d", "S", "r", "x", "'s", " s", "1", ""]
+    texts = [f"{a}'{e}{z}" for a in ("it", " ", "", "  ", "9", "'", "\n", "é") for e in ends for z in ("", "y", " z", "'d", "!", "  ")]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", words.pieces(F.col("text")).alias("p")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["p"] == regex.findall(public_tokenizers.PATTERN, r["text"]), r["text"]
