@@ -172,8 +172,23 @@ def spoken_value(surface: Column) -> Column:
     return F.aggregate(tokens, zero, step, lambda acc: acc["out"])
 
 
+def one_of(words: Sequence[str]) -> str:
+    """A regex for any of the words, grouped by what they begin with: a text's word meets one branch, not every word in turn.
+
+    What follows must end the match (such as ``(?!\\w)``): of words that begin alike the longest is tried first.
+    """
+    heads: dict[str, set[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], set()).add(w[1:])
+    branches = []
+    for head, rests in sorted(heads.items()):
+        rest = one_of([r for r in rests if r])
+        branches.append(re.escape(head) + (f"(?:{rest}){'?' if '' in rests else ''}" if rest else ""))
+    return "|".join(branches)
+
+
 def spoken_digits(text: Column) -> list[Column]:
-    alternatives = "|".join(sorted([*_WORDS, *_PLURALS], key=len, reverse=True))
+    alternatives = one_of([*_WORDS, *_PLURALS])
     word = rf"(?:و?(?:{alternatives})|\d)(?!\w)"
     found = find_spans(text, rf"(?iU)(?<!\w){word}(?:[\s,،/\-–—]+{word}){{2,}}")
     long = F.filter(found, lambda s: F.length(spoken_value(s["surface"])) >= 3)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablewarden.operators import mask as M
 from tablewarden.operators import text as X
 from tablewarden.functions import text_values as V
+from tablewarden.functions.spans import find_spans
 
 SPAN = "doc_id long, start int, end int, entity_type string, score double, engine string, recognizer string, validator string, is_proposal boolean, canonical string, surface string, before string, after string"
 
@@ -134,3 +135,22 @@ def test_modes_share_their_meetings(spark, monkeypatch):
     monkeypatch.setattr(X, "interval_join", None)
     assert {m: sorted(map(str, X.arbitrate(spans, reviews, m, met=met).collect())) for m in modes} == alone
     assert len({str(v) for v in alone.values()}) > 1
+
+
+def test_spoken_words_are_grouped_by_their_beginnings(spark):
+    """The regex of number words finds what the plain list of all words finds, with one branch for each first letter."""
+    words = [*X._WORDS, *X._PLURALS]
+    grouped = X.one_of(words)
+    assert X.one_of(["two", "ten", "one", "tens"]) == "o(?:n(?:e))|t(?:e(?:n(?:s)?)|w(?:o))"
+    assert all(re.fullmatch(f"(?:{grouped})(?!\\w)", w) for w in words)
+    assert not any(re.fullmatch(f"(?:{grouped})(?!\\w)", w) for w in {w[:-1] for w in words} - set(words))
+    rows = [(f"call {a} {b} {c} now", f"{a} {b} {c}") for a, b, c in zip(words, words[1:], words[2:])] + [("one two x", None), ("FOUR fivesix seven", None)]
+    texts = spark.createDataFrame(rows, "text string, want string")
+    plain = "|".join(sorted(words, key=len, reverse=True))
+    word = rf"(?:و?(?:{plain})|\d)(?!\w)"
+    old = find_spans(F.col("text"), rf"(?iU)(?<!\w){word}(?:[\s,،/\-–—]+{word}){{2,}}")
+    word = word.replace(plain, grouped)
+    new = find_spans(F.col("text"), rf"(?iU)(?<!\w){word}(?:[\s,،/\-–—]+{word}){{2,}}")
+    got = texts.select("text", "want", old.alias("old"), new.alias("new")).collect()
+    assert all(r["old"] == r["new"] for r in got)
+    assert all([s["surface"] for s in r["new"]] == [r["want"]] for r in got if r["want"])
