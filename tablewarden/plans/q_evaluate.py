@@ -12,11 +12,14 @@ from tablewarden.operators import sampling as M
 from tablewarden.plans.registry import query
 
 TYPES = ["PHONE", "EMAIL", "NAME"]
+LINES_IN_TASK = 500_000
 
 
 def _lines(t):
-    """One row per (order, line number), picked without depending on row order."""
-    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("k"))
+    """One row per (order, line number), picked without depending on row order; grouped in as many tasks as the table's rows ask for."""
+    tasks = max(t.spark.sparkContext.defaultParallelism, -(-t.lineitem.count() // LINES_IN_TASK))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").repartition(tasks, "l_orderkey", "l_linenumber")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("k"))
 
 
 def gold(t):

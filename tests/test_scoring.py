@@ -156,3 +156,36 @@ def test_nearest_holds_few_distances_at_once():
     d = np.sqrt(np.maximum(0, 2 - 2 * unit(q) @ unit(b).T))
     d[np.arange(n_q)[:, None] % 3 != np.arange(n_b)[None, :] % 3] = np.inf
     assert got["bid"].to_numpy().reshape(n_q, 2).tolist() == np.argsort(d, axis=1)[:, :2].tolist()
+
+
+def test_outcomes_lie_in_tasks_of_a_set_size(spark, monkeypatch):
+    """A task's rows do not grow with the table, and what falls into several tasks is counted as a plain reading of the spans counts it."""
+    monkeypatch.setattr(E, "SPANS_IN_TASK", 40)
+    rnd, grades = random.Random(7), ["strict", "advisory", "structure_only", None]
+    place = lambda: (s := rnd.choice([None, *range(0, 90)]), None if s is None else s + rnd.choice([0, 1, 3, 70]))
+    doc = lambda: rnd.choice([None, "hot", "hot", *"abcdefgh"])
+    gold = [(doc(), g, *place(), rnd.choice("AB"), rnd.choice(grades)) for g in range(300)]
+    pred = [(d, 1000 + k, s, e, t) if rnd.random() < 0.5 else (doc(), 1000 + k, *place(), "A") for k, (d, _, s, e, t, _) in enumerate(gold)]
+    g = spark.createDataFrame(gold, "doc_id string, gid long, start int, end int, entity_type string, grade string")
+    p = spark.createDataFrame(pred, "doc_id string, pid long, start int, end int, entity_type string")
+    want, left = set(), {}
+    for d, k, s, e, t in sorted(pred, key=lambda r: r[1]):
+        left.setdefault((d, t, s, e), []).append(k)
+    for d, k, s, e, t, _ in gold:
+        if None not in (d, s) and left.get((d, t, s, e)):
+            want.add((d, k, left[d, t, s, e].pop(0)))
+    m = E.match(g, p)
+    assert set(map(tuple, m.collect())) == want
+    rows = E.outcomes(g, p, m)
+    assert rows.rdd.getNumPartitions() == -(-(600 + 2 * len(want)) // 40)
+    hits = {k for _, k, _ in want}, {k for _, _, k in want}
+    kinds = [(d, t, "tp" if k in hits[0] else "fn") for d, k, _, _, t, grade in gold if grade in ("strict", None)]
+    soft = [r for r in gold if r[5] == "advisory" and None not in (r[0], r[2])]
+    kinds += [(d, t, "advisory" if s is not None and any(d == a[0] and a[2] < e and s < a[3] for a in soft) else "fp") for d, k, s, e, t in pred if k not in hits[1]]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, rows.collect()), key=key) == sorted(kinds, key=key)
+    tags = spark.createDataFrame([("hot", ["x", "y"]), ("a", ["x"]), ("none", ["x"])], "doc_id string, tags array<string>")
+    sets = {("micro", ""): lambda r: True, ("tag", "x"): lambda r: r[0] in ("hot", "a"), ("tag", "y"): lambda r: r[0] == "hot"}
+    sets |= {("entity", v): lambda r, v=v: r[1] == v for v in "AB"} | {("case", v): lambda r, v=v: r[0] == v for v in {r[0] for r in kinds}}
+    got = {(r["level"], r["key"]): (r["tp"], r["fp"], r["fn"]) for r in E.aggregate(rows, tags).collect()}
+    assert got == {n: tuple(sum(f(r) and r[2] == k for r in kinds) for k in ("tp", "fp", "fn")) for n, f in sets.items()}
