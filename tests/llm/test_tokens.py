@@ -162,3 +162,39 @@ def test_words_come_first_in_the_pattern(spark):
     assert len(got) == len(texts)
     for r in got:
         assert r["p"] == regex.findall(public_tokenizers.PATTERN, r["text"]), r["text"]
+
+
+def test_stretches_have_the_ids_of_their_texts(monkeypatch):
+    """Bytes alone tell where a text is cut: whatever stands side by side, the ids are the library's, and texts in one chunk do not touch."""
+    import random
+
+    import pyarrow as pa
+    import pyspark
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    with open(path, "rb") as file:
+        model = file.read()
+    atoms = [*"ab'sS9 \n\t.,<>|é×ß´ªº ’“—…日я٣́😀½²\x1c\x00", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "  ", "\n\n", "<|endoftext|>", "<|endof", "text|>",
+             "'s", "'ll", " the", "ing", " 's", " '", "\r\n", "don't", "​", "﻿"]
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(atoms) for _ in range(rnd.randrange(0, 25))) for _ in range(20_000)] + [None, "", "  ", "x  ", "  <|endoftext|>", " <|endoftext|> x"]
+    for specials, limit in ((True, 300), (True, 1 << 20), (False, 30_000)):
+        library.encode_special_tokens = not specials
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+        rows = [r for b in token_files._tokenized(model, 7, specials, limit)(iter([batch.slice(0, 9_001), batch.slice(9_001)])) for r in b.to_pylist()]
+        start = 0
+        for k, (r, t, want) in enumerate(zip(rows, texts, library.encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True)):
+            assert r == {"doc_id": k, "part": 0, "start_in_part": start, "n_tokens": len(want.ids) + 1, "ids": want.ids + [7]}, t
+            start += len(want.ids) + 1
+
+
+def test_words_are_cut_at_bytes():
+    """Latin words, numbers and marks are stretches of their own, so that few different ones go to the library."""
+    texts = ["It's  the «größte» thing, (aged 42).\n\nNon–stop", " x"]
+    raw = [t.encode() for t in texts]
+    begins = token_files.stretches(np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([0, len(raw[0])]), [])
+    data = b"".join(raw)
+    cuts = [data[a:b].decode() for a, b in zip(begins, [*begins[1:], len(data)])]
+    assert cuts == ["It", "'s", " ", " the", " «größte»", " thing", ",", " (", "aged", " 42", ").", "\n", "\n", "Non–stop", " x"]
