@@ -71,7 +71,8 @@ def _q(t):
 @query("e03_value_match", f"SELECT g.doc_id, g.gid, p.pid FROM {GOLD} g JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, t, v ORDER BY (substr(v, 2)::INT = pid) DESC, pid) AS r FROM {PRED}) p "
                           "ON g.doc_id = p.doc_id AND g.t = p.t AND g.v = p.v AND p.r = 1")
 def _q(t):
-    return E.match(gold(t), pred(t), "value")
+    lines = written_once(_lines(t), "lines")
+    return E.match(gold(t, lines), pred(t, lines), "value")
 
 
 @query("e04_type_accuracy", f"""
