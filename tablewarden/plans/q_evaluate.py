@@ -138,13 +138,15 @@ def _apart(df):
      FROM {GOLD} g LEFT JOIN {PRED} p ON g.doc_id = p.doc_id AND g.gid = p.pid)
   SELECT class, count(*) AS n FROM (SELECT class FROM j UNION ALL SELECT 'spurious' FROM j WHERE class = 'missed' AND pid IS NOT NULL) GROUP BY class""")
 def _q(t):
-    return E.classify(_apart(gold(t)), _apart(pred(t))).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    lines = written_once(_lines(t), "lines")
+    return E.classify(_apart(gold(t, lines)), _apart(pred(t, lines))).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e08_guard_violations", f"SELECT count(*) AS n FROM {PRED} WHERE s < 25 AND e > 20 AND t = 'NAME'")
 def _q(t):
     forbid = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(20).alias("start"), F.lit(25).alias("end"), F.lit("NAME").alias("entity_type"))
-    return E.classify(gold(t), pred(t), forbid).where("class = 'guard_violation'").agg(F.count(F.lit(1)).alias("n"))
+    lines = written_once(_lines(t), "lines")
+    return E.classify(gold(t, lines), pred(t, lines), forbid).where("class = 'guard_violation'").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e09_gates", f"""
